@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,13 +72,13 @@ def hidden(docs: DataFrame, *names: str) -> DataFrame:
     return docs.drop(*[c for c in docs.columns if c.lower() in taken])
 
 
-def strings(column) -> list[str]:
-    """An Arrow string column as a list, null as the empty text."""
-    return ["" if x is None else x for x in column.to_pylist()]
-
-
 def slices(batches: Iterable, rows: int = 512) -> Iterator:
     """Arrow batches in slices of few rows, so that a worker holds few texts at a time as Python objects."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def raw(column) -> list[bytes]:
+    """An Arrow string column as UTF-8 bytes without decoding, null as no bytes."""
+    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -2,6 +2,37 @@
 
 from __future__ import annotations
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Words and hit words of ``{docs}`` (doc_id, text) against ``benchmark``; ends with the CTE ``judged``.
+DECONTAMINATION = rf"""
+words AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws
+  FROM {{docs}}
+),
+item_words AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE text IS NOT NULL
+),
+item_windows AS (
+  SELECT DISTINCT item, least(len(ws), 13) AS width, array_to_string(ws[i:i + 12], ' ') AS win
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM item_words WHERE len(ws) > 0)
+),
+places AS (
+  SELECT rid, width, i, array_to_string(ws[i:i + width - 1], ' ') AS win
+  FROM (SELECT rid, ws, width, unnest(range(1, len(ws) - width + 2)) AS i FROM words, (SELECT DISTINCT width FROM item_windows) WHERE len(ws) >= width)
+),
+occurs AS (SELECT rid, p.width, i, item FROM places p JOIN item_windows USING (width, win)),
+hit AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + width)) AS pos FROM (SELECT DISTINCT rid, width, i FROM occurs)) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM occurs) GROUP BY rid),
+judged AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+  FROM words LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": "WITH " + DECONTAMINATION.format(docs="documents") + " SELECT * FROM judged",
+    }

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, hidden, lookup, slices, strings
+from .common import LOWER, cut, lookup, raw, slices
 
 SEED = 42
 #: Node pairs with at most so many leaf pairs are compared directly; frontiers are worked off in blocks of so many pairs.
@@ -32,9 +32,9 @@ LEAF_PAIRS, BLOCK = 64, 1 << 18
 SUBTRIE_ROWS = 50_000
 
 
-def fingerprint(text: str | None, shingle_words: int = 4) -> int:
-    """Unsigned 64-bit SimHash of one text; 0 where it has no words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+def fingerprint(text: bytes, shingle_words: int = 4) -> int:
+    """Unsigned 64-bit SimHash of one UTF-8 text; 0 where it has no words."""
+    words = text.translate(LOWER).split()
     if not words:
         return 0
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in slices(batches):
-            values = np.array([fingerprint(t, shingle_words) for t in strings(batch.column(1))], np.uint64).view(np.int64)
+            values = np.array([fingerprint(t, shingle_words) for t in raw(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["id", "fp"])
 
     return rows.mapInArrow(run, f"id {kind}, fp long")
