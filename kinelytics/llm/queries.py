@@ -29,6 +29,28 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import id_hash
+    from .language import fit, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = id_hash("doc_id", 4) == 2
+    model = fit(docs, ~held)
+    found = identify(docs.drop("lang"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import id_hash
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = id_hash("doc_id", 5) == 0
+    model = fit(docs, table(spark, sf_dir, "labels"), ~held)
+    found = score(docs, model, name="score")
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -37,4 +59,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_toxicity, op10_simhash)}
