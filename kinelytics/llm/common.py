@@ -54,9 +54,7 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, share: int = 200) -> Dat
     input: that slice of ``table`` is broadcast with a proven bound and the hot rows are never shuffled. The other rows
     take the ordinary shuffled join. ``rows`` is read three times: pass a table that has been :func:`cut`.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.agg(F.count(F.lit(1)).alias("_total"))
-    hot = sizes.join(F.broadcast(total), F.col("_n") * share > F.col("_total")).select(F.col(key).alias("_hot"))
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * share > rows.count())
     keys = [r[0] for r in hot.collect()]  # fewer than ``share`` values
     is_hot = F.col(key).isin(keys) if keys else F.lit(False)
     cold = rows.where(~F.coalesce(is_hot, F.lit(False))).join(table, key, "left")

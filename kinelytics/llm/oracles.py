@@ -32,7 +32,54 @@ judged AS (
 )"""
 
 
+URL_REPUTATION = rf"""
+WITH parts AS (
+  SELECT page_id, {LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/'
+  END AS rule
+  FROM parts
+),
+outcomes AS (
+  SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruling
+  FROM ruled
+),
+hosts AS (
+  SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare, CAST(count(ruling) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE ruling = 'block') AS DOUBLE) AS k
+  FROM outcomes GROUP BY host
+),
+named AS (SELECT *, regexp_extract(bare, '([^.]*\.)?[^.]*$') AS dom, regexp_extract(bare, '[^.]*$') AS suf FROM hosts),
+doms AS (SELECT suf, dom, sum(n) AS n, sum(k) AS k FROM named GROUP BY suf, dom),
+sufs AS (SELECT suf, sum(n) AS n, sum(k) AS k FROM doms GROUP BY suf),
+suf_m AS (SELECT *, (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) FROM sufs) AS m FROM sufs),
+suf_s AS ({{strength}} suf_m),
+suf_p AS (SELECT suf, (m * s + k) / (s + n) AS m FROM suf_m, suf_s),
+dom_m AS (SELECT d.*, p.m FROM doms d JOIN suf_p p USING (suf)),
+dom_s AS ({{strength}} dom_m),
+dom_p AS (SELECT dom, (m * s + k) / (s + n) AS m FROM dom_m, dom_s),
+host_m AS (SELECT h.*, p.m FROM named h JOIN dom_p p USING (dom)),
+host_s AS ({{strength}} host_m),
+post AS (SELECT host, m * s + k AS a, (1 - m) * s + n - k AS b FROM host_m, host_s)
+SELECT page_id, o.host, path, rule, coalesce(ruling, CASE WHEN 1 / (1 + exp(-(ln(a / b) - 1.645 * sqrt(1 / a + 1 / b)))) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM outcomes o JOIN post USING (host)
+""".replace(
+    "{strength}",
+    """SELECT CASE WHEN w IS NULL OR w = 0 THEN 1.0 WHEN sq <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, mm * (1 - mm) * w / sq - 1)) END AS s
+    FROM (SELECT avg(m) AS mm, sum(k * (k - 1) - 2 * m * k * (n - 1) + m * m * n * (n - 1)) AS sq, sum(n * (n - 1)) AS w FROM""",
+)
+URL_REPUTATION = URL_REPUTATION.replace(" suf_m),", " suf_m)),").replace(" dom_m),\ndom_p", " dom_m)),\ndom_p").replace(" host_m),\npost", " host_m)),\npost")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": "WITH " + DECONTAMINATION.format(docs="documents") + " SELECT * FROM judged",
+        "op6_url_reputation": URL_REPUTATION,
     }

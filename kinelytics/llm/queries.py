@@ -51,6 +51,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -59,4 +66,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_toxicity, op6_url_reputation, op10_simhash)}
