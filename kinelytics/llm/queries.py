@@ -58,6 +58,15 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import PATTERNS, listing, number, scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    counts = [number("base_spans", kind).alias(f"n_{kind}") for kind in PATTERNS]
+    every = F.array_sort(F.concat("base_spans", "random_spans"))
+    return found.select("doc_id", *counts, F.sha2(listing(F.col("base_spans")), 256).alias("base_sha256"), listing(every).alias("spans"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -66,4 +75,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_toxicity, op6_url_reputation, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_toxicity, op6_url_reputation, op7_secrets, op10_simhash)}
