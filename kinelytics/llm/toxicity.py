@@ -3,7 +3,9 @@
 For every n-gram bucket, r = log of its smoothed share in toxic training texts over that in others, counted over *all*
 labelled training rows. A text's features are r at the buckets it has (presence, whole text); a logistic regression with
 FTRL and elastic-net penalties is fitted to them on a hash sample of about ``sample_rows`` rows of either class; where one
-class was sampled more thinly, the bias is shifted back to the classes' true odds. Labels are joined to texts by one shuffle of the training texts; scoring shuffles nothing.
+class was sampled more thinly, the bias is shifted back to the classes' true odds. Up to ``BROADCAST_LABELS`` labels (two
+fields each) are counted and broadcast to the texts; more are joined by one shuffle of the training texts. Scoring shuffles
+nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from .linear import Ftrl, blocks_of, grams, pack, summed, unpack
 ORDERS, BITS = (4, 5), 18
 #: About so many rows of each class are fitted on, whatever the corpus.
 SAMPLE_ROWS = 3000
+#: Labels beyond this number are not broadcast.
+BROADCAST_LABELS = 2_000_000
 #: Elastic net.
 L1, L2 = 3.0, 1.0
 
@@ -68,6 +72,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, text_col: str = "t
     texts = texts.where("_id is not null")
     counts = {r.y: r.n for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {y: min(1.0, sample_rows / n) for y, n in counts.items()}
+    if sum(counts.values()) <= BROADCAST_LABELS:
+        marks = F.broadcast(marks)
     rows = texts.join(marks, "_id").select("text", "y", F.xxhash64(F.col("_id").cast("string"), F.lit(11)).alias("h"))
 
     def featurize(batches):
