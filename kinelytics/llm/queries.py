@@ -40,6 +40,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+#: Tests and benchmarks need pseudonyms that can be compared; a deployment passes its own secret to ``pseudonymize``.
+PII_KEY = "kinelytics-demonstration-key"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    spans = F.transform("pii", lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["end"].cast("string")))
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.array_join(spans, ",").alias("spans"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import id_hash
     from .toxicity import fit, score
@@ -75,4 +87,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_toxicity, op6_url_reputation, op7_secrets, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_pii, op4_toxicity, op6_url_reputation, op7_secrets, op10_simhash)}
