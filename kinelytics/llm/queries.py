@@ -63,6 +63,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The model file's path; the file is read on the driver and never copied into the repository.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    from .pieces import encode, read_model
+
+    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(model))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "parity", "round_trip")
+
+
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge
 
@@ -87,4 +99,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_pii, op4_toxicity, op6_url_reputation, op7_secrets, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_pii, op4_toxicity, op5_sentencepiece, op6_url_reputation, op7_secrets, op10_simhash)}
