@@ -91,6 +91,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listing(F.col("base_spans")), 256).alias("base_sha256"), listing(every).alias("spans"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -99,4 +105,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_pii, op4_toxicity, op5_sentencepiece, op6_url_reputation, op7_secrets, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_pii, op4_toxicity, op5_sentencepiece, op6_url_reputation, op7_secrets, op8_media, op10_simhash)}
