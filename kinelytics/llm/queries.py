@@ -97,6 +97,19 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+#: Rank file of the subwords that the language model is built on; read on the driver.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op9_attention(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
+    from .attention import read_ranks, score
+    from .common import id_hash
+
+    held = id_hash("doc_id", 7) == 2
+    found = score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held, read_ranks(ranks))
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -105,4 +118,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_pii, op4_toxicity, op5_sentencepiece, op6_url_reputation, op7_secrets, op8_media, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_pii, op4_toxicity, op5_sentencepiece, op6_url_reputation, op7_secrets, op8_media, op9_attention, op10_simhash)}
