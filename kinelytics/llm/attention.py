@@ -378,8 +378,13 @@ def head_threshold(counts: DataFrame, most: int) -> int:
 
 
 def train(docs: DataFrame, n_texts: int, ranks, vocabulary: Vocabulary, share: int = TRAIN_SHARE, least: int = LEAST_TEXTS, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights from a hash share of ``docs(id, text)``: at least one text in ``share``, about ``least`` or more if there are."""
+    """Weights from a hash share of ``docs(id, text)``: at least one text in ``share``, about ``least`` or more if there are.
+
+    Without rounds they are the initial ones: subword unigrams.
+    """
     vector = initial(vocabulary.counts)
+    if not rounds:
+        return vector
     portion = min(1.0, max(1.0 / share, least / max(n_texts, 1)))
     # by content, so that copies fall together and the choice does not depend on ids
     h = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
