@@ -124,6 +124,8 @@ class Codec:
         self.tokenizer = build(self.model)
         self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
         self.segments = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if self.model.separable else lambda text: [text] if text else []
+        #: No character map, no squeezing, a dummy prefix: segments can be told from the raw text.
+        self.plain = self.model.separable and self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap
         self.cache: dict[str, bytes] = {}
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
         self.other = None
@@ -140,15 +142,31 @@ class Codec:
             text = re.sub(f"{MARK}+", MARK, text).strip(MARK)
         return MARK + text if self.model.dummy_prefix and text else text
 
+    def parts(self, text: str) -> list[str]:
+        """Keys of one text's segments. With plain models a word stands for itself with one marker before it, which single
+        spaces between words show at once; any other segment has an extra marker put before it as its key."""
+        if self.plain and text and MARK not in text and "" not in (words := text.split(" ")):
+            return words
+        found = self.segments(self.normalized(text))
+        if not self.plain:
+            return found
+        return [s[1:] if len(s) > 1 and s.count(MARK) == 1 else MARK + s for s in found]
+
+    def spelled(self, part: str) -> str:
+        """The segment of a key."""
+        if not self.plain:
+            return part
+        return part[1:] if MARK in part else MARK + part
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self.segments(self.normalized(t)) for t in texts]
+        parts = [self.parts(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
-        new = list({s for p in parts for s in p if s not in cache})
-        for at in range(0, len(new), 10_000):
-            batch = new[at : at + 10_000]
-            for s, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
+        new = [s for s in set().union(*parts) if s not in cache]
+        for at in range(0, len(new), 2000):
+            batch = new[at : at + 2000]
+            for s, e in zip(batch, self.tokenizer.encode_batch_fast([self.spelled(s) for s in batch], add_special_tokens=False)):
                 cache[s] = array("i", e.ids).tobytes()
         return [np.frombuffer(b"".join(map(cache.__getitem__, p)), np.int32) for p in parts]
 
