@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_FRAME = Window.partitionBy("episode").orderBy("frame")
-EPISODE = Window.partitionBy("episode")
+
+def by_frame() -> WindowSpec:
+    return Window.partitionBy("episode").orderBy("frame")
+
+
+def by_episode() -> WindowSpec:
+    return Window.partitionBy("episode")
 
 
 @dataclass
@@ -67,7 +72,7 @@ def prepared(frames: Frames) -> Frames:
     """Adds ``n`` (frames of the episode) and ``finite`` (all its states and actions are)."""
     good = all_of([finite(F.col(c)) for c in [*frames.states, *frames.actions]])
     df = frames.df.withColumn("_good", good.cast("int"))
-    df = df.withColumn("n", F.count(F.lit(1)).over(EPISODE)).withColumn("finite", F.min("_good").over(EPISODE) == 1).drop("_good")
+    df = df.withColumn("n", F.count(F.lit(1)).over(by_episode())).withColumn("finite", F.min("_good").over(by_episode()) == 1).drop("_good")
     return frames.with_df(df)
 
 

@@ -16,7 +16,7 @@ from kinelytics.config import SIGNALS, ScoreConfig
 from kinelytics.functions.quantiles import quantiles
 from kinelytics.functions.spectral import sparc
 
-from .frames import BY_FRAME, Frames, finite, prepared, total
+from .frames import Frames, by_frame, finite, prepared, total
 
 
 @dataclass
@@ -68,11 +68,11 @@ def normalized(frames: Frames, scale: Scale) -> Frames:
 
 
 def _lag(c: str, k: int) -> Column:
-    return F.lag(c, k).over(BY_FRAME) if k else F.col(c)
+    return F.lag(c, k).over(by_frame()) if k else F.col(c)
 
 
 def _lead(c: str, k: int) -> Column:
-    return F.lead(c, k).over(BY_FRAME)
+    return F.lead(c, k).over(by_frame())
 
 
 def per_frame(frames: Frames, scale: Scale, config: ScoreConfig) -> DataFrame:
@@ -80,7 +80,7 @@ def per_frame(frames: Frames, scale: Scale, config: ScoreConfig) -> DataFrame:
     dt = 1.0 / frames.fps
     s, a, w = frames.states, frames.actions, config.idle_frames(frames.fps)
     square = lambda c: c * c
-    first = {c: F.first(c).over(BY_FRAME) for c in a}
+    first = {c: F.first(c).over(by_frame()) for c in a}
     out = {
         "speed": F.sqrt(total([square((F.col(c) - _lag(c, 1)) / dt) for c in s])),
         "jerk2": total([square((F.col(c) - 3 * _lag(c, 1) + 3 * _lag(c, 2) - _lag(c, 3)) / dt**3) for c in s]),
@@ -190,7 +190,7 @@ def z_of(column: str, spread: tuple[float | None, float]) -> Column:
 
 def integrity(frames: Frames, config: ScoreConfig) -> DataFrame:
     """One row an episode: length, finiteness, largest time gap, last success and the ranges of components."""
-    gap = F.abs(F.col("t") - F.lag("t", 1).over(BY_FRAME) - F.lit(1.0 / frames.fps))
+    gap = F.abs(F.col("t") - F.lag("t", 1).over(by_frame()) - F.lit(1.0 / frames.fps))
     rows = frames.df.withColumn("_gap", gap).withColumn("_time", finite(F.col("t")))
     ranges = [(F.max(c) - F.min(c)).alias(f"ptp_{c}") for c in [*frames.states, *frames.actions]]
     return rows.groupBy("episode").agg(

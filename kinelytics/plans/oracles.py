@@ -132,8 +132,8 @@ pe AS (SELECT episode, j, max(s) - min(s) AS es, max(a) - min(a) AS ea FROM lf G
 fz AS (SELECT episode, count(*) AS frozen FROM pe JOIN dr USING (j) WHERE es = 0 AND ps > 0 AND pa > 0 AND ea > 0.01 * pa GROUP BY episode),
 lastf AS (SELECT user_id AS episode, arg_max(event_type, frame) = 'purchase' AS sim FROM ev GROUP BY user_id),
 hard AS (
-  SELECT ok.episode, ok.n, fin, CASE WHEN NOT fin THEN 1 ELSE CAST(n < 17 AS INT) + coalesce(frozen, 0) + CAST(gap AS INT) + CAST(coalesce(sat >= 0.2, false) AS INT) END AS n_hard,
-    fin AND n < 17 AS h_short, CASE WHEN fin THEN coalesce(frozen, 0) ELSE 0 END AS h_frozen, fin AND gap AS h_gap, coalesce(sat >= 0.2, false) AS h_sat, combined
+  SELECT ok.episode, ok.n, fin, CASE WHEN NOT fin THEN 1 ELSE CAST(ok.n < 17 AS INT) + coalesce(frozen, 0) + CAST(gap AS INT) + CAST(coalesce(sat >= 0.2, false) AS INT) END AS n_hard,
+    fin AND ok.n < 17 AS h_short, CASE WHEN fin THEN coalesce(frozen, 0) ELSE 0 END AS h_frozen, fin AND gap AS h_gap, coalesce(sat >= 0.2, false) AS h_sat, combined
   FROM ok JOIN gp ON ok.episode = gp.episode LEFT JOIN fz ON ok.episode = fz.episode LEFT JOIN ep ON ok.episode = ep.episode LEFT JOIN cb ON ok.episode = cb.episode
 ),
 er AS (
@@ -148,6 +148,18 @@ eo AS (
     )
 
 
+HARD_V2 = """pe AS (SELECT view, episode, j, max(s) - min(s) AS es, max(a) - min(a) AS ea FROM lf GROUP BY view, episode, j),
+dr AS (SELECT view, j, max(s) - min(s) AS ps, max(a) - min(a) AS pa FROM lf GROUP BY view, j),
+fz AS (SELECT view, episode, count(*) AS frozen FROM pe JOIN dr USING (view, j) WHERE es = 0 AND ps > 0 AND pa > 0 AND ea > 0.01 * pa GROUP BY view, episode),
+eo AS (
+  SELECT ok.episode, fin, CASE WHEN NOT fin OR coalesce(frozen, 0) > 0 OR ok.n < 17 OR coalesce(sat >= 0.2, false) THEN 'HARD' WHEN combined > 3.5 THEN 'FLAG' ELSE 'ok' END AS quality
+  FROM ok LEFT JOIN fz USING (view, episode) LEFT JOIN (SELECT view, episode, sat FROM ep) USING (view, episode) LEFT JOIN cb USING (view, episode)
+),
+blk AS (
+  SELECT count(*) AS episodes, count(*) FILTER (WHERE quality = 'HARD') AS hard, count(*) FILTER (WHERE quality = 'FLAG') AS motion_flagged,
+    count(*) FILTER (WHERE quality <> 'ok') AS flagged, count(*) FILTER (WHERE NOT fin) AS nonfinite, 0 AS outcome_known, CAST(NULL AS BIGINT) AS failed
+  FROM eo
+)"""
 BLOCK = """blk AS (
   SELECT count(*) AS episodes, count(*) FILTER (WHERE quality = 'HARD') AS hard, count(*) FILTER (WHERE quality = 'FLAG') AS motion_flagged,
     count(*) FILTER (WHERE quality <> 'ok') AS flagged, count(*) FILTER (WHERE NOT fin) AS nonfinite, count(*) AS outcome_known,
@@ -283,6 +295,10 @@ def oracle_sql() -> dict[str, str]:
             FROM rd LEFT JOIN au ON au.grp = rd.grp GROUP BY rd.grp""",
         "q31_data_block": f"""{episodes(True)}, {BLOCK} SELECT *, {_r("CAST(hard AS DOUBLE) / episodes")} AS hard_frac, {_r("CAST(flagged AS DOUBLE) / episodes")} AS flagged_frac,
             {_r("CAST(motion_flagged AS DOUBLE) / episodes")} AS motion_flagged_frac, {_r("CAST(failed AS DOUBLE) / outcome_known")} AS failed_frac FROM blk""",
+        "q32_rule": " UNION ALL ".join(
+            f"SELECT * FROM ({ctes}, {COMPARE} SELECT '{name}' AS data, {RULE} AS rule, CASE WHEN outcome_known = 0 THEN 'R6' END AS add_on FROM blk)"
+            for name, ctes in (("spoilt", f"{episodes(True)}, {BLOCK}"), ("plain", f"{episodes(False)}, {BLOCK}"), ("embeddings", f"{scored('V2')}, {HARD_V2}"))
+        ),
         "q33_keep_filter": f"""{episodes(False)} SELECT 'all' AS keep, episode FROM eo UNION ALL SELECT 'quality-ok', episode FROM eo WHERE quality = 'ok'
             UNION ALL SELECT 'success', episode FROM eo WHERE outcome = 'success' UNION ALL SELECT 'ok-and-success', episode FROM eo WHERE quality = 'ok' AND outcome = 'success'""",
         "q34_feature_norm": f"{long('V2')} SELECT j AS joint, {_r('avg(s)')} AS mean, {_r('stddev_pop(s) + 1e-6')} AS std FROM raw GROUP BY j",
