@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
@@ -61,26 +62,35 @@ def read_ranks(path: str) -> bytes:
 class Subwords(dict):
     """Word to its subword ids mapped by ``slots`` (16-bit, as bytes); remembers at most ``most`` words.
 
-    A text's subwords are its words' subwords, each word with a space before it, so every word is encoded once.
+    A text's subwords are its words' subwords, each word with a space before it, so every word is encoded once. ``rare``
+    has, for the words that contain rare subwords, the log of those subwords' shares in the slot that they have in common.
     """
 
-    def __init__(self, ranks: bytes, slots: np.ndarray | None = None, most: int = 700_000):
+    def __init__(self, ranks: bytes, slots: np.ndarray | None = None, own: np.ndarray | None = None, most: int = 700_000):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.coder = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={})
-        self.size, self.slots, self.most = max(table.values()) + 1, slots, most
+        self.size, self.most = max(table.values()) + 1, most
+        self.slots, self.own = (None, None) if slots is None else (slots.tolist(), own.tolist())  # lists: words are short
+        self.rare: dict[bytes, float] = {}
 
     def ids(self, word: bytes) -> list[int]:
         text = " " + word.decode("utf-8", "replace")
+        if len(text) <= LONGEST:
+            return self.coder.encode_ordinary(text)
         return [i for at in range(0, len(text), LONGEST) for i in self.coder.encode_ordinary(text[at : at + LONGEST])]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        found = self.slots[self.ids(word)].tobytes()
-        self[word] = found
-        return found
+            self.rare.clear()
+        ids = self.ids(word)
+        found = [self.slots[i] for i in ids]
+        if Vocabulary.RARE in found:
+            self.rare[word] = sum(self.own[i] for i in ids)
+        self[word] = packed = array("H", found).tobytes()
+        return packed
 
 
 _remembered: dict[bytes, Subwords] = {}
@@ -91,7 +101,7 @@ def subwords_of(ranks: bytes, vocabulary: Vocabulary) -> Subwords:
     key = hashlib.sha256(ranks + vocabulary.slots.tobytes()).digest()
     if key not in _remembered:
         _remembered.clear()
-        _remembered[key] = Subwords(ranks, vocabulary.slots)
+        _remembered[key] = Subwords(ranks, vocabulary.slots, vocabulary.own)
     return _remembered[key]
 
 
@@ -455,7 +465,6 @@ def score(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text
     def run(batches):
         vocabulary, vector, head = shared.value
         subwords, scorer = subwords_of(ranks_b.value, vocabulary), Scorer(vector)
-        own = Rare(vocabulary, subwords)
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 128):
             found, texts = [], []
@@ -465,7 +474,7 @@ def score(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text
                 seen = values >= 0
                 rare = Counter(w[i] for i in np.flatnonzero(~seen).tolist())
                 slots = slots_of(w, subwords)
-                found.append((row, len(w) + 1, int(seen.sum()), float(values[seen].sum()), list(rare.items()), own.log_probability(w, slots)))
+                found.append((row, len(w) + 1, int(seen.sum()), float(values[seen].sum()), list(rare.items()), sum(map(subwords.rare.get, w, repeat(0.0)))))
                 texts.append(slots)
                 row += 1
             logs = np.array(text_scores(scorer, texts)) + np.array([f[5] for f in found])
@@ -493,22 +502,6 @@ def score(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text
     return whole.select(F.col("id").alias(id_col), "training", "n_tokens", known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-class Rare:
-    """What rare subwords' shares within their slot add to a text's log probability."""
-
-    def __init__(self, vocabulary: Vocabulary, subwords: Subwords):
-        self.own, self.subwords = vocabulary.own, subwords
-
-    def log_probability(self, words: list[bytes], slots: np.ndarray) -> float:
-        if not (slots == Vocabulary.RARE).any():
-            return 0.0
-        total = 0.0
-        for w in words:
-            if Vocabulary.RARE in np.frombuffer(self.subwords[w], np.uint16):
-                total += float(self.own[self.subwords.ids(w)].sum())
-        return total
-
-
 def text_scores(scorer: Scorer, texts: list[np.ndarray], block: int = 512) -> list[float]:
     """Natural log probability of each text's slots; the texts' windows run as one batch after another."""
     parts = [windows(t) for t in texts]
