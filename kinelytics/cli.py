@@ -1,4 +1,4 @@
-"""Command line: score a dataset, list its episodes with outcomes, and give a verdict. ``python -m kinelytics.cli --help``."""
+"""Command line: score a dataset, give a verdict, compare outcomes, list and tag recorded episodes. ``python -m kinelytics.cli --help``."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ import sys
 from pyspark.sql import SparkSession
 
 from kinelytics.config import ScoreConfig
+from kinelytics.operators.labels import LABELS, Edit, edited, parse_indices
 from kinelytics.operators.scoring import score
 from kinelytics.operators.stats import compare
 from kinelytics.sources.dataset import ACTION, STATE, DatasetError, read_dataset, write_json
 from kinelytics.sources.reports import report_lines, score_document, table_text
+from kinelytics.sources.sessions import read_session, write_metas
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,12 +30,42 @@ def parser() -> argparse.ArgumentParser:
     commands.choices["report"].add_argument("--outcomes", help="Parquet of paired outcomes with booleans a and b")
     c = commands.add_parser("compare", help="compare paired outcomes")
     c.add_argument("outcomes")
+    c = commands.add_parser("list", help="list the episodes of a recording session")
+    c.add_argument("session")
+    c.add_argument("--label", choices=LABELS)
+    c.add_argument("--json", action="store_true", dest="as_json")
+    c = commands.add_parser("tag", help="change labels, notes and flags of episodes")
+    c.add_argument("session")
+    c.add_argument("episodes", help="3 or 1,4 or 2-5")
+    c.add_argument("--label", choices=LABELS)
+    c.add_argument("--notes")
+    c.add_argument("--append", action="store_true")
+    c.add_argument("--add-flag", action="append", default=[])
+    c.add_argument("--remove-flag", action="append", default=[])
     return top
 
 
+def list_session(spark: SparkSession, args) -> None:
+    _, rows = read_session(spark, args.session)
+    if args.label:
+        rows = rows.where(rows.label == args.label)
+    rows = rows.orderBy("episode_index")
+    for line in rows.toJSON().toLocalIterator() if args.as_json else rows.toLocalIterator():
+        print(line if args.as_json else f"{line.episode_index:>8} {line.label:<10} {line.num_frames:>6} {line.policy_name:<16} {','.join(line.flags)} {line.notes}".rstrip())
+
+
+def tag_session(spark: SparkSession, args) -> None:
+    _, rows = read_session(spark, args.session)
+    rows = rows.withColumnRenamed("episode_index", "episode")
+    edit = Edit(label=args.label, notes=args.notes, append=args.append, add_flags=tuple(args.add_flag), remove_flags=tuple(args.remove_flag))
+    some = parse_indices(args.episodes, rows.count())
+    write_metas(spark, args.session, edited(rows, edit, some).withColumnRenamed("episode", "episode_index"))
+    print(f"{len(some)} episodes changed")
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    if getattr(args, "json", None) and args.json.startswith(args.dataset.rstrip("/") + "/"):
+    if args.command == "score" and args.json and args.json.startswith(args.dataset.rstrip("/") + "/"):
         print("the report must not lie inside the dataset", file=sys.stderr)
         return 2
     spark = SparkSession.builder.getOrCreate()
@@ -41,6 +73,9 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "compare":
             print(compare(spark.read.parquet(args.outcomes)).first().asDict())
             return 0
+        if args.command in ("list", "tag"):
+            (list_session if args.command == "list" else tag_session)(spark, args)
+            return 0
         data = read_dataset(spark, args.dataset, args.state_key, args.action_key)
         scores = score(data.frames, ScoreConfig(flag_z=args.threshold), data.tags)
         if args.command == "score":
@@ -53,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
         for note in data.notes:
             print(f"note: {note}")
         return 0
-    except DatasetError as e:
+    except (DatasetError, ValueError) as e:
         print(e, file=sys.stderr)
         return 1
 

@@ -279,6 +279,12 @@ class Scores:
     spreads: dict[str, tuple[float | None, float]]
     used: list[str]
     notes: list[str] = field(default_factory=list)
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Frees what scoring cached; call it before the dataset's files change under the same path."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def score(frames: Frames, config: ScoreConfig = ScoreConfig(), tags: DataFrame | None = None) -> Scores:
@@ -292,6 +298,7 @@ def score(frames: Frames, config: ScoreConfig = ScoreConfig(), tags: DataFrame |
     checks = integrity(ready, config).persist()
     ranges = dataset_ranges(ready)
     good = scorable(ready, config)
+    cached = [ready.df, checks]
     used = [s for s in SIGNALS if s != "track_err" or frames.tracked]
     notes = list(frames.notes)
     flags = hard_flags(ready, ranges, config)
@@ -304,6 +311,7 @@ def score(frames: Frames, config: ScoreConfig = ScoreConfig(), tags: DataFrame |
         scale = scale_of(good)
         rows = features(normalized(good, scale), scale, config).persist()
         raw = signals(rows, frames, config).withColumn("log_length", F.ln(F.col("n").cast("double"))).drop("n").persist()
+        cached += [rows, raw]
         spreads = robust(raw, {**{s: s for s in used}, "log_length": "length"}, config)
     if "log_length" not in raw.columns:
         raw = raw.withColumn("log_length", F.lit(None).cast("double"))
@@ -317,7 +325,7 @@ def score(frames: Frames, config: ScoreConfig = ScoreConfig(), tags: DataFrame |
     suffix = F.when(F.col("combined") <= config.flag_z, F.lit(" [below the flag threshold]")).otherwise(F.lit(""))
     ranked = F.array_sort(F.filter(F.array(*told), lambda x: x.isNotNull()))
     both = both.withColumn("reason_signals", F.transform(ranked, lambda x: x["signal"])).withColumn("reasons", F.transform(ranked, lambda x: F.concat(x["text"], suffix)))
-    return Scores(with_outcome(both, tags), frames, config, spreads, used, notes)
+    return Scores(with_outcome(both, tags), frames, config, spreads, used, notes, cached)
 
 
 def with_outcome(episodes: DataFrame, tags: DataFrame | None) -> DataFrame:

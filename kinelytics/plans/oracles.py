@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from kinelytics.operators.benchmark import GROUPS
+
 R = "round({}, 6) + 0.0"
 
 
@@ -317,6 +319,14 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '{c}' AS col, CAST({p} AS DOUBLE) AS p, {_r(f'quantile_cont({c}, {p})')} AS v FROM lineitem" for c in ("l_extendedprice", "l_quantity") for p in (0.0, 0.01, 0.5, 0.77, 0.99, 1.0)
         ),
     }
+    out["q43_run_summary"] = f"""WITH g AS (SELECT o_orderpriority AS policy, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS k, count(*) FILTER (WHERE o_orderstatus IN ('F', 'P')) AS any_k, median(o_totalprice) AS m FROM orders GROUP BY o_orderpriority)
+        SELECT policy, n, k, any_k, {_r("CAST(k AS DOUBLE) / n")} AS rate, {_r(wilson("k", "n", "lo"))} AS lo, {_r(wilson("k", "n", "hi"))} AS hi, {_r("CAST(any_k AS DOUBLE) / n")} AS any_rate,
+        {_r(wilson("any_k", "n", "lo"))} AS any_lo, {_r(wilson("any_k", "n", "hi"))} AS any_hi, {_r("m")} AS median_error FROM g"""
+    out["q44_content_hash"] = f"""WITH {EVENTS} SELECT user_id AS episode, sha256(string_agg(frame || ',' || CAST(k AS BIGINT) || ',' || CAST(event_type = 'purchase' AS INT), ';' ORDER BY frame)) AS sha256 FROM ev GROUP BY user_id"""
+    sizes = ", ".join(f"({i}, '{g}', '{c}', {n})" for i, (g, c, n, _) in enumerate(GROUPS))
+    out["q45_truth_counts"] = f"""WITH g(i, grp, class, n) AS (VALUES {sizes}), o AS (SELECT *, CAST(sum(n) OVER (ORDER BY i) AS BIGINT) AS hi FROM g)
+        SELECT class, CAST(sum(n) AS BIGINT) AS n, min(hi - n) AS first, max(hi) - 1 AS last FROM o GROUP BY class"""
+    out["q46_any_and_last_success"] = f"WITH {EVENTS} SELECT user_id AS episode, bool_or(event_type = 'purchase') AS any_success, arg_max(event_type, frame) = 'purchase' AS last_success FROM ev GROUP BY user_id"
     for name, (views, column, alias) in SIGNAL.items():
         out[name] = f"{base(views)} SELECT view, episode, {_r(column)} AS {alias} FROM sg0"
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinelytics.config import SIGNALS, ScoreConfig
 from kinelytics.functions.quantiles import quantiles
-from kinelytics.operators import bars, export, labels, rules, scoring, stats
+from kinelytics.operators import bars, benchmark, export, labels, rules, scoring, stats
 from kinelytics.operators.frames import Frames, prepared
 from kinelytics.sources import views
 
@@ -334,6 +334,31 @@ def q42_reasons(spark, sf_dir):
     return rows.where("quality <> 'ok'").select("episode", "quality", F.array_join(F.concat("hard_flags", "reasons"), " | ").alias("why"))
 
 
+def q43_run_summary(spark, sf_dir):
+    """Orders as runs: done is a success, part done a success at some step, the price stands for the final error."""
+    runs = views.table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("policy"), (F.col("o_orderstatus") == "F").alias("success"), F.col("o_orderstatus").isin("F", "P").alias("any_success"), F.col("o_totalprice").alias("error")
+    )
+    rows = stats.summarize(runs, ["policy"])
+    return rows.select("policy", "n", "k", "any_k", *[r6(c).alias(c) for c in ("rate", "lo", "hi", "any_rate", "any_lo", "any_hi", "median_error")])
+
+
+def q44_content_hash(spark, sf_dir):
+    frames = views.events(spark, sf_dir).df.withColumn("k", F.col("s_1").cast("long")).withColumn("win", F.col("success").cast("int"))
+    return export.content_hash(frames, ["frame", "k", "win"])
+
+
+def q45_truth_counts(spark, sf_dir):
+    """Ground truth of the full benchmark set, counted by class."""
+    rows = benchmark.truth(spark, [(g, n) for g, _, n, _ in benchmark.GROUPS])
+    return rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("episode").alias("first"), F.max("episode").alias("last"))
+
+
+def q46_any_and_last_success(spark, sf_dir):
+    rows = scoring.integrity(prepared(views.events(spark, sf_dir)), CONFIG)
+    return rows.select("episode", "any_success", F.col("outcome_sim").alias("last_success"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "q00_entry": entry,
@@ -382,4 +407,8 @@ def queries() -> dict[str, Query]:
         "q40_exact_quantiles": q40_exact_quantiles,
         "q41_least_effect": q41_least_effect,
         "q42_reasons": q42_reasons,
+        "q43_run_summary": q43_run_summary,
+        "q44_content_hash": q44_content_hash,
+        "q45_truth_counts": q45_truth_counts,
+        "q46_any_and_last_success": q46_any_and_last_success,
     }

@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .dataset import DatasetError, listed, read_json, write_text
+from kinelytics.operators.export import renumbered
+from kinelytics.operators.frames import from_arrays
+from kinelytics.operators.labels import without
+
+from .dataset import DatasetError, listed, read_json, write_dataset, write_text
 
 META = (
     "episode_index long, env_id string, policy_name string, policy_params string, seed long, fps long, num_frames long, duration_s double, sim_success boolean, "
@@ -25,7 +29,7 @@ def read_session(spark: SparkSession, root: str) -> tuple[dict, DataFrame]:
     header = read_json(spark, f"{root}/session.json")
     lines = spark.read.text(f"{root}/episodes.jsonl", wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where("trim(line) <> ''")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    rows = lines.select("at", F.from_json("line", f"{META}, _bad string", options).alias("m")).select("at", "m.*").persist()
+    rows = lines.select("at", F.from_json("line", f"{META}, _bad string", options).alias("m")).select("at", "m.*")
     needed = [c.split()[0] for c in META.split(", ")]
     needed = [c for c in needed if c not in OPTIONAL and c != "final_error_m"]
     wrong = F.col("_bad").isNotNull()
@@ -73,3 +77,19 @@ def write_metas(spark: SparkSession, root: str, episodes: DataFrame) -> None:
 
 def archives(spark: SparkSession, root: str) -> list[int]:
     return [int(p.rsplit("_", 1)[1].split(".")[0]) for p in listed(spark, f"{root}/episodes/episode_*.npz")]
+
+
+def export_session(spark: SparkSession, root: str, out: str, version: str = "v3.0", exclude: list[str] | None = None) -> dict:
+    """Writes a session as a dataset, episodes of excluded labels left out and the rest renumbered without gaps."""
+    header, metas = read_session(spark, root)
+    rows = without(metas.withColumnRenamed("episode_index", "episode"), exclude or [])
+    if rows.isEmpty():
+        raise DatasetError("no episode is left to export")
+    numbers = renumbered(rows).persist()
+    arrays = read_arrays(spark, root).join(numbers, "episode").drop("episode").withColumnRenamed("new_index", "episode")
+    arrays = arrays.withColumn("t", F.col("frame") / F.lit(float(header["fps"])))
+    last = rows.join(numbers, "episode").select(F.col("new_index").alias("episode"), "label", F.col("sim_success").alias("success"))
+    arrays = arrays.join(last.select("episode", "success"), "episode").persist()
+    size = arrays.select(F.size("state"), F.size("action")).first()
+    tags = last.where("label <> 'unlabeled'").select("episode", "label")
+    return write_dataset(spark, from_arrays(arrays, float(header["fps"]), *size), out, version, tags)

@@ -8,9 +8,9 @@ import pytest
 
 from kinelytics import cli
 from kinelytics.config import SIGNALS
-from kinelytics.operators import scoring
+from kinelytics.operators import benchmark, export, scoring
 from kinelytics.sources import dataset as D
-from kinelytics.sources import reports, sessions, synthetic
+from kinelytics.sources import reports, sessions, synthetic, training
 from kinelytics.streaming import arrivals
 
 
@@ -141,6 +141,52 @@ def test_session(spark, tmp_path):
     assert sessions.append_problems({"fps": 30}, {"fps": 25}, [0, 1], [0]) == ["fps: 30 and 25", "missing archives: 1"]
 
 
+def test_export_list_and_tag(spark, tmp_path, capsys):
+    lines = [json.dumps({**META, "episode_index": i, "label": "fail" if i == 0 else "success"}) for i in range(2)]
+    root = session(tmp_path / "x", lines)
+    info = sessions.export_session(spark, root, str(tmp_path / "out"), exclude=["fail"])
+    data = D.read_dataset(spark, str(tmp_path / "out"))
+    assert info["total_episodes"] == 1 and {r.episode for r in data.frames.df.collect()} == {0}
+    assert data.frames.df.where("s_0 = 1 and success").count() == 12 and {r.episode: r.label for r in data.tags.collect()} == {0: "success"}
+    lengths = data.frames.df.groupBy("episode").count().withColumnRenamed("count", "n")
+    assert export.layout_problems(info, lengths) == [] and len(export.layout_problems({"total_episodes": 2, "total_frames": 1}, lengths)) == 2
+    with pytest.raises(D.DatasetError):
+        sessions.export_session(spark, root, str(tmp_path / "none"), exclude=["fail", "success"])
+    assert cli.main(["tag", root, "0-1", "--label", "success", "--notes", "fine", "--add-flag", "seen"]) == 0
+    assert cli.main(["list", root, "--label", "success", "--json"]) == 0
+    out = capsys.readouterr().out
+    assert "2 episodes changed" in out and out.count('"notes":"fine"') == 2
+    assert cli.main(["list", root]) == 0 and cli.main(["tag", root, "5", "--label", "fail"]) == 1
+
+
+def test_training_rows(spark, frames, tmp_path):
+    third = pa.FixedSizeListArray.from_arrays(pa.array(np.zeros(60, np.float32)), 3)
+    root = write(tmp_path / "tr", [{training.ENVIRONMENT: third}, {training.ENVIRONMENT: third}])
+    got = training.read_training(spark, root)
+    assert got.fingerprint[1:] == ("v3.0", 30.0, 2, 40) and got.rows.schema["state"].dataType.simpleString() == "array<float>"
+    scores = scoring.score(D.read_dataset(spark, root).frames)
+    assert training.selected(got, None, "all").count() == 40 and training.selected(got, scores, "quality-ok", 40).count() <= 40
+    for bad in ((None, "success", 40), (scores, "quality-ok", 41), (scores, "success", 40)):
+        with pytest.raises(ValueError):
+            training.selected(got, *bad)
+    norm = {r.joint: r for r in training.normalization(frames).collect()}
+    values = np.array([[r[c] for c in frames.states] for r in frames.df.collect()])
+    assert [norm[j].std for j in range(6)] == pytest.approx(list(values.std(0) + 1e-6))
+
+
+def test_benchmark_tables(spark):
+    assert benchmark.parse_groups("clean:2, random:1") == [("clean", 2), ("random", 1)]
+    for bad in ("what:1", "clean:0", "clean:x", "clean:1,clean:2"):
+        with pytest.raises(ValueError):
+            benchmark.parse_groups(bad)
+    assert benchmark.seed_overlaps(995) == ["dev (1000)"] and benchmark.seed_overlaps(2000) == []
+    ground = benchmark.truth(spark, [("clean", 2), ("random", 1)])
+    assert [(r.episode, r["class"]) for r in ground.orderBy("episode").collect()] == [(0, "clean"), (1, "clean"), (2, "motion_junk")]
+    assert benchmark.checked_against_tags(ground, ground) is ground
+    with pytest.raises(ValueError):
+        benchmark.checked_against_tags(ground, ground.where("episode > 0"))
+
+
 def test_reports_and_cli(spark, frames, tmp_path, capsys):
     scores = scoring.score(frames)
     doc = reports.score_document(scores)
