@@ -70,10 +70,11 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, text_col: str = "t
     marks = marks.groupBy("_id").agg((F.max("y") > 0).cast("int").alias("y"))
     texts = docs.where(training).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.where("_id is not null")
-    counts = {r.y: r.n for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = {y: min(1.0, sample_rows / n) for y, n in counts.items()}
-    if sum(counts.values()) <= BROADCAST_LABELS:
+    if marks.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
+    # class sizes come from the training rows alone, as everything else does
+    counts = {r.y: r.n for r in texts.select("_id").join(marks, "_id").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {y: min(1.0, sample_rows / n) for y, n in counts.items()}
     rows = texts.join(marks, "_id").select("text", "y", F.xxhash64(F.col("_id").cast("string"), F.lit(11)).alias("h"))
 
     def featurize(batches):
