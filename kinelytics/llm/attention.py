@@ -319,29 +319,40 @@ def slots_of(text_words: list[bytes], subwords: Subwords) -> np.ndarray:
     return np.append(np.frombuffer(b"".join(map(subwords.__getitem__, text_words)), np.uint16), np.uint16(Vocabulary.END)).astype(np.int64)
 
 
-def adam(vector: np.ndarray, texts: list[np.ndarray], batch: int = 64, rate: float = 0.02, passes: int = 1) -> np.ndarray:
+def adam(vector: np.ndarray, texts: list[np.ndarray], batch: int = 96, rate: float = 0.02, passes: int = 1) -> np.ndarray:
     """Adam over the windows of ``texts``, ``passes`` times, each in a fixed shuffled order, with a falling rate."""
     parts = [windows(t) for t in texts]
     inputs, targets, weight = (np.concatenate([p[i] for p in parts]) for i in range(3))
     r = np.random.default_rng(17)
     order = np.concatenate([r.permutation(len(inputs)) for _ in range(passes)])
     vector = vector.astype(np.float32)
-    m, v = np.zeros_like(vector), np.zeros_like(vector)
+    m, v, scratch = np.zeros_like(vector), np.zeros_like(vector), np.empty_like(vector)
+    vector = vector.copy()
     steps = -(-len(order) // batch)
     for step in range(steps):
         own = order[step * batch : (step + 1) * batch]
         _, g = gradient(vector, inputs[own], targets[own], weight[own])
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
+        np.subtract(g, m, out=scratch)
+        scratch *= np.float32(0.1)
+        m += scratch
+        g *= g
+        g -= v
+        g *= np.float32(0.01)
+        v += g
         now = rate * (1 - step / steps) + rate / 10
-        vector = vector - np.float32(now) * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-8)
+        np.multiply(v, np.float32(1 / (1 - 0.99 ** (step + 1))), out=scratch)
+        np.sqrt(scratch, out=scratch)
+        scratch += np.float32(1e-8)
+        np.divide(m, scratch, out=scratch)
+        scratch *= np.float32(now / (1 - 0.9 ** (step + 1)))
+        vector -= scratch
     return vector
 
 
 # --- over the corpus --------------------------------------------------------------------------------------------------
 
 
-def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
+def word_counts(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``(word, c)`` over the column ``text``, ends not included."""
 
     def run(batches):
