@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to so many rows the built-in exact aggregate is used, which keeps a value-to-count map on one task.
@@ -46,13 +46,20 @@ def select(df: DataFrame, column: str, rank: int, n: int, hold: int) -> float:
     raise ValueError("rank beyond the column")
 
 
-def quantiles(df: DataFrame, wanted: dict[str, list[float]], direct_rows: int = DIRECT_ROWS) -> dict[str, list[float | None]]:
-    """Quantiles by column, nulls left out; None for a column without values."""
+def direct(column: str, ps: list[float]) -> Column:
+    """The built-in exact aggregate."""
+    return F.percentile(F.col(column), F.array(*[F.lit(p) for p in ps])).alias(column)
+
+
+def quantiles(df: DataFrame, wanted: dict[str, list[float]], direct_rows: int = DIRECT_ROWS, rows: int | None = None) -> dict[str, list[float | None]]:
+    """Quantiles by column, nulls left out; None for a column without values. ``rows``: how many there are, if known."""
     if not wanted:
         return {}
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in wanted]).first().asDict()
-    if max(counts.values()) <= direct_rows:
-        row = df.agg(*[F.percentile(F.col(c), F.array(*[F.lit(p) for p in ps])).alias(c) for c, ps in wanted.items()]).first()
+    if rows is None or rows > direct_rows:
+        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in wanted]).first().asDict()
+        rows = max(counts.values())
+    if rows <= direct_rows:
+        row = df.agg(*[direct(c, ps) for c, ps in wanted.items()]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(ps) for c, ps in wanted.items()}
     out: dict[str, list[float | None]] = {}
     for c, ps in wanted.items():

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelytics.config import SIGNALS, ScoreConfig
-from kinelytics.functions.quantiles import quantiles
+from kinelytics.functions.quantiles import DIRECT_ROWS, direct, quantiles
 from kinelytics.functions.spectral import sparc
 
 from .frames import Frames, by_frame, finite, prepared, total
@@ -36,14 +36,19 @@ def scorable(frames: Frames, config: ScoreConfig) -> Frames:
     return frames.with_df(frames.df.where(F.col("finite") & (F.col("n") >= config.min_frames(frames.fps))))
 
 
-def scale_of(frames: Frames) -> Scale:
-    """1st and 99th percentiles and raw action bounds over scorable frames."""
+def scale_of(frames: Frames, rows: int | None = None) -> Scale:
+    """1st and 99th percentiles and raw action bounds over scorable frames; one pass where ``rows`` is known to be small."""
     df = frames.df
     same = frames.width == frames.action_width
-    got = quantiles(df, {c: [0.01, 0.99] for c in [*frames.states, *([] if same else frames.actions)]})
+    wanted = {c: [0.01, 0.99] for c in [*frames.states, *([] if same else frames.actions)]}
+    edges = [F.min(c).alias(f"l{c}") for c in frames.actions] + [F.max(c).alias(f"h{c}") for c in frames.actions]
+    if rows is not None and rows <= DIRECT_ROWS:
+        bounds = df.agg(*[direct(c, ps) for c, ps in wanted.items()], *edges).first()
+        got = {c: bounds[c] or [None, None] for c in wanted}
+    else:
+        got, bounds = quantiles(df, wanted), df.agg(*edges).first()
     spread = lambda c: max((got[c][1] or 0.0) - (got[c][0] or 0.0), 1e-6)
     state = [spread(c) for c in frames.states]
-    bounds = df.agg(*[F.min(c).alias(f"l{c}") for c in frames.actions], *[F.max(c).alias(f"h{c}") for c in frames.actions]).first()
     return Scale(
         [got[c][0] for c in frames.states],
         [got[c][1] for c in frames.states],
@@ -157,10 +162,10 @@ def idle_fraction(eps: float, config: ScoreConfig) -> Column:
     return F.when(F.col("net_p95") < eps, F.lit(1.0)).otherwise(still / F.size("nets"))
 
 
-def signals(feature_rows: DataFrame, frames: Frames, config: ScoreConfig) -> DataFrame:
+def signals(feature_rows: DataFrame, frames: Frames, config: ScoreConfig, episodes: int | None = None) -> DataFrame:
     """``episode, n`` and one column a signal (raw values). ``feature_rows`` should be cached: it is read twice."""
     shift = "split_shift" if config.tv_mode == "split" else "net_shift"
-    got = quantiles(feature_rows, {"net_p10": [0.25], shift: [0.5]})
+    got = quantiles(feature_rows, {"net_p10": [0.25], shift: [0.5]}, rows=episodes)
     eps = max(0.02, config.idle_eps_mult * (got["net_p10"][0] or 0.0))
     floor = max(config.tv_den_frac * (got[shift][0] or 0.0), 1e-6)
     columns = {
@@ -171,11 +176,11 @@ def signals(feature_rows: DataFrame, frames: Frames, config: ScoreConfig) -> Dat
     return feature_rows.select("episode", "n", *[columns.get(s, F.col(s)).alias(s) for s in SIGNALS])
 
 
-def robust(df: DataFrame, columns: dict[str, str], config: ScoreConfig) -> dict[str, tuple[float | None, float]]:
+def robust(df: DataFrame, columns: dict[str, str], config: ScoreConfig, rows: int | None = None) -> dict[str, tuple[float | None, float]]:
     """Median and floored spread by column; ``columns`` maps a column to the signal whose floors hold."""
-    mid = {c: v[0] for c, v in quantiles(df, {c: [0.5] for c in columns}).items()}
+    mid = {c: v[0] for c, v in quantiles(df, {c: [0.5] for c in columns}, rows=rows).items()}
     away = df.select(*[F.abs(F.col(c) - F.lit(mid[c])).alias(c) for c in columns if mid[c] is not None])
-    mad = {c: v[0] for c, v in quantiles(away, {c: [0.5] for c in columns if mid[c] is not None}).items()}
+    mad = {c: v[0] for c, v in quantiles(away, {c: [0.5] for c in columns if mid[c] is not None}, rows=rows).items()}
     out = {}
     for c, signal in columns.items():
         rel, least = config.floors(signal)
@@ -192,7 +197,9 @@ def integrity(frames: Frames, config: ScoreConfig) -> DataFrame:
     """One row an episode: length, finiteness, largest time gap, last success and the ranges of components."""
     gap = F.abs(F.col("t") - F.lag("t", 1).over(by_frame()) - F.lit(1.0 / frames.fps))
     rows = frames.df.withColumn("_gap", gap).withColumn("_time", finite(F.col("t")))
-    ranges = [(F.max(c) - F.min(c)).alias(f"ptp_{c}") for c in [*frames.states, *frames.actions]]
+    names = [*frames.states, *frames.actions]
+    ranges = [F.min(c).alias(f"lo_{c}") for c in names] + [F.max(c).alias(f"hi_{c}") for c in names]
+    ranges += [(F.max(c) - F.min(c)).alias(f"ptp_{c}") for c in names]
     return rows.groupBy("episode").agg(
         F.first("n").alias("n"),
         F.first("finite").alias("finite"),
@@ -211,6 +218,15 @@ def dataset_ranges(frames: Frames) -> dict[str, float]:
     return {c: row[c] if row[c] is not None else 0.0 for c in names}
 
 
+def overview(checks: DataFrame, frames: Frames, config: ScoreConfig) -> tuple[dict[str, float], int, int]:
+    """The ranges of :func:`dataset_ranges`, and the numbers of scorable episodes and frames, from :func:`integrity` rows."""
+    names = [*frames.states, *frames.actions]
+    good = F.col("finite") & (F.col("n") >= config.min_frames(frames.fps))
+    edges = [F.max(F.when(F.col("finite"), F.col(f"hi_{c}"))).alias(f"h{c}") for c in names] + [F.min(F.when(F.col("finite"), F.col(f"lo_{c}"))).alias(f"l{c}") for c in names]
+    row = checks.agg(F.count_if(good).alias("episodes"), F.coalesce(F.sum(F.when(good, F.col("n"))), F.lit(0)).alias("frames"), *edges).first()
+    return {c: row[f"h{c}"] - row[f"l{c}"] if row[f"h{c}"] is not None else 0.0 for c in names}, row.episodes, row.frames
+
+
 def frozen_joints(frames: Frames, ranges: dict[str, float], config: ScoreConfig) -> Column:
     """Indices of joints whose reading never changes while their command does; over a row of :func:`integrity`."""
     if frames.width != frames.action_width:
@@ -296,23 +312,23 @@ def score(frames: Frames, config: ScoreConfig = ScoreConfig(), tags: DataFrame |
     ready = prepared(frames)
     ready = ready.with_df(ready.df.persist())
     checks = integrity(ready, config).persist()
-    ranges = dataset_ranges(ready)
+    ranges, n_episodes, n_frames = overview(checks, ready, config)
     good = scorable(ready, config)
     cached = [ready.df, checks]
     used = [s for s in SIGNALS if s != "track_err" or frames.tracked]
     notes = list(frames.notes)
     flags = hard_flags(ready, ranges, config)
     base = checks.select("episode", "n", "outcome_sim", flags.alias("hard_flags"))
-    if good.df.isEmpty():
+    if not n_episodes:
         notes.append("no episode could be scored")
         raw = base.select("episode", *[F.lit(None).cast("double").alias(s) for s in SIGNALS]).limit(0)
         spreads: dict[str, tuple[float | None, float]] = {c: (None, 1e-9) for c in [*used, "log_length"]}
     else:
-        scale = scale_of(good)
+        scale = scale_of(good, n_frames)
         rows = features(normalized(good, scale), scale, config).persist()
-        raw = signals(rows, frames, config).withColumn("log_length", F.ln(F.col("n").cast("double"))).drop("n").persist()
+        raw = signals(rows, frames, config, n_episodes).withColumn("log_length", F.ln(F.col("n").cast("double"))).drop("n").persist()
         cached += [rows, raw]
-        spreads = robust(raw, {**{s: s for s in used}, "log_length": "length"}, config)
+        spreads = robust(raw, {**{s: s for s in used}, "log_length": "length"}, config, n_episodes)
     if "log_length" not in raw.columns:
         raw = raw.withColumn("log_length", F.lit(None).cast("double"))
     both = base.join(raw, "episode", "left")

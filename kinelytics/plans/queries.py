@@ -40,7 +40,7 @@ def over(names: str, make: Callable[[Frames], DataFrame]) -> Query:
 def _features(frames: Frames) -> tuple[Frames, DataFrame]:
     good = scoring.scorable(prepared(frames), CONFIG)
     good = good.with_df(good.df.persist())
-    scale = scoring.scale_of(good)
+    scale = scoring.scale_of(good, good.df.count())
     return good, scoring.features(scoring.normalized(good, scale), scale, CONFIG).persist()
 
 
