@@ -286,9 +286,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = near_duplicates(docs, id_col, text_col, **options)
     keep = found.where((F.col(id_col) == F.col("component_id")) | F.col("component_id").isNull()).select(F.col(id_col).alias("_keep"))
-    keep = keep.groupBy("_keep").agg(F.count(F.lit(1)).alias("_copies"))
-    rows = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]))
-    once = rows.where((F.col("_copies") == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    keep = cut(keep.groupBy("_keep").agg(F.count(F.lit(1)).alias("_copies")))
+    single = F.col("_keep").isNull() | (F.col("_copies") == 1)
+    once = docs.join(keep.where(single), docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
+    repeated = keep.where(~single)
+    if repeated.isEmpty():  # one shuffle of the texts, not two
+        return once
     order = F.struct(F.col(text_col).alias("t"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    again = rows.where((F.col("_copies") > 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(order).alias("m")).select("m.row.*")
+    again = docs.join(repeated, docs[id_col] == repeated["_keep"], "left_semi").groupBy(id_col).agg(F.min(order).alias("m")).select("m.row.*")
     return once.unionByName(again.select(*docs.columns))
