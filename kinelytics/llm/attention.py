@@ -59,21 +59,15 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-class Subwords(dict):
-    """Word to its subword ids mapped by ``slots`` (16-bit, as bytes); remembers at most ``most`` words.
+class Subwords:
+    """Subword ids of words; a text's subwords are its words' subwords, each word with a space before it."""
 
-    A text's subwords are its words' subwords, each word with a space before it, so every word is encoded once. ``rare``
-    has, for the words that contain rare subwords, the log of those subwords' shares in the slot that they have in common.
-    """
-
-    def __init__(self, ranks: bytes, slots: np.ndarray | None = None, own: np.ndarray | None = None, most: int = 700_000):
+    def __init__(self, ranks: bytes):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.coder = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={})
-        self.size, self.most = max(table.values()) + 1, most
-        self.slots, self.own = (None, None) if slots is None else (slots.tolist(), own.tolist())  # lists: words are short
-        self.rare: dict[bytes, float] = {}
+        self.size = max(table.values()) + 1
 
     def ids(self, word: bytes) -> list[int]:
         text = " " + word.decode("utf-8", "replace")
@@ -81,27 +75,66 @@ class Subwords(dict):
             return self.coder.encode_ordinary(text)
         return [i for at in range(0, len(text), LONGEST) for i in self.coder.encode_ordinary(text[at : at + LONGEST])]
 
-    def __missing__(self, word: bytes) -> bytes:
+
+class Lexicon(dict):
+    """Word to its number, given at first sight, with what scoring needs of each word in flat arrays by number.
+
+    One lookup a word then serves the base score, the subword slots and the shares of rare subwords. At most ``most`` words
+    are remembered; call :meth:`room` between batches, as numbers change when the lexicon is emptied.
+    """
+
+    def __init__(self, subwords: Subwords, vocabulary: Vocabulary, most: int = 700_000):
+        self.subwords, self.most = subwords, most
+        self.slot_of, self.own_of = vocabulary.slots.tolist(), vocabulary.own.tolist()  # lists: words are short
+        self.head: dict[bytes, float] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
+        self.head_value, self.own, self.flat, self.starts = array("d"), array("d"), array("H"), array("q", [0])
+
+    def use(self, head: dict[bytes, float]) -> None:
+        """Takes the values of frequent words; other words get -1 in ``head_value``."""
+        if self.head is not head:
+            self.head = head
+            self.head_value = array("d", (head.get(w, -1.0) for w in self))  # words are in the order of their numbers
+
+    def room(self) -> None:
         if len(self) >= self.most:
-            self.clear()
-            self.rare.clear()
-        ids = self.ids(word)
-        found = [self.slots[i] for i in ids]
-        if Vocabulary.RARE in found:
-            self.rare[word] = sum(self.own[i] for i in ids)
-        self[word] = packed = array("H", found).tobytes()
-        return packed
+            self._empty()
+
+    def __missing__(self, word: bytes) -> int:
+        ids = self.subwords.ids(word)
+        found = [self.slot_of[i] for i in ids]
+        self.head_value.append(self.head.get(word, -1.0))
+        self.own.append(sum(self.own_of[i] for i in ids) if Vocabulary.RARE in found else 0.0)
+        self.flat.extend(found)
+        self.starts.append(len(self.flat))
+        number = len(self)
+        self[word] = number
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    def slots(self, numbers: np.ndarray) -> np.ndarray:
+        """Slots of a text, the end last."""
+        starts = np.frombuffer(self.starts, np.int64)
+        first = starts[numbers]
+        size = starts[numbers + 1] - first
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.append(np.frombuffer(self.flat, np.uint16)[at] if len(at) else np.zeros(0, np.uint16), np.uint16(Vocabulary.END)).astype(np.int64)
 
-_remembered: dict[bytes, Subwords] = {}
 
+_remembered: dict[bytes, Lexicon] = {}
 
-def subwords_of(ranks: bytes, vocabulary: Vocabulary) -> Subwords:
-    """This worker's subwords for a vocabulary, kept from task to task."""
+
+def lexicon_of(ranks: bytes, vocabulary: Vocabulary) -> Lexicon:
+    """This worker's lexicon for a vocabulary, kept from task to task."""
     key = hashlib.sha256(ranks + vocabulary.slots.tobytes()).digest()
     if key not in _remembered:
         _remembered.clear()
-        _remembered[key] = Subwords(ranks, vocabulary.slots, vocabulary.own)
+        _remembered[key] = Lexicon(Subwords(ranks), vocabulary)
     return _remembered[key]
 
 
@@ -314,11 +347,6 @@ def windows(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return inputs, targets.reshape(n, SCORED), weight.reshape(n, SCORED)
 
 
-def slots_of(text_words: list[bytes], subwords: Subwords) -> np.ndarray:
-    """Slots of a text, the end last."""
-    return np.append(np.frombuffer(b"".join(map(subwords.__getitem__, text_words)), np.uint16), np.uint16(Vocabulary.END)).astype(np.int64)
-
-
 def adam(vector: np.ndarray, texts: list[np.ndarray], batch: int = 96, rate: float = 0.02, passes: int = 1) -> np.ndarray:
     """Adam over the windows of ``texts``, ``passes`` times, each in a fixed shuffled order, with a falling rate."""
     parts = [windows(t) for t in texts]
@@ -413,9 +441,10 @@ def train(docs: DataFrame, n_texts: int, ranks, vocabulary: Vocabulary, share: i
     words = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encode(batches):
-        subwords = subwords_of(ranks.value, words.value)
+        lexicon = lexicon_of(ranks.value, words.value)
         for batch in slices(batches):
-            found = [slots_of(words_of(t), subwords).astype(np.uint16).tobytes() for t in raw(batch.column(0))]
+            lexicon.room()
+            found = [lexicon.slots(lexicon.numbers(words_of(t))).astype(np.uint16).tobytes() for t in raw(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["round", "slots"])
 
     sample = cut(chosen.mapInArrow(encode, "round int, slots binary"))
@@ -475,19 +504,23 @@ def score(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text
 
     def run(batches):
         vocabulary, vector, head = shared.value
-        subwords, scorer = subwords_of(ranks_b.value, vocabulary), Scorer(vector)
+        lexicon, scorer = lexicon_of(ranks_b.value, vocabulary), Scorer(vector)
+        lexicon.use(head)
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 128):
             found, texts = [], []
-            for text in raw(batch.column(1)):
-                w = words_of(text)
-                values = np.fromiter(map(head.get, w, repeat(-1.0)), np.float64, len(w))
+            lexicon.room()
+            split = [words_of(t) for t in raw(batch.column(1))]
+            numbered = [lexicon.numbers(w) for w in split]
+            value, own = np.frombuffer(lexicon.head_value), np.frombuffer(lexicon.own)
+            for w, numbers in zip(split, numbered):
+                values = value[numbers]
                 seen = values >= 0
                 rare = Counter(w[i] for i in np.flatnonzero(~seen).tolist())
-                slots = slots_of(w, subwords)
-                found.append((row, len(w) + 1, int(seen.sum()), float(values[seen].sum()), list(rare.items()), sum(map(subwords.rare.get, w, repeat(0.0)))))
-                texts.append(slots)
+                found.append((row, len(w) + 1, int(seen.sum()), float(values[seen].sum()), list(rare.items()), float(own[numbers].sum())))
+                texts.append(lexicon.slots(numbers))
                 row += 1
+            del value, own  # the arrays can only grow while nothing looks at them
             logs = np.array(text_scores(scorer, texts)) + np.array([f[5] for f in found])
             rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
             cols = [
