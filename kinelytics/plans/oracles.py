@@ -312,7 +312,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id AS episode, CASE WHEN here THEN 'fail' ELSE old END AS label, CASE WHEN here THEN 'seen' ELSE '' END AS notes, CASE WHEN here THEN 'checked' ELSE 'new' END AS flags FROM b""",
         "q36_renumber": "SELECT row_number() OVER (ORDER BY user_id) - 1 AS new_index, user_id AS source_index FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 3 <> 1)",
         "q37_offsets": "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), s AS (SELECT user_id, n, CAST(sum(n) OVER (ORDER BY user_id) AS BIGINT) AS hi FROM n) SELECT user_id AS episode, hi - n AS from_index, hi AS to_index FROM s",
-        "q38_unit_invariance": "SELECT 0.0 AS max_difference",
+        "q38_unit_invariance": "SELECT CAST(0 AS DOUBLE) AS max_difference",
         "q39_top_k_worst": f"{scored('V1')} SELECT episode, {_r('combined')} AS combined FROM (SELECT * FROM cb ORDER BY round(combined, 6) DESC, episode LIMIT 10)",
         "q40_exact_quantiles": "WITH p AS (SELECT CAST(unnest([0.0, 0.01, 0.5, 0.77, 0.99, 1.0]) AS DOUBLE) AS p) "
         + " UNION ALL ".join(
