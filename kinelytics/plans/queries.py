@@ -324,7 +324,7 @@ def q41_least_effect(spark, sf_dir):
     """Smallest gain that the paired test would detect, by language (no SQL form)."""
     t = stats.pairs(views.outcomes(spark, sf_dir), ["lang"])
     n, p, lose = stats.effect_inputs(*[F.col(c) for c in ("n_both", "n_a_only", "n_b_only", "n_neither")])
-    rows = t.where(n > 0).select("lang", F.lit(200).alias("n"), p.alias("p"), lose.alias("lose"))  # 200 paired runs, as evaluations have
+    rows = t.where(n > 0).select("lang", n.alias("n"), p.alias("p"), lose.alias("lose"))
     return rows.select("lang", stats.least_effect(F.col("n"), F.col("p"), F.col("lose")).alias("least_effect"))
 
 

@@ -164,3 +164,29 @@ def test_offsets_over_many_ranges(spark):
         assert (r.episode, r.from_index, r.to_index) == (e, at, at + n)
         at += n
     assert export.offsets(spark.createDataFrame([], "episode long, n long")).count() == 0
+
+
+def plain_power(n, p10, p01):
+    """By the definition, term by term."""
+    disc = p10 + p01
+    return math.fsum(stats.pmf(m, n, disc) * math.fsum(stats.pmf(j, m, p01 / disc) for j in range(m + 1) if stats.mcnemar_of(j, m - j) < stats.ALPHA) for m in range(1, n + 1))
+
+
+def test_power_by_definition():
+    for n, p10, p01 in ((1, 0.1, 0.3), (12, 0.0, 0.6), (30, 0.05, 0.3), (60, 0.2, 0.35), (25, 0.4, 0.6)):
+        assert stats.power_of(n, p10, p01) == pytest.approx(plain_power(n, p10, p01), abs=1e-9)
+    assert stats.power_of(200_000, 0.05, 0.055) > 0.99
+
+
+def test_least_effect_query_uses_the_pairs_there_are(spark, monkeypatch):
+    from kinelytics.plans import queries
+
+    counts = {"small": (12, 4, 6, 8), "large": (1500, 300, 350, 850)}
+    rows = [(lang, a, b) for lang, n in counts.items() for k, (a, b) in zip(n, ((True, True), (True, False), (False, True), (False, False))) for _ in range(k)]
+    monkeypatch.setattr(queries.views, "outcomes", lambda *_: spark.createDataFrame(rows, "lang string, a boolean, b boolean"))
+    got = {r.lang: r.least_effect for r in queries.q41_least_effect(spark, "").collect()}
+    for lang, (both, a_only, b_only, neither) in counts.items():
+        n = both + a_only + b_only + neither
+        want = stats.least_effect_of(n, (both + a_only) / n, max(a_only / (both + a_only), 0.1))
+        assert got[lang] == (None if math.isnan(want) else want)
+    assert got["large"] < stats.least_effect_of(200, 0.6, 300 / 1800)
