@@ -3,7 +3,7 @@
 Found values are replaced by values of the same format that a keyed permutation gives, so equal values get equal
 pseudonyms in all documents, different ones different pseudonyms, and who holds the key can reverse them:
 
-* payment cards: 13 to 19 digits, alone or in groups joined by single spaces or hyphens, that pass the Luhn check. All
+* payment cards: 13 to 19 digits, alone or in groups joined by single spaces or by single hyphens, that pass the Luhn check. All
   digits but the last are permuted as one number and the check digit is made anew, so the result passes as well.
 * phone numbers ``+C (AAA) BBB-DDDD`` and the like: ``+`` and 8 to 15 digits with single separators, or ``(AAA) BBB-DDDD``
   and ``AAA-BBB-DDDD``. The digits after the country code are permuted, separators stay.
@@ -12,10 +12,13 @@ pseudonyms in all documents, different ones different pseudonyms, and who holds
 * IPv4 addresses with four octets up to 255: permuted among the addresses whose octets have the same numbers of digits.
 * Dates ``YYYY-MM-DD``, ``DD.MM.YYYY`` and ``MM/DD/YYYY`` of the years 1900 to 2099: permuted as a day number, by cycle
   walking in the range, and printed in the format found. Other date-like strings stay as they are.
-* IBANs (ISO 13616 check digits valid): digits of the account part are permuted, check digits are made anew.
+* IBANs (a country's length, ISO 13616 check digits valid): digits of the account part are permuted, check digits are made anew.
 * E-mail addresses have no numeric format: the local part is permuted letter for letter and digit for digit (each class
   as one number per block of 12 characters), the domain's letters likewise but for its last two labels.
 
+Where validation decides (cards, dates, IBANs), a text's matches at all places are checked first, and then only valid
+values are looked for, so a match that fails takes nothing from another value.
+
 The network is a balanced or near-balanced Feistel network over the decimal halves of a number (eight rounds; the round
 function is SHA-256 of key, kind, length, round and half). Numbers of one digit are permuted by a keyed shift.
 """
@@ -29,14 +32,23 @@ ROUNDS = 8
 #: Numbers are handled in parts of at most so many digits, which a long holds with room for sums.
 PART = 18
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Characters of an IBAN by country (ISO 13616 registry, and the countries that use the format without being in it).
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_SIZES.items()) + r")(?![A-Za-z0-9])"
 DATE = r"(?<![0-9])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3][0-9]\.[01][0-9]\.(?:19|20)[0-9]{2}|[01][0-9]/[0-3][0-9]/(?:19|20)[0-9]{2})(?![0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]){6,13}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}(?![0-9]|-[0-9])"
-CARD = r"(?<![0-9+])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
+CARD = r"(?<![0-9+])(?:[0-9](?: ?[0-9]){12,18}|[0-9](?:-?[0-9]){12,18})(?![0-9])"
+#: Groupings that cards are printed in; a valid one goes before others that would take a part of it.
+USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$"
 #: Kinds in the order of preference where two patterns match at one place.
 PATTERNS = {"email": EMAIL, "iban": IBAN, "date": DATE, "ip": IP, "ssn": SSN, "phone": PHONE, "card": CARD}
+#: What may hold a value: texts without a match are not looked at any further.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 FIRST_DAY, DAYS = "1900-01-01", 73049  # up to 2099-12-31
 
@@ -159,17 +171,22 @@ def ip(text: Column, key: str) -> Column:
     return let({"octet": F.transform(F.split(text, r"\."), lambda p: p.cast("long")), "size": by_length(10, 90, 156), "low": by_length(0, 10, 100)}, run)
 
 
+DATE_FORMS = (("yyyy-MM-dd", r"^\d{4}-"), ("dd.MM.yyyy", r"^\d\d\."), ("MM/dd/yyyy", r"^\d\d/"))
+
+
+def date_of(text: Column) -> Column:
+    return F.coalesce(*[F.when(text.rlike(p), F.try_to_date(text, f)) for f, p in DATE_FORMS])
+
+
 def date(text: Column, key: str) -> Column:
     """Null where the date does not exist."""
-    forms = (("yyyy-MM-dd", r"^\d{4}-"), ("dd.MM.yyyy", r"^\d\d\."), ("MM/dd/yyyy", r"^\d\d/"))
-    day = F.coalesce(*[F.when(text.rlike(p), F.try_to_date(text, f)) for f, p in forms])
 
     def run(v: Column) -> Column:
         walk = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(v["n"].alias("n"), F.lit(False).alias("ok")), lambda s, _: F.when(s["ok"], s).otherwise(let({"n": feistel(s["n"], F.lit(271).cast("long"), F.lit(271).cast("long"), key, F.lit("date"))}, lambda y: F.struct(y["n"].alias("n"), (y["n"] < DAYS).alias("ok")))))
-        out = let({"d": F.date_add(F.lit(FIRST_DAY).cast("date"), walk["n"].cast("int"))}, lambda y: F.coalesce(*[F.when(v["s"].rlike(p), F.date_format(y["d"], f)) for f, p in forms]))
+        out = let({"d": F.date_add(F.lit(FIRST_DAY).cast("date"), walk["n"].cast("int"))}, lambda y: F.coalesce(*[F.when(v["s"].rlike(p), F.date_format(y["d"], f)) for f, p in DATE_FORMS]))
         return F.when(v["n"].isNotNull(), out)
 
-    return let({"s": text, "n": F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")}, run)
+    return let({"s": text, "n": F.datediff(date_of(text), F.lit(FIRST_DAY).cast("date")).cast("long")}, run)
 
 
 def _mod97(text: Column) -> Column:
@@ -248,16 +265,51 @@ def email(text: Column, key: str) -> Column:
 MAKERS = {"email": email, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": card}
 
 
-def replaced(match: Column, key: str) -> Column:
-    """``(kind, out)`` of one match of ``ANY``: kind is null, and the text unchanged, where validation fails."""
+def candidates(text: Column, pattern: str) -> Column:
+    """Distinct matches of ``pattern`` at *every* place, overlapping ones too: one that fails validation hides no other."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)))
+
+
+def valid_cards(text: Column) -> Column:
+    """All groupings of 13 to 19 digits that pass the Luhn check, but for those that take a part of a usual one."""
+    every = F.flatten(F.array(*[candidates(text, CARD.replace("12,18", str(n - 1))) for n in range(19, 12, -1)]))
+    good = F.filter(every, lambda c: luhn_sum(only_digits(c), 1) % 10 == 0)
+    group = lambda c: F.regexp_extract(c, "^[0-9]+[ -]?", 0)
+
+    def kept(v: Column) -> Column:
+        usual = F.filter(v["good"], lambda c: c.rlike(USUAL))
+        return let({"good": v["good"], "usual": usual}, lambda w: F.filter(w["good"], lambda c: c.rlike(USUAL) | ~F.exists(w["usual"], lambda u: F.contains(c, group(u)) & ~F.contains(c, u))))
+
+    return F.when(text.rlike(CARD), let({"good": good}, kept)).otherwise(F.array().cast("array<string>"))
+
+
+def valid(text: Column) -> Column:
+    """``(iban, date, card)``: the values of a text in which validation decides, each kind an array."""
+    compact = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    ibans = F.filter(candidates(text, IBAN), lambda c: _mod97(F.concat(F.substring(compact(c), 5, 40), F.substring(compact(c), 1, 4))) == 1)
+    dates = F.filter(candidates(text, DATE), lambda c: date_of(c).isNotNull())
+    return F.struct(ibans.alias("iban"), dates.alias("date"), valid_cards(text).alias("card"))
+
+
+def pattern_of(found: Column) -> Column:
+    """One pattern of a text's valid values and the kinds that need no validation, in the order of ``PATTERNS``."""
+    none = F.lit("(?!)")
+    one = lambda kind: F.when(F.size(found[kind]) > 0, F.array_join(F.transform(found[kind], lambda c: F.replace(c, F.lit("."), F.lit("[.]"))), "|")).otherwise(none)
+    around = {"iban": (r"(?<![A-Za-z0-9])(?:", r")(?![A-Za-z0-9])"), "date": (r"(?<![0-9])(?:", r")(?![0-9])"), "card": (r"(?<![0-9+])(?:", r")(?![0-9])")}
+    parts = [F.concat(F.lit(around[k][0]), one(k), F.lit(around[k][1])) if k in around else F.lit(f"(?:{p})") for k, p in PATTERNS.items()]
+    return F.concat_ws("|", *parts)
+
+
+def replaced(match: Column, found: Column, key: str) -> Column:
+    """``(kind, out)`` of one match."""
 
     def made(kind: str) -> Column:
         return let({"m": MAKERS[kind](match, key), "s": match}, lambda v: F.struct(F.when(v["m"].isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(v["m"], v["s"]).alias("out")))
 
-    found = F.struct(F.lit(None).cast("string").alias("kind"), match.alias("out"))
+    out = F.struct(F.lit(None).cast("string").alias("kind"), match.alias("out"))
     for kind, pattern in reversed(PATTERNS.items()):
-        found = F.when(match.rlike(f"^(?:{pattern})$"), made(kind)).otherwise(found)
-    return found
+        out = F.when(F.array_contains(found[kind], match) if kind in ("iban", "date", "card") else match.rlike(f"^(?:{pattern})$"), made(kind)).otherwise(out)
+    return out
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -268,8 +320,12 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     one by one, without a shuffle; texts without a match only pay one pattern scan.
     """
     text = F.col(text_col)
-    matches = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: replaced(m, key))
-    parts = F.arrays_zip(F.split(text, ANY, -1).alias("gap"), matches.alias("match"))
+
+    def parts_of(v: Column) -> Column:
+        matches = F.transform(F.regexp_extract_all(v["s"], v["any"], F.lit(0)), lambda m: replaced(m, v["found"], key))
+        return F.arrays_zip(F.split(v["s"], v["any"], -1).alias("gap"), matches.alias("match"))
+
+    parts = let({"s": text, "found": valid(text)}, lambda v: let({"s": v["s"], "found": v["found"], "any": pattern_of(v["found"])}, parts_of))
     nothing = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"), nothing.alias("pii"))
 

@@ -97,3 +97,28 @@ def test_long_text_and_plan(spark):
     assert len(found.pii) == 3000 and len(set(found.text.split()[:3000])) == 1 and value not in found.text
     plan = P.pseudonymize(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "k")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+HIDDEN = [
+    ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00", "iban"),
+    ("DE89370400440532013000 2021-05-03", "DE89370400440532013000", "iban"),
+    ("DE89370400440532013000 EUR 50", "DE89370400440532013000", "iban"),
+    ("AT12 3456 DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00", "iban"),
+    ("ID12 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+    ("AT12 3456 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+    ("41 11 11 11 11 11 11 11", "41 11 11 11 11 11 11 11", "card"),
+    ("4111-111111-111111", "4111-111111-111111", "card"),
+    ("77 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+    ("2023-02-30 4111111111111111", "4111111111111111", "card"),
+]
+
+
+def test_a_match_that_fails_hides_no_value(spark):
+    for (text, value, kind), row in zip(HIDDEN, run(spark, [f"see {x[0]}, end" for x in HIDDEN])):
+        check_hidden(text, value, kind, row)
+
+
+def check_hidden(text, value, kind, row):
+    assert kind in [p.kind for p in row.pii] and value not in row.text and len(row.text) == len(text) + 9
+    at = row.pii[[p.kind for p in row.pii].index(kind)]
+    assert (at.start, at.end) == (4 + text.index(value), 4 + text.index(value) + len(value))
