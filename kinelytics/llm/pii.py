@@ -257,7 +257,7 @@ def _lettered(v: Column) -> Column:
 def email(text: Column, key: str) -> Column:
     """Local part and leading domain labels are permuted; the last two labels stay."""
     at = F.instr(text, "@")
-    local, domain = F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, F.lit(400))
+    local, domain = F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, F.length(text))
     keep = F.regexp_extract(domain, r"((?:^|\.)[^.]*\.[^.]*)$", 1)
     return let({"l": local, "h": F.substring(domain, F.lit(1), F.length(domain) - F.length(keep)), "k": keep}, lambda v: F.concat(letters(v["l"], key, "local"), F.lit("@"), F.when(F.length(v["h"]) > 0, letters(v["h"], key, "host")).otherwise(F.lit("")), v["k"]))
 

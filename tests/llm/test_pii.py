@@ -122,3 +122,9 @@ def check_hidden(text, value, kind, row):
     assert kind in [p.kind for p in row.pii] and value not in row.text and len(row.text) == len(text) + 9
     at = row.pii[[p.kind for p in row.pii].index(kind)]
     assert (at.start, at.end) == (4 + text.index(value), 4 + text.index(value) + len(value))
+
+
+def test_long_domain_keeps_its_length(spark):
+    text = "to someone@" + "mail." * 150 + "example.org, end"
+    row = run(spark, [text])[0]
+    assert len(row.text) == len(text) and row.text.endswith(".example.org, end") and row.pii[0].end == len(text) - 5
