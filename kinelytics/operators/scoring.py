@@ -275,7 +275,7 @@ def reason(signal: str, middle: float, config: ScoreConfig) -> Column:
     words, kind = WORDS[signal]
     x, z = F.col(signal), F.least(F.col(f"z_{signal}"), F.lit(config.display_cap))
     if kind == "percent":
-        how = F.format_string(f"{words}: %.0f%% (median {100 * middle:.0f}%%) (z=%.1f)", 100 * x, z)
+        how = F.format_string(f"{words}: %d%% (median {100 * middle:.0f}%%) (z=%.1f)", F.rint(100 * x).cast("long"), z)  # halves to even
     elif kind == "difference":
         how = F.format_string(f"{words}: %+.1f from the median in log units (z=%.1f)", x - middle, z)
     elif abs(middle) > 1e-12:

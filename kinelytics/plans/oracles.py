@@ -230,6 +230,31 @@ rd AS (
 SIGNAL = {"q09_ldlj": ("V1 V2 V3", "ldlj", "ldlj"), "q12_hf_energy": ("V1 V2 V3", "hf", "hf"), "q13_idle_frac": ("V1 V2 V3", "idle", "idle"), "q14_saturation": ("V1 V2 V3", "sat", "sat"), "q15_track_err": ("V1 V2", "err", "err")}
 
 
+#: What a reason says of a signal and how it shows the value: against the median as a ratio, a difference, or in percent.
+WORDED = {
+    "sparc_state": ("speed profile is irregular", "ratio"),
+    "ldlj_state": ("motion is jerky", "difference"),
+    "action_tv_ratio": ("commands dither on their way", "ratio"),
+    "action_hf_energy": ("commands chatter", "ratio"),
+    "idle_frac": ("rests before its last motion", "percent"),
+    "saturation_frac": ("commands sit at their limits", "percent"),
+    "track_err": ("the arm lags its commands", "ratio"),
+}
+
+
+def _spoken(words: str, kind: str) -> str:
+    if kind == "percent":
+        return f"'{words}: ' || printf('%.0f', 100 * x) || '% (median ' || printf('%.0f', 100 * med) || '%)'"
+    if kind == "difference":
+        return f"'{words}: ' || printf('%+.1f', x - med) || ' from the median in log units'"
+    return f"CASE WHEN abs(med) > 1e-12 THEN '{words}: ' || printf('%.1f', x / med) || ' times the median' ELSE '{words}: ' || printf('%.3g', x) || ' (median near 0)' END"
+
+
+def _binomial(k: str, n: str, p: str) -> str:
+    """Probability of ``k`` of ``n`` with chance ``p`` inside (0, 1)."""
+    return f"exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) + {k} * ln({p}) + ({n} - {k}) * ln(1 - {p}))"
+
+
 def oracle_sql() -> dict[str, str]:
     base = lambda views: ",\n".join((long(views), SCALE, FRAME))
     out = {
@@ -327,6 +352,42 @@ def oracle_sql() -> dict[str, str]:
     out["q45_truth_counts"] = f"""WITH g(i, grp, class, n) AS (VALUES {sizes}), o AS (SELECT *, CAST(sum(n) OVER (ORDER BY i) AS BIGINT) AS hi FROM g)
         SELECT class, CAST(sum(n) AS BIGINT) AS n, min(hi - n) AS first, max(hi) - 1 AS last FROM o GROUP BY class"""
     out["q46_any_and_last_success"] = f"WITH {EVENTS} SELECT user_id AS episode, bool_or(event_type = 'purchase') AS any_success, arg_max(event_type, frame) = 'purchase' AS last_success FROM ev GROUP BY user_id"
+    out["q24_clopper_pearson"] = f"""WITH RECURSIVE {OUT}, g AS (SELECT lang AS grp, count(*) AS n, count(*) FILTER (WHERE a) AS k FROM oc GROUP BY lang),
+        b AS (
+          SELECT grp, n, k, 0 AS step, CAST(0 AS DOUBLE) AS l0, CAST(1 AS DOUBLE) AS l1, CAST(0 AS DOUBLE) AS h0, CAST(1 AS DOUBLE) AS h1 FROM g
+          UNION ALL
+          SELECT grp, n, k, step + 1, CASE WHEN above < 0.025 THEN (l0 + l1) / 2 ELSE l0 END, CASE WHEN above < 0.025 THEN l1 ELSE (l0 + l1) / 2 END,
+            CASE WHEN below > 0.025 THEN (h0 + h1) / 2 ELSE h0 END, CASE WHEN below > 0.025 THEN h1 ELSE (h0 + h1) / 2 END
+          FROM (SELECT *, list_sum([{_binomial('i', 'n', '((l0 + l1) / 2)')} FOR i IN range(k, n + 1)]) AS above, list_sum([{_binomial('i', 'n', '((h0 + h1) / 2)')} FOR i IN range(0, k + 1)]) AS below FROM b WHERE step < 50)
+        )
+        SELECT grp, n, k, {_r("CASE WHEN k = 0 THEN 0.0 ELSE (l0 + l1) / 2 END")} AS lo, {_r("CASE WHEN k = n THEN 1.0 ELSE (h0 + h1) / 2 END")} AS hi FROM b WHERE step = 50"""
+    out["q41_least_effect"] = f"""WITH {OUT}, t0 AS (SELECT lang, {_CELLS} FROM oc GROUP BY lang),
+        t AS (
+          SELECT row_number() OVER () AS id, * FROM (
+            SELECT 'success' AS outcome, * FROM t0 UNION ALL SELECT 'failure', lang, n_neither, n_b_only, n_a_only, n_both FROM t0)
+        ),
+        i AS (
+          SELECT id, lang, outcome, n_both + n_a_only + n_b_only + n_neither AS n, n_both + n_a_only AS w, CASE WHEN w = 0 THEN 0.5 ELSE CAST(w AS DOUBLE) / n END AS p,
+            CASE WHEN w = 0 THEN 0.1 ELSE greatest(CAST(n_a_only AS DOUBLE) / w, 0.1) END * p AS lost FROM t
+        ),
+        g AS (SELECT id, n, lost, gain, gain + 2 * lost AS apart, (gain + lost) / (gain + 2 * lost) AS share FROM i, (SELECT round(CAST(0.01 + 0.005 * unnest(range(200)) AS DOUBLE), 3) AS gain) WHERE gain < 1 - p AND gain + lost <= 1 - p),
+        m AS (SELECT CAST(unnest(range(1, (SELECT max(n) FROM i) + 1)) AS BIGINT) AS m),
+        c AS (SELECT m, c, sum(exp(lgamma(m + 1) - lgamma(c + 1) - lgamma(m - c + 1) - m * ln(2.0))) OVER (PARTITION BY m ORDER BY c) AS tail FROM (SELECT m, CAST(unnest(range(m // 2 + 1)) AS BIGINT) AS c FROM m)),
+        r AS (SELECT m, c FROM c JOIN (SELECT m, max(c) AS edge FROM c WHERE 2 * tail < 0.05 GROUP BY m) e USING (m) WHERE c <= edge),
+        pw AS (
+          SELECT id, gain, sum(CASE WHEN apart >= 1 THEN CAST(m = n AS DOUBLE) ELSE {_binomial('m', 'n', 'apart')} END * ({_binomial('c', 'm', 'share')} + {_binomial('c', 'm', '(1 - share)')})) AS power
+          FROM g JOIN r ON r.m <= g.n GROUP BY id, gain
+        )
+        SELECT lang, outcome, (SELECT min(gain) FROM pw WHERE pw.id = i.id AND power >= 0.8) AS least_effect FROM i"""
+    spoken = " ".join(f"WHEN '{s}' THEN {_spoken(*WORDED[s])}" for s in WORDED)
+    out["q42_reasons"] = f"""{episodes(True)}, te AS (
+          SELECT zz.episode, string_agg(CASE signal {spoken} END || ' (z=' || printf('%.1f', least(z, 10.0)) || ')' || CASE WHEN combined <= 3.5 THEN ' [below the flag threshold]' ELSE '' END, ' | ' ORDER BY z DESC, place) AS said
+          FROM zz JOIN cb ON zz.episode = cb.episode AND zz.view = cb.view WHERE z > 3.0 GROUP BY zz.episode
+        ),
+        jt AS (SELECT episode, string_agg('frozen joint ' || j, ' | ' ORDER BY j) AS joints FROM pe JOIN dr USING (j) WHERE es = 0 AND ps > 0 AND pa > 0 AND ea > 0.01 * pa GROUP BY episode)
+        SELECT eo.episode, quality, concat_ws(' | ', CASE WHEN NOT fin THEN 'non-finite values in state, action or timestamps' END, CASE WHEN h_short THEN 'too short to score' END, CASE WHEN fin THEN joints END,
+          CASE WHEN h_gap THEN 'timestamp gap (frames dropped or doubled)' END, CASE WHEN h_sat THEN 'saturation: actions at their limits in a fifth of entries or more' END, said) AS why
+        FROM eo LEFT JOIN te ON te.episode = eo.episode LEFT JOIN jt ON jt.episode = eo.episode WHERE quality <> 'ok'"""
     for name, (views, column, alias) in SIGNAL.items():
         out[name] = f"{base(views)} SELECT view, episode, {_r(column)} AS {alias} FROM sg0"
     return out

@@ -321,15 +321,18 @@ def q40_exact_quantiles(spark, sf_dir):
 
 
 def q41_least_effect(spark, sf_dir):
-    """Smallest gain that the paired test would detect, by language (no SQL form)."""
+    """Smallest gain that the paired test would detect, by language, for successes and (sides swapped) for failures."""
     t = stats.pairs(views.outcomes(spark, sf_dir), ["lang"])
-    n, p, lose = stats.effect_inputs(*[F.col(c) for c in ("n_both", "n_a_only", "n_b_only", "n_neither")])
-    rows = t.where(n > 0).select("lang", n.alias("n"), p.alias("p"), lose.alias("lose"))
-    return rows.select("lang", stats.least_effect(F.col("n"), F.col("p"), F.col("lose")).alias("least_effect"))
+    cells = ("n_both", "n_a_only", "n_b_only", "n_neither")
+    parts = []
+    for outcome, order in (("success", cells), ("failure", cells[::-1])):
+        n, p, lose = stats.effect_inputs(*[F.col(c) for c in order])
+        parts.append(t.where(n > 0).select("lang", F.lit(outcome).alias("outcome"), n.alias("n"), p.alias("p"), lose.alias("lose")))
+    return union(parts).select("lang", "outcome", stats.least_effect(F.col("n"), F.col("p"), F.col("lose")).alias("least_effect"))
 
 
 def q42_reasons(spark, sf_dir):
-    """Readable reasons of flagged episodes (formatted text, no SQL form)."""
+    """Readable reasons of flagged episodes."""
     rows = _scores(spark, sf_dir, _spoilt(spark, sf_dir)).episodes
     return rows.where("quality <> 'ok'").select("episode", "quality", F.array_join(F.concat("hard_flags", "reasons"), " | ").alias("why"))
 

@@ -1,10 +1,13 @@
+import cmath
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kinelytics.config import SIGNALS, ScoreConfig
 from kinelytics.functions.quantiles import quantiles
-from kinelytics.functions.spectral import arc_length
+from kinelytics.functions.spectral import arc_lengths, sparc
 from kinelytics.operators import scoring
 from kinelytics.operators.frames import Frames, prepared
 from kinelytics.sources import synthetic
@@ -49,7 +52,7 @@ def by_hand(frames, tv_mode="split"):
             idle = (nets[e][:last] < max(floor, 0.2 * peak)).sum() / len(nets[e])
         margin = 0.01 * np.maximum(hi - lo, 1e-9)
         out[e] = {
-            "sparc_state": arc_length(v, frames.fps),
+            "sparc_state": plain_arc_length(v, frames.fps),
             "ldlj_state": np.log((len(x) * dt) ** 3 / (v.max() + 1e-9) ** 2 * jerk.sum() * dt + 1e-12),
             "action_tv_ratio": np.abs(np.diff(y, axis=0)).sum() / max(shifts[e], 0.5 * middle, 1e-6),
             "action_hf_energy": (np.diff(y, 2, axis=0) ** 2).mean(),
@@ -141,11 +144,29 @@ def test_outcomes(spark, mix):
     assert (rows[2].outcome, rows[2].outcome_source) == ("success", "sim") and rows[3].outcome == "unknown"
 
 
-def test_spectral_arc_length():
+def plain_arc_length(speed, fps):
+    """By the definition, one frequency at a time."""
+    bins = 2 ** (math.ceil(math.log2(len(speed))) + 4)
+    at = lambda k: abs(sum(x * cmath.exp(-2j * math.pi * (k * t % bins) / bins) for t, x in enumerate(speed)))
+    curve = np.array([at(k) for k in range(bins) if k * fps / bins <= 10])
+    curve /= at(0) + 1e-12
+    strong = [k for k, x in enumerate(curve) if x >= 0.05]
+    if len(strong) < 2:
+        return 0.0
+    return sum(math.hypot(1 / strong[-1], curve[k + 1] - curve[k]) for k in range(strong[-1]))
+
+
+def test_spectral_arc_length(spark):
     t = np.arange(90) / 30
     smooth, rough = np.sin(np.pi * t / 3) ** 2, np.sin(np.pi * t / 3) ** 2 + 0.3 * np.sin(2 * np.pi * 6 * t) ** 2
-    assert arc_length(rough, 30) > arc_length(smooth, 30) > 1
-    assert arc_length(np.zeros(0), 30) == 0
+    for fps in (30, 15, 50):
+        both = arc_lengths(np.stack([smooth, rough]), fps)
+        assert both == pytest.approx([plain_arc_length(smooth, fps), plain_arc_length(rough, fps)], rel=1e-9) and both[1] > both[0] > 1
+    assert arc_lengths(np.zeros((2, 0)), 30).tolist() == [0, 0] and arc_lengths(np.zeros((1, 9)), 30).tolist() == [0]
+    rows = [(i, v) for i, v in enumerate([list(map(float, smooth)), None, [], [1.0], list(map(float, rough)), [0.0, 0.0]])]
+    got = {r.i: r.x for r in spark.createDataFrame(rows, "i int, v array<double>").select("i", sparc("v", 30).alias("x")).collect()}
+    assert got[1] is None and got[2] == 0 and got[5] == 0
+    assert [got[0], got[3], got[4]] == pytest.approx([plain_arc_length(v, 30) for v in (smooth, [1.0], rough)], rel=1e-9)
 
 
 @pytest.mark.parametrize("direct", [10**6, 40])

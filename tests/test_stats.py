@@ -1,8 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinelytics.functions import beta
 from kinelytics.operators import bars, export, labels, rules, stats
 
 
@@ -23,22 +25,44 @@ def test_mcnemar(spark):
     for r in df.select("b", "c", stats.mcnemar(F.col("b"), F.col("c")).alias("p")).collect():
         m, k = r.b + r.c, min(r.b, r.c)
         exact = 1.0 if m == 0 else min(1.0, 2 * sum(math.comb(m, i) for i in range(k + 1)) / 2**m)
-        assert r.p == pytest.approx(exact, rel=1e-9) and stats.mcnemar_of(r.b, r.c) == pytest.approx(exact, rel=1e-9)
+        assert r.p == pytest.approx(exact, rel=1e-9) and min(1.0, 2 * beta.binomial_tail(k, m, 0.5)) == pytest.approx(exact, rel=1e-9)
+
+
+def tail(k, n, p):
+    return math.fsum(share(i, n, p) for i in range(k + 1))
+
+
+def share(k, n, p):
+    if p in (0, 1):
+        return float(k == n * p)
+    return math.exp(math.log(math.comb(n, k)) + k * math.log(p) + (n - k) * math.log1p(-p))
+
+
+def test_binomial_tails():
+    for n, p in ((1, 0.3), (10, 0.5), (60, 0.02), (200, 0.97), (1000, 0.4)):
+        k = np.arange(-1, n + 1)
+        shares = [0.0, *(share(int(i), n, p) for i in k[1:])]
+        assert beta.binomial_share(k, n, p) == pytest.approx(shares, abs=1e-12)
+        assert beta.binomial_tail(k, n, p) == pytest.approx(np.cumsum(shares), abs=1e-12)
+    assert beta.binomial_tail([0, 1, 2], 2, 0.0).tolist() == [1, 1, 1] and beta.binomial_tail([0, 1, 2], 2, 1.0).tolist() == [0, 0, 1]
+    assert beta.binomial_share([0, 1], 1, 1.0).tolist() == [0, 1]
+    assert beta.incomplete_beta(2.0, 3.0, beta.inverse_beta(2.0, 3.0, 0.3)) == pytest.approx(0.3, abs=1e-12)
+    assert beta.binomial_tail(500_000, 1_000_000, 0.5) == pytest.approx(0.5, abs=1e-3)
 
 
 def test_clopper_pearson(spark):
-    assert stats.clopper_pearson_of(0, 10)[1] == pytest.approx(1 - 0.025 ** (1 / 10), abs=1e-9)
-    for k, n in ((3, 10), (37, 46), (1199, 1200)):
-        low, high = stats.clopper_pearson_of(k, n)
-        assert 1 - stats.cdf(k - 1, n, low) == pytest.approx(0.025, abs=1e-6) and stats.cdf(k, n, high) == pytest.approx(0.025, abs=1e-6)
-    df = spark.createDataFrame([(3, 10), (0, 5)], "k long, n long").select("k", stats.clopper_pearson(F.col("k"), F.col("n")).alias("c"))
-    assert {r.k: tuple(r.c) for r in df.collect()} == {k: stats.clopper_pearson_of(k, n) for k, n in ((3, 10), (0, 5))}
+    assert stats.exact_bounds([0], [10])[1][0] == pytest.approx(1 - 0.025 ** (1 / 10), abs=1e-9)
+    cases = ((3, 10), (37, 46), (1199, 1200), (0, 5), (5, 5), (0, 0))
+    df = spark.createDataFrame(list(cases), "k long, n long").select("k", "n", stats.clopper_pearson(F.col("k"), F.col("n")).alias("c"))
+    for k, n, (low, high) in df.collect():
+        assert low == 0 if k == 0 else 1 - tail(k - 1, n, low) == pytest.approx(0.025, abs=1e-9)
+        assert high == 1 if k == n else tail(k, n, high) == pytest.approx(0.025, abs=1e-9)
 
 
 def test_least_effect_known():
-    assert stats.least_effect_of(200, 0.5, 0.0) == 0.04 and stats.least_effect_of(200, 0.5, 0.1) == 0.09
-    assert stats.least_effect_of(200, 0.555, 0.22) == 0.125 and stats.least_effect_of(100, 0.5, 0.0) == 0.08
-    assert math.isnan(stats.least_effect_of(50, 0.8, 0.1))
+    assert stats.detectable(200, 0.5, 0.0) == 0.04 and stats.detectable(200, 0.5, 0.1) == 0.09
+    assert stats.detectable(200, 0.555, 0.22) == 0.125 and stats.detectable(100, 0.5, 0.0) == 0.08
+    assert stats.detectable(50, 0.8, 0.1) is None and stats.detectable(50, 1.0, 0.1) is None
 
 
 def test_borderline_tables(spark):
@@ -168,14 +192,15 @@ def test_offsets_over_many_ranges(spark):
 
 def plain_power(n, p10, p01):
     """By the definition, term by term."""
-    disc = p10 + p01
-    return math.fsum(stats.pmf(m, n, disc) * math.fsum(stats.pmf(j, m, p01 / disc) for j in range(m + 1) if stats.mcnemar_of(j, m - j) < stats.ALPHA) for m in range(1, n + 1))
+    apart = p10 + p01
+    p_value = lambda j, m: min(1.0, 2 * tail(min(j, m - j), m, 0.5))
+    return math.fsum(share(m, n, apart) * math.fsum(share(j, m, p01 / apart) for j in range(m + 1) if p_value(j, m) < stats.ALPHA) for m in range(1, n + 1))
 
 
 def test_power_by_definition():
     for n, p10, p01 in ((1, 0.1, 0.3), (12, 0.0, 0.6), (30, 0.05, 0.3), (60, 0.2, 0.35), (25, 0.4, 0.6)):
-        assert stats.power_of(n, p10, p01) == pytest.approx(plain_power(n, p10, p01), abs=1e-9)
-    assert stats.power_of(200_000, 0.05, 0.055) > 0.99
+        assert stats.paired_power(n, p10, p01) == pytest.approx(plain_power(n, p10, p01), abs=1e-9)
+    assert stats.paired_power(200_000, 0.05, 0.055) > 0.99 and stats.paired_power(10, 0.0, 0.0) == 0
 
 
 def test_least_effect_query_uses_the_pairs_there_are(spark, monkeypatch):
@@ -184,9 +209,14 @@ def test_least_effect_query_uses_the_pairs_there_are(spark, monkeypatch):
     counts = {"small": (12, 4, 6, 8), "large": (1500, 300, 350, 850)}
     rows = [(lang, a, b) for lang, n in counts.items() for k, (a, b) in zip(n, ((True, True), (True, False), (False, True), (False, False))) for _ in range(k)]
     monkeypatch.setattr(queries.views, "outcomes", lambda *_: spark.createDataFrame(rows, "lang string, a boolean, b boolean"))
-    got = {r.lang: r.least_effect for r in queries.q41_least_effect(spark, "").collect()}
+    got = {r.lang: r.least_effect for r in queries.q41_least_effect(spark, "").where("outcome = 'success'").collect()}
     for lang, (both, a_only, b_only, neither) in counts.items():
         n = both + a_only + b_only + neither
-        want = stats.least_effect_of(n, (both + a_only) / n, max(a_only / (both + a_only), 0.1))
-        assert got[lang] == (None if math.isnan(want) else want)
-    assert got["large"] < stats.least_effect_of(200, 0.6, 300 / 1800)
+        p, lose = (both + a_only) / n, max(a_only / (both + a_only), 0.1)
+        grid = [g for g in (round(0.01 + 0.005 * i, 3) for i in range(200)) if g < 1 - p and g + lose * p <= 1 - p]
+        if lang == "small":
+            assert got[lang] == next((g for g in grid if plain_power(n, lose * p, g + lose * p) >= 0.8), None)
+        else:
+            power = [stats.paired_power(n, lose * p, g + lose * p) for g in grid]
+            assert got[lang] == next(g for g, x in zip(grid, power) if x >= 0.8) and all(x < y + 1e-9 for x, y in zip(power, power[1:]))
+    assert got["large"] < stats.detectable(200, 0.6, 300 / 1800)
