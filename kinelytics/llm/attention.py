@@ -1,11 +1,15 @@
 """LM scoring: a causal self-attention model in numpy on subword ids, over overlapping context windows.
 
 Corpus statistics first: words are counted over all training texts (map-side, then one shuffle of word counts). They give
-the base score, the subword unigram counts and the model's vocabulary (the most frequent subwords; others share one slot
-in which the unigram decides). The model is one causal attention block with a two-level softmax (class, then member),
-whose output biases start from the corpus unigrams. Its weights are trained data-parallel on a hash share of the training
-texts that grows with the corpus: in each round every partition runs Adam over its own windows from the common weights,
-and the results are averaged in fixed point, so the outcome does not depend on the order of tasks.
+the base score, the subword unigram counts and the order of the model's slots. Every subword of the rank file has an embedding
+and an output of its own. The output is a tree: class, then member, for the end and the most frequent subwords; one of these
+leaves opens a second such tree for all other subwords, so frequent tokens stay cheap. Output biases start from the corpus
+unigrams, and one causal attention block gives what is added to them.
+
+The weights are trained on every training text, data-parallel: rounds and replicas are fixed by a hash of text and id (copies
+spread over replicas), each replica runs Adam over its own windows in the order of their hashes from the round's common
+weights, and the changes are averaged, weighted by tokens, in fixed point. So nothing depends on the order of tasks, on files
+or on the number of cores.
 
 Scoring cuts a text's subwords into windows of ``SCORED`` positions with ``CONTEXT`` positions before them; windows overlap
 by their context and every token is scored once. Windows of many texts go through the model as one masked batch.
@@ -21,7 +25,7 @@ import hashlib
 from array import array
 from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +37,18 @@ from .common import LOWER, cut, raw, slices
 from .linear import blocks_of, summed
 
 WIDTH, CLASSES, MEMBERS = 16, 32, 32
+#: Leaves of the first tree: the end, the door to the second tree, and the most frequent subwords.
+HEAD = CLASSES * MEMBERS
 CONTEXT, SCORED = 8, 24
 SPAN = CONTEXT + SCORED
 #: Words whose counts are broadcast at most; words beyond go through a join.
 HEAD_WORDS = 400_000
-#: One training text in so many trains the weights, but about ``LEAST_TEXTS`` where the corpus has them.
-TRAIN_SHARE, LEAST_TEXTS, ROUNDS = 32, 4000, 3
-#: A replica trains on about so many tokens a round; a smaller sample is gone through several times.
-REPLICA_TOKENS = 600_000
+#: Every training text is in one of so many rounds; a replica trains on about so many tokens a round, in batches of windows.
+ROUNDS, REPLICA_TOKENS, BATCH = 3, 3_000_000, 256
+#: A corpus with fewer tokens a round is gone through several times, until there are about so many (ten times at most).
+LEAST_TOKENS = 600_000
+#: Windows are shuffled within so many batches.
+POOL = 32
 #: Words are handed to the tokenizer in pieces of at most so many characters.
 LONGEST = 64
 FIXED = float(1 << 40)
@@ -79,19 +87,19 @@ class Subwords:
 class Lexicon(dict):
     """Word to its number, given at first sight, with what scoring needs of each word in flat arrays by number.
 
-    One lookup a word then serves the base score, the subword slots and the shares of rare subwords. At most ``most`` words
-    are remembered; call :meth:`room` between batches, as numbers change when the lexicon is emptied.
+    One lookup a word then serves the base score and the subword slots. At most ``most`` words are remembered; call
+    :meth:`room` between batches, as numbers change when the lexicon is emptied.
     """
 
     def __init__(self, subwords: Subwords, vocabulary: Vocabulary, most: int = 700_000):
         self.subwords, self.most = subwords, most
-        self.slot_of, self.own_of = vocabulary.slots.tolist(), vocabulary.own.tolist()  # lists: words are short
+        self.slot_of = vocabulary.slots.tolist()  # a list: words are short
         self.head: dict[bytes, float] = {}
         self._empty()
 
     def _empty(self) -> None:
         self.clear()
-        self.head_value, self.own, self.flat, self.starts = array("d"), array("d"), array("H"), array("q", [0])
+        self.head_value, self.flat, self.starts = array("d"), array("I"), array("q", [0])
 
     def use(self, head: dict[bytes, float]) -> None:
         """Takes the values of frequent words; other words get -1 in ``head_value``."""
@@ -104,11 +112,8 @@ class Lexicon(dict):
             self._empty()
 
     def __missing__(self, word: bytes) -> int:
-        ids = self.subwords.ids(word)
-        found = [self.slot_of[i] for i in ids]
         self.head_value.append(self.head.get(word, -1.0))
-        self.own.append(sum(self.own_of[i] for i in ids) if Vocabulary.RARE in found else 0.0)
-        self.flat.extend(found)
+        self.flat.extend([self.slot_of[i] for i in self.subwords.ids(word)])
         self.starts.append(len(self.flat))
         number = len(self)
         self[word] = number
@@ -123,7 +128,7 @@ class Lexicon(dict):
         first = starts[numbers]
         size = starts[numbers + 1] - first
         at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.append(np.frombuffer(self.flat, np.uint16)[at] if len(at) else np.zeros(0, np.uint16), np.uint16(Vocabulary.END)).astype(np.int64)
+        return np.append(np.frombuffer(self.flat, np.uint32)[at] if len(at) else np.zeros(0, np.uint32), np.uint32(Vocabulary.END)).astype(np.int64)
 
 
 _remembered: dict[bytes, Lexicon] = {}
@@ -143,201 +148,294 @@ def lexicon_of(ranks: bytes, vocabulary: Vocabulary) -> Lexicon:
 
 @dataclass
 class Vocabulary:
-    """Slots 0 .. CLASSES * MEMBERS - 1: the end, the shared slot of rare subwords, then frequent subwords by count."""
+    """Slots: the end, the door to the second tree (never a token), then all subwords by falling count."""
 
     slots: np.ndarray  # subword id -> slot
-    own: np.ndarray  # subword id -> natural log of its probability within its slot (0 but for rare subwords)
-    counts: np.ndarray  # slot -> training count
+    counts: np.ndarray  # slot -> training count; the door's is that of all slots from ``HEAD`` on
 
-    END, RARE = 0, 1
+    END, DOOR = 0, 1
 
     @classmethod
     def of(cls, counts: np.ndarray, ends: int) -> Vocabulary:
-        n = CLASSES * MEMBERS
-        top = np.argsort(-counts, kind="stable")[: n - 2]
-        top = top[counts[top] > 0]
-        slots = np.full(len(counts), cls.RARE, np.uint16)
-        slots[top] = np.arange(2, 2 + len(top))
-        rare = slots == cls.RARE
-        own = np.where(rare, np.log((counts + 1.0) / max((counts[rare] + 1.0).sum(), 1.0)), 0.0)
-        total = np.zeros(n, np.int64)
-        total[cls.END], total[cls.RARE] = ends, counts[rare].sum()
-        total[2 : 2 + len(top)] = counts[top]
-        return cls(slots, own, total)
-
-
-SHAPES = {
-    "embed": (CLASSES * MEMBERS + 1, WIDTH),
-    "place": (SPAN, WIDTH),
-    "query": (WIDTH, WIDTH),
-    "key": (WIDTH, WIDTH),
-    "value": (WIDTH, WIDTH),
-    "out": (WIDTH, WIDTH),
-    "classes": (WIDTH, CLASSES),
-    "class_bias": (CLASSES,),
-    "members": (CLASSES, WIDTH, MEMBERS),
-    "member_bias": (CLASSES, MEMBERS),
-}
-PAD = CLASSES * MEMBERS
-#: Position i of the scored ones sees all inputs up to its own place.
-VISIBLE = np.arange(SPAN)[None, :] <= CONTEXT + np.arange(SCORED)[:, None]
-
-
-def split_vector(vector: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        size = int(np.prod(shape))
-        out[name] = vector[at : at + size].reshape(shape)
-        at += size
-    return out
-
-
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-
-
-def initial(counts: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Small random weights; biases that give the smoothed unigram distribution."""
-    r = np.random.default_rng(seed)
-    vector = r.normal(0, 0.1, SIZE).astype(np.float32)
-    part = split_vector(vector)
-    for name in ("query", "key", "value", "out"):
-        part[name][...] = r.normal(0, 0.3, (WIDTH, WIDTH))
-    share = (counts + 1.0) / (counts + 1.0).sum()
-    share = share.reshape(CLASSES, MEMBERS)
-    part["class_bias"][...] = np.log(share.sum(axis=1))
-    part["member_bias"][...] = np.log(share / share.sum(axis=1, keepdims=True))
-    return vector
+        order = np.argsort(-counts, kind="stable")
+        slots = np.empty(len(counts), np.uint32)
+        slots[order] = np.arange(2, 2 + len(counts))
+        total = np.concatenate(([ends, 0], counts[order]))
+        total[cls.DOOR] = total[HEAD:].sum()
+        return cls(slots, total)
+
+    @property
+    def layout(self) -> Layout:
+        return Layout(len(self.counts))
+
+
+class Layout:
+    """Names and places of the weights in one flat vector, for so many slots; the inputs ``start`` and ``pad`` follow the slots."""
+
+    def __init__(self, slots: int):
+        self.slots, self.start, self.pad = max(slots, HEAD), max(slots, HEAD), max(slots, HEAD) + 1
+        self.side = max(1, int(np.ceil(np.sqrt(max(slots - HEAD, 1)))))  # the second tree: groups and leaves of a group
+        self.shapes = {
+            "query": (WIDTH, WIDTH),
+            "key": (WIDTH, WIDTH),
+            "value": (WIDTH, WIDTH),
+            "out": (WIDTH, WIDTH),
+            "place": (SPAN, WIDTH),
+            "classes": (WIDTH + 1, CLASSES),  # the last row are the biases
+            "members": (CLASSES, WIDTH + 1, MEMBERS),
+            "groups": (WIDTH + 1, self.side),
+            "embed": (self.slots + 2, WIDTH),
+            "leaves": (self.side, WIDTH + 1, self.side),
+        }
+        self.ends = np.cumsum([int(np.prod(x)) for x in self.shapes.values()]).tolist()
+        self.size = self.ends[-1]
+
+    def parts(self, vector: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: vector[end - int(np.prod(x)) : end].reshape(x) for (k, x), end in zip(self.shapes.items(), self.ends)}
+
+    def initial(self, counts: np.ndarray, seed: int = 5) -> np.ndarray:
+        """Small random weights; biases that give the add-one unigram distribution."""
+        r = np.random.default_rng(seed)
+        vector = np.zeros(self.size, np.float32)
+        p = self.parts(vector)
+        for name in ("query", "key", "value", "out"):
+            p[name][...] = r.normal(0, 0.3, (WIDTH, WIDTH))
+        for name in ("place", "embed"):
+            p[name][...] = r.normal(0, 0.1, p[name].shape)
+        for name in ("classes", "members"):
+            p[name][..., :-1, :] = r.normal(0, 0.1, p[name][..., :-1, :].shape)
+        share = np.zeros(self.slots)
+        share[: len(counts)] = counts + 1.0
+        share[HEAD : len(counts)] = counts[HEAD:] + 1.0
+        share[Vocabulary.DOOR] = share[HEAD:].sum()  # none: the door is never taken
+        rest = np.zeros(self.side**2)
+        rest[: self.slots - HEAD] = share[HEAD:]
+        with np.errstate(divide="ignore"):
+            for tree, upper, lower in ((share[:HEAD].reshape(CLASSES, MEMBERS), "classes", "members"), (rest.reshape(self.side, self.side), "groups", "leaves")):
+                p[upper][-1] = np.maximum(np.log(tree.sum(axis=1)) - np.log(max(tree.sum(), 1.0)), LEAST_LOG)
+                p[lower][:, -1] = np.maximum(np.log(tree) - np.log(np.maximum(tree.sum(axis=1, keepdims=True), 1.0)), LEAST_LOG)
+        return vector
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+#: The bias of what never occurs (leaves that fill up a tree), and what masks a position.
+LEAST_LOG, MASKED = np.float32(-60), np.float32(-1e4)
+#: Position i of the scored ones sees inputs up to its own place.
+UNSEEN = np.where(np.arange(SPAN)[:, None] <= CONTEXT + np.arange(SCORED)[None, :], np.float32(0), MASKED)
 
 
-def by_class(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of flat targets by class, and the bounds of the classes in it."""
-    kind = (targets // MEMBERS).astype(np.uint8)
+def by_class(kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ``kind`` (classes below ``n``), and the bounds of the classes in it."""
     order = np.argsort(kind, kind="stable")
-    return order, np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    return order, np.searchsorted(kind[order], np.arange(n + 1))
 
 
-#: Logits are held below this, so that float32 sums of their exponentials stay finite without a pass for the maximum.
-CEILING = np.float32(60)
+def normalize(x: np.ndarray) -> np.ndarray:
+    """Softmax along the last axis but one, in place (sums over a last axis of few elements are slow)."""
+    x -= x.max(axis=-2, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-2, keepdims=True)
+    return x
+
+
+def chosen_log(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax of each column at ``at``; overwrites ``logits``."""
+    logits -= logits.max(axis=0)
+    out = logits[at, np.arange(len(at))]
+    np.exp(logits, out=logits)
+    return out - np.log(logits.sum(axis=0))
 
 
 class Scorer:
     """Forward pass over windows ``(n, SPAN)`` of input slots."""
 
-    def __init__(self, vector: np.ndarray):
-        p = {k: v.astype(np.float32) for k, v in split_vector(vector).items()}
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        # queries, keys and values are linear in embedding and place, so one table lookup gives them; the last column
-        # is one, and so the weighted sum of values carries the sum of weights along
-        mix = np.concatenate((np.eye(WIDTH, dtype=np.float32), p["query"] * scale, p["key"], p["value"], np.zeros((WIDTH, 1), np.float32)), axis=1)
+    def __init__(self, layout: Layout, vector: np.ndarray):
+        self.layout = layout
+        self.p = p = {k: v.astype(np.float32) for k, v in layout.parts(vector).items()}
+        w, scale = WIDTH, np.float32(1 / np.sqrt(WIDTH))
+        # queries, keys and values are linear in embedding and place, so one table lookup gives them. A key's last column masks
+        # padding (a query's is one), a value's is one, so that the weighted sum of values carries the sum of weights along
+        empty = np.zeros((w, 1), np.float32)
+        mix = np.concatenate((np.eye(w, dtype=np.float32), p["query"] * scale, empty, p["key"], empty, p["value"], empty), axis=1)
         self.table, self.place = p["embed"] @ mix, p["place"] @ mix
-        self.place[:, -1] = 1
-        self.out, self.seen = p["out"], VISIBLE.astype(np.float32)
-        self.classes = np.concatenate((p["classes"], p["class_bias"][None]))
-        self.members = np.concatenate((p["members"], p["member_bias"][:, None]), axis=1)
-        self.ones = np.ones(max(CLASSES, MEMBERS), np.float32)
+        self.table[layout.pad, 3 * w + 1] = MASKED
+        self.place[:, 2 * w] = self.place[:, -1] = 1
 
     def hidden(self, inputs: np.ndarray) -> np.ndarray:
         """``(n * SCORED, WIDTH + 1)``, the last column one (for the biases)."""
         w = WIDTH
         g = self.table.take(inputs, axis=0)
         g += self.place
-        a = np.matmul(g[:, CONTEXT:, w : 2 * w], g[:, :, 2 * w : 3 * w].transpose(0, 2, 1))
-        np.minimum(a, CEILING, out=a)
+        a = np.matmul(g[:, :, 2 * w + 1 : 3 * w + 2], g[:, CONTEXT:, w : 2 * w + 1].transpose(0, 2, 1))
+        a += UNSEEN
+        a -= a.max(axis=1, keepdims=True)
         np.exp(a, out=a)
-        a *= self.seen
-        o = np.matmul(a, g[:, :, 3 * w :]).reshape(-1, w + 1)
+        o = np.matmul(a.transpose(0, 2, 1), g[:, :, 3 * w + 2 :]).reshape(-1, w + 1)
         h = np.ones((len(o), w + 1), np.float32)
-        h[:, :w] = (o[:, :w] / o[:, w:]) @ self.out
+        h[:, :w] = (o[:, :w] / o[:, w:]) @ self.p["out"]
         h[:, :w] += g[:, CONTEXT:, :w].reshape(-1, w)
         return h
 
-    def _log_softmax_at(self, logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        np.minimum(logits, CEILING, out=logits)
-        chosen = logits[np.arange(len(at)), at]
-        np.exp(logits, out=logits)
-        return chosen - np.log(logits @ self.ones)
-
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target slot, flat."""
         h, targets = self.hidden(inputs), targets.ravel()
-        order, bounds = by_class(targets)
-        h, targets = h[order], targets[order]
-        out = self._log_softmax_at(h @ self.classes, targets // MEMBERS)
+        leaf = np.where(targets < HEAD, targets, Vocabulary.DOOR)
+        order, bounds = by_class((leaf // MEMBERS).astype(np.uint8), CLASSES)
+        sorted_h, sorted_leaf = h[order], leaf[order]
+        out = chosen_log(self.p["classes"].T @ sorted_h.T, sorted_leaf // MEMBERS)
         for k in range(CLASSES):
             a, b = bounds[k], bounds[k + 1]
             if a < b:
-                out[a:b] += self._log_softmax_at(h[a:b] @ self.members[k], targets[a:b] % MEMBERS)
+                out[a:b] += chosen_log(self.p["members"][k].T @ sorted_h[a:b].T, sorted_leaf[a:b] % MEMBERS)
         flat = np.empty_like(out)
         flat[order] = out
+        rest = np.flatnonzero(targets >= HEAD)
+        if len(rest):
+            group, place = np.divmod(targets[rest] - HEAD, self.layout.side)
+            flat[rest] += chosen_log(self.p["groups"].T @ h[rest].T, group)
+            order, bounds = by_class(group, self.layout.side)
+            for k in np.flatnonzero(np.diff(bounds)):
+                own = order[bounds[k] : bounds[k + 1]]
+                flat[rest[own]] += chosen_log(self.p["leaves"][k].T @ h[rest[own]].T, place[own])
         return flat
 
 
-def gradient(vector: np.ndarray, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
-    """Weighted mean loss over the scored positions, and its gradient."""
-    p, out = split_vector(vector), np.zeros(SIZE, vector.dtype)
-    g = split_vector(out)
-    scale = 1 / np.sqrt(WIDTH)
-    x = p["embed"][inputs] + p["place"]
-    xs = x[:, CONTEXT:]
-    q, k, v = xs @ p["query"], x @ p["key"], x @ p["value"]
-    s = np.where(VISIBLE, q @ k.transpose(0, 2, 1) * scale, -1e9)
-    s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s)
-    a /= a.sum(axis=2, keepdims=True)
-    o = a @ v
-    h = (xs + o @ p["out"]).reshape(-1, WIDTH)
-    flat, w = targets.ravel(), (weight / weight.sum()).ravel().astype(vector.dtype)
-    rows = np.arange(len(flat))
-    logs = log_softmax(h @ p["classes"] + p["class_bias"])
-    loss = -float((w * logs[rows, flat // MEMBERS]).sum())
-    d = np.exp(logs)
-    d[rows, flat // MEMBERS] -= 1
-    d *= w[:, None]
-    g["classes"][...], g["class_bias"][...] = h.T @ d, d.sum(axis=0)
-    dh = d @ p["classes"].T
-    order, bounds = by_class(flat)
+def gradient(layout: Layout, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray):
+    """Weighted mean loss over the scored positions, the gradient of the small weights by name, and ``(rows, gradient)`` of the
+    rows that the batch touches of ``embed`` and ``leaves``."""
+    w, kind = WIDTH, p["query"].dtype
+    scale = kind.type(1 / np.sqrt(w))
+    place_of = np.zeros(layout.pad + 1, np.int64)
+    place_of[inputs] = 1
+    used = np.flatnonzero(place_of)
+    place_of[used] = np.arange(len(used))
+    at = place_of[inputs]
+    x = p["embed"][used].take(at, axis=0)
+    x += p["place"]
+    flat_x, xs = x.reshape(-1, w), np.ascontiguousarray(x[:, CONTEXT:])
+    flat_xs = xs.reshape(-1, w)
+    q, k, v = ((f @ p[n]).reshape(len(x), -1, w) for f, n in ((flat_xs, "query"), (flat_x, "key"), (flat_x, "value")))
+    q *= scale
+    a = np.matmul(k, q.transpose(0, 2, 1))
+    a += UNSEEN
+    begins = np.flatnonzero(inputs[:, 0] == layout.pad)  # padding after a text is seen by nothing that counts
+    a[begins] += np.where(inputs[begins] == layout.pad, MASKED, np.float32(0))[:, :, None]
+    normalize(a)
+    o = np.matmul(a.transpose(0, 2, 1), v)
+    flat_o = o.reshape(-1, w)
+    # rows in the order of their targets' classes, so that every class is a slice
+    flat = targets.ravel()
+    leaf = np.where(flat < HEAD, flat, Vocabulary.DOOR)
+    order, bounds = by_class((leaf // MEMBERS).astype(np.uint8), CLASSES)
+    flat, leaf, wt = flat[order], leaf[order], (weight / weight.sum()).ravel().astype(kind)[order]
+    h = np.ones((len(flat), w + 1), kind)
+    h[:, :w] = (flat_o @ p["out"] + flat_xs)[order]
+    loss, g, dh = 0.0, {}, np.empty_like(h)
+
+    def level(own: np.ndarray, own_wt: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Adds one softmax's share of the loss; returns the gradients of its inputs and of ``weights``."""
+        nonlocal loss
+        d, rows = normalize(weights.T @ own.T), np.arange(len(chosen))
+        right = d[chosen, rows]
+        loss -= float(own_wt @ np.log(np.maximum(right, kind.type(1e-30))))
+        d[chosen, rows] = right - 1
+        d *= own_wt
+        return d.T @ weights.T, (d @ own).T
+
+    dh, g["classes"] = level(h, wt, p["classes"], leaf // MEMBERS)
+    g["members"], member = np.zeros_like(p["members"]), leaf % MEMBERS
     for c in range(CLASSES):
-        own = order[bounds[c] : bounds[c + 1]]
-        if len(own):
-            logs = log_softmax(h[own] @ p["members"][c] + p["member_bias"][c])
-            member = flat[own] % MEMBERS
-            loss -= float((w[own] * logs[np.arange(len(own)), member]).sum())
-            d = np.exp(logs)
-            d[np.arange(len(own)), member] -= 1
-            d *= w[own][:, None]
-            g["members"][c], g["member_bias"][c] = h[own].T @ d, d.sum(axis=0)
-            dh[own] += d @ p["members"][c].T
-    dh = dh.reshape(xs.shape)
-    flat2 = lambda t: t.reshape(-1, WIDTH)
-    g["out"][...] = flat2(o).T @ flat2(dh)
-    do = dh @ p["out"].T
-    da = do @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["query"][...], g["key"][...], g["value"][...] = flat2(xs).T @ flat2(dq), flat2(x).T @ flat2(dk), flat2(x).T @ flat2(dv)
-    dx = dk @ p["key"].T + dv @ p["value"].T
-    dx[:, CONTEXT:] += dh + dq @ p["query"].T
-    g["place"][...] = dx.sum(axis=0)
-    at = inputs.ravel()
-    for j in range(WIDTH):
-        g["embed"][:, j] = np.bincount(at, dx[:, :, j].ravel(), minlength=PAD + 1)
-    return loss, out
-
-
-def windows(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = slice(bounds[c], bounds[c + 1])
+        if own.start < own.stop:
+            change, g["members"][c] = level(h[own], wt[own], p["members"][c], member[own])
+            dh[own] += change
+    rest, opened, leaves = np.flatnonzero(flat >= HEAD), np.zeros(0, np.int64), []
+    if len(rest):
+        group, place = np.divmod(flat[rest] - HEAD, layout.side)
+        change, g["groups"] = level(h[rest], wt[rest], p["groups"], group)
+        dh[rest] += change
+        inner, edges = by_class(group, layout.side)
+        opened = np.flatnonzero(np.diff(edges))
+        for c in opened:
+            own = inner[edges[c] : edges[c + 1]]
+            change, found = level(h[rest[own]], wt[rest[own]], p["leaves"][c], place[own])
+            dh[rest[own]] += change
+            leaves.append(found)
+    back = np.empty((len(flat), w), kind)
+    back[order] = dh[:, :w]
+    g["out"] = flat_o.T @ back
+    flat_do = back @ p["out"].T
+    do = flat_do.reshape(o.shape)
+    dv = np.matmul(a, do).reshape(-1, w)
+    ds = np.matmul(v, do.transpose(0, 2, 1))
+    ds -= ((flat_do * flat_o) @ np.ones(w, kind)).reshape(len(x), 1, SCORED)
+    ds *= a
+    dq, dk = np.matmul(ds.transpose(0, 2, 1), k).reshape(-1, w), np.matmul(ds, q).reshape(-1, w)
+    dq *= scale
+    g["query"], g["key"], g["value"] = flat_xs.T @ dq, flat_x.T @ dk, flat_x.T @ dv
+    dx = (dk @ p["key"].T + dv @ p["value"].T).reshape(x.shape)
+    dx[:, CONTEXT:] += (back + dq @ p["query"].T).reshape(xs.shape)
+    g["place"] = dx.sum(axis=0)
+    flat_at, columns = at.ravel(), np.ascontiguousarray(dx.reshape(-1, w).T, float)
+    de = np.stack([np.bincount(flat_at, c, len(used)) for c in columns], axis=1).astype(kind)
+    return loss, g, {"embed": (used, de), "leaves": (opened, np.array(leaves, kind).reshape(-1, w + 1, layout.side))}
+
+
+class Adam:
+    """Adam over the weights in ``vector``, in place; of ``embed`` and ``leaves`` only rows that a batch touches move."""
+
+    def __init__(self, layout: Layout, vector: np.ndarray, steps: int, rate: float = 0.02):
+        self.layout, self.steps, self.rate, self.step = layout, max(steps, 1), rate, 0
+        self.p = layout.parts(vector)
+        self.m, self.v = layout.parts(np.zeros_like(vector)), layout.parts(np.zeros_like(vector))
+
+    def learn(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> float:
+        loss, dense, rows = gradient(self.layout, self.p, inputs, targets, weight)
+        self.step += 1
+        rate = self.rate * (max(0.0, 1 - (self.step - 1) / self.steps) + 0.1) / (1 - 0.9**self.step)
+        for name, g, own in [*((k, g, slice(None)) for k, g in dense.items()), *((k, g, own) for k, (own, g) in rows.items() if len(own))]:
+            m, v = self.m[name][own], self.v[name][own]
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            self.m[name][own], self.v[name][own] = m, v
+            self.p[name][own] -= np.float32(rate) * m / (np.sqrt(v / np.float32(1 - 0.99**self.step)) + np.float32(1e-8))
+        return loss
+
+
+def train_windows(layout: Layout, vector: np.ndarray, texts, steps: int, batch: int = BATCH, pool: int = POOL) -> int:
+    """Trains ``vector`` in place on the windows of ``texts`` (arrays of slots), shuffled within ``pool`` batches in a fixed way.
+
+    Returns the number of tokens; memory holds one pool and one text.
+    """
+    adam, r, held, size, tokens = Adam(layout, vector, steps), np.random.default_rng(17), [], 0, 0
+
+    def flush():
+        inputs, targets, weight = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = r.permutation(len(inputs))
+        for at in range(0, len(order), batch):
+            own = order[at : at + batch]
+            adam.learn(inputs[own], targets[own], weight[own])
+
+    for text in texts:
+        tokens += len(text)
+        held.append(windows(layout, text))
+        size += len(held[-1][0])
+        if size >= pool * batch:
+            flush()
+            held, size = [], 0
+    if held:
+        flush()
+    return tokens
+
+
+def windows(layout: Layout, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs ``(n, SPAN)``, targets and weights ``(n, SCORED)`` of one text's slots, its end included.
 
-    The input at a place is the token before its target; places before the text are padding. Each token is a target once.
+    The input at a place is the token before its target, the start before the first; places before that are padding, which no
+    position sees. Each token is a target once.
     """
     n = -(-len(tokens) // SCORED)
-    padded = np.full(CONTEXT + n * SCORED, PAD, np.int64)
+    padded = np.full(CONTEXT + n * SCORED, layout.pad, np.int64)
+    padded[CONTEXT] = layout.start
     padded[CONTEXT + 1 : CONTEXT + len(tokens)] = tokens[:-1]
     inputs = np.lib.stride_tricks.sliding_window_view(padded, SPAN)[::SCORED]
     targets = np.zeros(n * SCORED, np.int64)
@@ -347,36 +445,6 @@ def windows(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return inputs, targets.reshape(n, SCORED), weight.reshape(n, SCORED)
 
 
-def adam(vector: np.ndarray, texts: list[np.ndarray], batch: int = 96, rate: float = 0.02, passes: int = 1) -> np.ndarray:
-    """Adam over the windows of ``texts``, ``passes`` times, each in a fixed shuffled order, with a falling rate."""
-    parts = [windows(t) for t in texts]
-    inputs, targets, weight = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    r = np.random.default_rng(17)
-    order = np.concatenate([r.permutation(len(inputs)) for _ in range(passes)])
-    vector = vector.astype(np.float32)
-    m, v, scratch = np.zeros_like(vector), np.zeros_like(vector), np.empty_like(vector)
-    vector = vector.copy()
-    steps = -(-len(order) // batch)
-    for step in range(steps):
-        own = order[step * batch : (step + 1) * batch]
-        _, g = gradient(vector, inputs[own], targets[own], weight[own])
-        np.subtract(g, m, out=scratch)
-        scratch *= np.float32(0.1)
-        m += scratch
-        g *= g
-        g -= v
-        g *= np.float32(0.01)
-        v += g
-        now = rate * (1 - step / steps) + rate / 10
-        np.multiply(v, np.float32(1 / (1 - 0.99 ** (step + 1))), out=scratch)
-        np.sqrt(scratch, out=scratch)
-        scratch += np.float32(1e-8)
-        np.divide(m, scratch, out=scratch)
-        scratch *= np.float32(now / (1 - 0.9 ** (step + 1)))
-        vector -= scratch
-    return vector
-
-
 # --- over the corpus --------------------------------------------------------------------------------------------------
 
 
@@ -426,85 +494,103 @@ def head_threshold(counts: DataFrame, most: int) -> int:
     return 1 << level
 
 
-def train(docs: DataFrame, n_texts: int, ranks, vocabulary: Vocabulary, share: int = TRAIN_SHARE, least: int = LEAST_TEXTS, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights from a hash share of ``docs(id, text)``: at least one text in ``share``, about ``least`` or more if there are.
-
-    Without rounds they are the initial ones: subword unigrams.
-    """
-    vector = initial(vocabulary.counts)
+def train(docs: DataFrame, ranks, vocabulary: Vocabulary, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> np.ndarray:
+    """Weights from all of ``docs(id, text)``. Without rounds they are the initial ones: subword unigrams."""
+    layout = vocabulary.layout
+    vector = layout.initial(vocabulary.counts)
     if not rounds:
         return vector
-    portion = min(1.0, max(1.0 / share, least / max(n_texts, 1)))
-    # by content, so that copies fall together and the choice does not depend on ids
-    h = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    chosen = docs.where(h < int(portion * 1_000_000)).select("text", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(rounds)).cast("int").alias("round"))
-    words = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    spark = docs.sparkSession
+    words = spark.sparkContext.broadcast(vocabulary)
+    kind = np.uint16 if layout.pad < 1 << 16 else np.uint32
+    place = F.xxhash64("text", F.col("id").cast("string"))  # copies of a text are spread by their ids
 
     def encode(batches):
         lexicon = lexicon_of(ranks.value, words.value)
         for batch in slices(batches):
             lexicon.room()
-            found = [lexicon.slots(lexicon.numbers(words_of(t))).astype(np.uint16).tobytes() for t in raw(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["round", "slots"])
-
-    sample = cut(chosen.mapInArrow(encode, "round int, slots binary"))
-    tokens = (sample.agg(F.sum(F.length("slots"))).first()[0] or 0) / 2 / rounds
-    replicas = max(1, round(tokens / REPLICA_TOKENS))
-    passes = max(1, round(REPLICA_TOKENS / max(tokens, REPLICA_TOKENS / 10)))
-    sample = cut(sample.repartition(replicas, F.xxhash64("slots")))
+            found = [lexicon.slots(lexicon.numbers(words_of(t))).astype(kind).tobytes() for t in raw(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["h", "slots"])
+
+    sample = cut(docs.select("text", place.alias("h")).mapInArrow(encode, "h long, slots binary"))
+    tokens = (sample.agg(F.sum(F.length("slots"))).first()[0] or 0) / kind().itemsize
+    if not tokens:
+        return vector
+    replicas = max(1, round(tokens / rounds / replica_tokens))
+    passes = min(10, max(1, round(LEAST_TOKENS * rounds / tokens)))
+    steps = round(tokens * passes / rounds / replicas / SCORED / BATCH)
+    dealt = sample.select("h", "slots", F.pmod(F.shiftrightunsigned("h", 40), F.lit(rounds)).alias("round"), F.pmod("h", F.lit(replicas)).alias("replica"))
     for k in range(rounds):
-        now = docs.sparkSession.sparkContext.broadcast(vector)
-
-        def learn(batches, now=now):
-            vector, held, size, change, n = now.value, [], 0, None, 0
-            for batch in slices(batches):
-                for s in batch.column(0).to_pylist():
-                    held.append(np.frombuffer(s, np.uint16).astype(np.int64))
-                    size += len(held[-1])
-                if size > 2 * REPLICA_TOKENS:  # a group of texts at a time, so that memory is bounded
-                    vector, held, size, n = adam(vector, held, passes=passes), [], 0, n + 1
-            if held:
-                vector, n = adam(vector, held, passes=passes), n + 1
-            fixed = np.rint(vector.astype(np.float64) * FIXED).astype(np.int64) if n else np.zeros(SIZE, np.int64)
-            rows = [*blocks_of(1, fixed), (2, 0, np.array([int(n > 0)], "<i8").tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "block", "counts"])
-
-        made = summed(sample.where(F.col("round") == k).select("slots").mapInArrow(learn, "kind int, block int, counts binary"), {1: SIZE, 2: 1})
-        if made[2][0]:
-            vector = (made[1] / FIXED / made[2][0]).astype(np.float32)
+        now = spark.sparkContext.broadcast(vector)
+        own = dealt.where(F.col("round") == k)
+        total = own.agg(F.sum(F.length("slots"))).first()[0]
+        if not total:
+            continue
+        total = total / kind().itemsize * passes
+        own = own.repartition(replicas, "replica").withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
+        own = own.sortWithinPartitions("replica", "pass", "h", "slots").select("replica", "slots")
+
+        def learn(batches, now=now, total=total):
+            def rows():
+                for batch in slices(batches, 256):
+                    yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+            for _, texts in groupby(rows(), key=lambda r: r[0]):
+                mine = now.value.copy()
+                n = train_windows(layout, mine, (np.frombuffer(t, kind).astype(np.int64) for _, t in texts), steps)
+                change = (mine.astype(np.float64) - now.value) * (n / total)
+                found = list(blocks_of(1, np.rint(change * FIXED).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int32()), pa.array([r[1] for r in found], pa.int32()), pa.array([r[2] for r in found], pa.binary())], names=["kind", "block", "counts"])
+
+        made = summed(own.mapInArrow(learn, "kind int, block int, counts binary"), {1: layout.size})
+        vector = (vector + made[1] / FIXED).astype(np.float32)
     return vector
 
 
-def score(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text", id_col: str = "doc_id", head_words: int = HEAD_WORDS, **options) -> DataFrame:
-    """``(<id>, training, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
+@dataclass
+class Model:
+    """Corpus counts and weights; ``counts(word, c)`` is a table, everything else is of a size that the rank file bounds."""
 
-    ``training`` says, over the columns of ``docs``, which rows teach. Tokens are the words of the text, A-Z lower-cased,
-    and one end. ``base_score`` is the add-one unigram log10 probability over tokens, ``score`` the model's log10
-    probability of the text's subwords and end. Null texts are empty ones (the end alone). Repeated rows and ids are
-    scored and counted one by one. With no training row counts are 0 and the model is uniform over subwords' slots; an
-    empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    kind = rows.schema["id"].dataType.simpleString()
-    taught = rows.where("training")
+    counts: DataFrame
+    ends: int
+    n_train: int
+    distinct: int
+    vocabulary: Vocabulary
+    vector: np.ndarray
+    ranks: bytes
+
+
+def fit(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text", id_col: str = "doc_id", **options) -> Model:
+    """Learns from the rows of ``docs`` where ``training`` holds; null texts are empty ones. Repeated rows count each."""
+    taught = docs.where(F.coalesce(training, F.lit(False))).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counts = cut(word_counts(taught))
     ends = taught.count()
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_train, distinct = (total.n or 0) + ends, total.v + (ends > 0)
-    unit = float(np.log10(n_train + distinct + 1.0))
-    end_value = float(np.log10(ends + 1.0))
-
-    ranks_b = spark.sparkContext.broadcast(ranks)
+    ranks_b = docs.sparkSession.sparkContext.broadcast(ranks)
     vocabulary = Vocabulary.of(subword_counts(counts, ranks_b, Subwords(ranks).size), ends)
-    vector = train(taught, ends, ranks_b, vocabulary, **options)
+    return Model(counts, ends, (total.n or 0) + ends, total.v + (ends > 0), vocabulary, train(taught, ranks_b, vocabulary, **options), ranks)
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", head_words: int = HEAD_WORDS) -> DataFrame:
+    """``(<id>, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``; other columns are left out.
+
+    Tokens are the words of the text, A-Z lower-cased, and one end. ``base_score`` is the add-one unigram log10 probability
+    over tokens, ``score`` the model's log10 probability of the text's subwords and end. Null texts are empty ones (the end
+    alone), texts have any length. Repeated rows and ids are scored and counted one by one. With no training row counts are 0
+    and the biases uniform; an empty table gives no rows.
+    """
+    spark, counts, ends = docs.sparkSession, model.counts, model.ends
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    unit = float(np.log10(model.n_train + model.distinct + 1.0))
+    end_value = float(np.log10(ends + 1.0))
     least = head_threshold(counts, head_words)
     head = {bytes(r.word): float(np.log10(r.c + 1.0)) for r in counts.where(F.col("c") >= least).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((vocabulary, vector, head))
+    shared = spark.sparkContext.broadcast((model.ranks, model.vocabulary, model.vector, head))
 
     def run(batches):
-        vocabulary, vector, head = shared.value
-        lexicon, scorer = lexicon_of(ranks_b.value, vocabulary), Scorer(vector)
+        ranks, vocabulary, vector, head = shared.value
+        lexicon, scorer = lexicon_of(ranks, vocabulary), Scorer(vocabulary.layout, vector)
         lexicon.use(head)
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 128):
@@ -512,30 +598,28 @@ def score(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text
             lexicon.room()
             split = [words_of(t) for t in raw(batch.column(1))]
             numbered = [lexicon.numbers(w) for w in split]
-            value, own = np.frombuffer(lexicon.head_value), np.frombuffer(lexicon.own)
+            value = np.frombuffer(lexicon.head_value)
             for w, numbers in zip(split, numbered):
                 values = value[numbers]
                 seen = values >= 0
                 rare = Counter(w[i] for i in np.flatnonzero(~seen).tolist())
-                found.append((row, len(w) + 1, int(seen.sum()), float(values[seen].sum()), list(rare.items()), float(own[numbers].sum())))
+                found.append((row, len(w) + 1, int(seen.sum()), float(values[seen].sum()), list(rare.items())))
                 texts.append(lexicon.slots(numbers))
                 row += 1
-            del value, own  # the arrays can only grow while nothing looks at them
-            logs = np.array(text_scores(scorer, texts)) + np.array([f[5] for f in found])
+            del value  # the array can only grow while nothing looks at it
             rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
             cols = [
                 pa.array([f[0] for f in found], pa.int64()),
                 batch.column(0),
-                batch.column(2),
                 pa.array([f[1] for f in found], pa.int64()),
                 pa.array([f[2] for f in found], pa.int64()),
                 pa.array([f[3] for f in found], pa.float64()),
                 pa.array([[{"word": a, "n": b} for a, b in f[4]] for f in found], rare_type),
-                pa.array(logs / np.log(10.0), pa.float64()),
+                pa.array(np.array(text_scores(scorer, texts)) / np.log(10.0), pa.float64()),
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "training", "n_tokens", "head_known", "head_sum", "rare", "score"])
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "n_tokens", "head_known", "head_sum", "rare", "score"])
 
-    schema = f"row long, id {kind}, training boolean, n_tokens long, head_known long, head_sum double, rare array<struct<word:binary,n:bigint>>, score double"
+    schema = f"row long, id {kind}, n_tokens long, head_known long, head_sum double, rare array<struct<word:binary,n:bigint>>, score double"
     scored = cut(rows.mapInArrow(run, schema))
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     rare = rare.join(counts.where(F.col("c") < least), "word")  # words without a count add log10(1) = 0
@@ -543,12 +627,12 @@ def score(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text
     whole = scored.drop("rare").join(rare, "row", "left")
     known = F.col("head_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))
     base = F.col("head_sum") + F.coalesce("rare_sum", F.lit(0.0)) + F.lit(end_value) - F.col("n_tokens") * F.lit(unit)
-    return whole.select(F.col("id").alias(id_col), "training", "n_tokens", known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return whole.select(F.col("id").alias(id_col), "n_tokens", known.alias("n_known"), F.lit(model.n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def text_scores(scorer: Scorer, texts: list[np.ndarray], block: int = 512) -> list[float]:
     """Natural log probability of each text's slots; the texts' windows run as one batch after another."""
-    parts = [windows(t) for t in texts]
+    parts = [windows(scorer.layout, t) for t in texts]
     sizes = [len(p[0]) for p in parts]
     inputs, targets, weight = (np.concatenate([p[i] for p in parts]) for i in range(3))
     total = np.empty(len(inputs))

@@ -102,12 +102,12 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op9_attention(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
-    from .attention import read_ranks, score
+    from .attention import fit, read_ranks, score
     from .common import id_hash
 
-    held = id_hash("doc_id", 7) == 2
-    found = score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held, read_ranks(ranks))
-    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), id_hash("doc_id", 7) == 2
+    found = score(docs, fit(docs, ~held, read_ranks(ranks)))
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
