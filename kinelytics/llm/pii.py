@@ -319,7 +319,9 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Null texts stay null and empty ones empty, with no ``pii``; a column ``pii`` of ``docs`` gives way. Rows are treated
     one by one, without a shuffle; texts without a match only pay one pattern scan.
     """
-    text = F.col(text_col)
+    columns = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # no name can clash below
+    text = F.col(f"c{columns.index(text_col)}")
 
     def parts_of(v: Column) -> Column:
         matches = F.transform(F.regexp_extract_all(v["s"], v["any"], F.lit(0)), lambda m: replaced(m, v["found"], key))
@@ -337,7 +339,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         return F.struct(b.alias("at"), F.lit("").alias("out"), pii.alias("pii"))
 
     done = let({"parts": parts}, lambda v: F.struct(F.array_join(F.transform(v["parts"], lambda p: F.concat(p["gap"], F.coalesce(p["match"]["out"], F.lit("")))), "").alias("text"), F.aggregate(v["parts"], start, step)["pii"].alias("pii")))
-    names = [c for c in docs.columns if c.lower() != "pii"]
     whole = F.when(text.rlike(ANY), done).otherwise(F.struct(text.alias("text"), nothing.alias("pii")))
-    out = docs.withColumn("_done", whole)
-    return out.select(*[F.col("_done.text").alias(c) if c == text_col else F.col(c) for c in names], F.col("_done.pii").alias("pii"))
+    out = docs.withColumn("done", whole)
+    names = [(f"c{i}" if c != text_col else "done.text", c) for i, c in enumerate(columns) if c.lower() != "pii"]
+    return out.select(*[F.col(own).alias(c) for own, c in names], F.col("done.pii").alias("pii"))

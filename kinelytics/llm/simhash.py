@@ -43,11 +43,15 @@ def fingerprint(text: bytes, shingle_words: int = 4) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle_words + 1].tolist()
     ends = ends[shingle_words - 1 :].tolist()
-    ones, n = np.zeros(64, np.int64), len(starts)
-    for at in range(0, n, 1 << 15):
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)])]
-        ones += np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        ones += np.unpackbits(hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
@@ -276,22 +280,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = cut(lookup(cut(roots.select("fp", "root")), heads, "root").select("fp", "component_id"))
     return lookup(prints, classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group of near duplicates, with all columns of ``docs``: the row with the smallest id.
-
-    Rows that repeat an id are one group at best, of which one row stays (equal texts; else the first by text). Rows
-    whose group has only null ids are kept.
-    """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.where((F.col(id_col) == F.col("component_id")) | F.col("component_id").isNull()).select(F.col(id_col).alias("_keep"))
-    keep = cut(keep.groupBy("_keep").agg(F.count(F.lit(1)).alias("_copies")))
-    single = F.col("_keep").isNull() | (F.col("_copies") == 1)
-    once = docs.join(keep.where(single), docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
-    repeated = keep.where(~single)
-    if repeated.isEmpty():  # one shuffle of the texts, not two
-        return once
-    order = F.struct(F.col(text_col).alias("t"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    again = docs.join(repeated, docs[id_col] == repeated["_keep"], "left_semi").groupBy(id_col).agg(F.min(order).alias("m")).select("m.row.*")
-    return once.unionByName(again.select(*docs.columns))

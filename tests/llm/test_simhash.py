@@ -100,15 +100,6 @@ def test_dense_group_is_linear(spark):
     assert {r.root for r in tree.collect()} == {0} and tree.count() == 2000
 
 
-def test_drop_keeps_one_row_of_each_group(spark):
-    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words in this text"), (3, "other words in this text"), (None, None), (9, "")]
-    docs = spark.createDataFrame([(k, t, "en", "clash") for k, t in rows], SCHEMA)
-    kept = S.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "a b c d e f"), ("3", "other words in this text"), ("9", "")]
-
-
 def test_empty_table(spark):
     docs = spark.createDataFrame([], T.StructType.fromDDL(SCHEMA))
     assert S.near_duplicates(docs).count() == 0
-    assert S.drop_near_duplicates(docs).count() == 0
