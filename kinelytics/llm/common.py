@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +81,42 @@ def slices(batches: Iterable, rows: int = 512) -> Iterator:
 def raw(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes without decoding, null as no bytes."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+# --- Bloom filters ----------------------------------------------------------------------------------------------------
+
+#: Bits of a Bloom filter at most (8 MB); 16 a key below that. Beyond, more keys pass by mistake, and none is lost.
+BLOOM_BITS = 1 << 26
+#: Odd multipliers, one a hash function.
+MIX = np.random.default_rng(20240518).integers(0, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """(n, 4) bit positions of signed keys."""
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+    return ((keys.view(np.uint64)[:, None] * MIX[None, :]) >> shift).astype(np.int64)
+
+
+def bloom(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """Bit map of the longs in the only column of ``keys``, and its bits."""
+    n, bits = keys.count(), 1 << 12
+    while bits < 16 * n and bits < BLOOM_BITS:
+        bits *= 2
+
+    def run(batches):
+        out = np.zeros(bits // 64, np.uint64)
+        for batch in slices(batches, 50_000):
+            at = places(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()
+            np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        used = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[used].view(np.int64))], names=["word", "bits"])
+
+    out = np.zeros(bits // 64, np.uint64)
+    for r in keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+        out[r.word] = np.array(r.bits, np.int64).view(np.uint64)
+    return out, bits
+
+
+def holds(filter_: tuple[np.ndarray, int], keys: np.ndarray) -> np.ndarray:
+    at = places(keys, filter_[1])
+    return ((filter_[0][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)

@@ -1,8 +1,9 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams (FTRL, elastic net), then a temperature.
 
 Document frequencies come from every training text. The weights are fitted on a hash sample of about ``sample_rows``
-training rows, spread evenly over languages, in one executor task; one row in five of the sample is held back from the
-weights and sets the temperature. Scoring reads whole texts and shuffles nothing.
+training rows, spread evenly over languages, in one executor task that reads them in the order of their hashes, epoch after
+epoch, a row at a time; one row in five of the sample is held back from the weights and sets the temperature. Scoring reads
+whole texts and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, hidden, raw, slices
-from .linear import Ftrl, blocks_of, grams, pack, softmax, summed, temperature, unpack
+from .linear import Ftrl, blocks_of, grams, in_epochs, pack, softmax, summed, temperature, unpack
 
 ORDERS, BITS = (1, 2, 3), 15
 #: About so many rows are fitted on, whatever the corpus.
 SAMPLE_ROWS = 6000
-#: Most languages that are learned; each needs a row of training data.
+#: The weights of so many languages fit in a task (256 MB of learner's state); more are an error, none is dropped.
 MAX_LANGUAGES = 512
 
 
@@ -51,10 +52,13 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
     """Learns from the rows of ``docs`` where ``training`` holds and text and language are not null.
 
     With no such row the model has no language and predicts ``und``. A language that appears with any case or spelling
-    is a label of its own; beyond ``MAX_LANGUAGES`` labels the most frequent are learned (ties by name).
+    is a label of its own; more than ``MAX_LANGUAGES`` labels raise a ValueError. Repeated rows count each; ties between
+    languages go to the first by name.
     """
     rows = docs.where(training).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(7)).alias("h")).where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; give each language one label")
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1.0)
@@ -70,7 +74,7 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
                 df[idx] += 1
                 n += 1
                 if lang in share and (h & (1 << 62) - 1) / (1 << 62) < share[lang]:
-                    out.append((0, name[lang], h, pack(idx), np.minimum(count, 65535).astype("<u2").tobytes()))
+                    out.append((0, name[lang], h, pack(idx), count.astype("<u4").tobytes()))
             if out:
                 yield _rows(out)
         yield _rows([(1, b, 0, c, None) for _, b, c in blocks_of(0, df)] + [(2, 0, 0, np.array([n], "<i8").tobytes(), None)])
@@ -86,23 +90,26 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
     idf_b, classes = context.broadcast(idf), len(languages)
 
     def train(batches):
-        idf, data = idf_b.value, []
-        for batch in slices(batches):
-            for label, h, packed, tf in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        idf, model = idf_b.value, Ftrl(1 << BITS, classes, alpha=1.0, l1=0.02, l2=0.05)
+        now, place, held, kinds, weights = -1, 0, [], [], None
+        for batch in slices(batches, 64):
+            for epoch, label, packed, tf in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                now, place = (now, place + 1) if epoch == now else (epoch, 0)
+                if (place % 5 == 4) != (epoch == epochs):  # the last round is that of the held-back rows
+                    continue
                 idx = unpack(packed)
-                data.append((h, label, idx, tfidf(idx, np.frombuffer(tf, "<u2"), idf)))
-        data.sort(key=lambda d: d[0])
-        held = [d for i, d in enumerate(data) if i % 5 == 4]
-        model = Ftrl(1 << BITS, classes, alpha=1.0, l1=0.02, l2=0.05)
-        for _ in range(epochs):
-            for i, (_, label, idx, v) in enumerate(data):
-                if i % 5 != 4:
+                v = tfidf(idx, np.frombuffer(tf, "<u4"), idf)
+                if epoch < epochs:
                     model.learn(idx, v, label)
-        w, b = model.weights()
-        t = temperature(np.array([v @ w[idx] + b for _, _, idx, v in held]).reshape(-1, classes), np.array([d[1] for d in held], int))
+                else:
+                    weights = weights or model.weights()
+                    held.append(v @ weights[0][idx] + weights[1])
+                    kinds.append(label)
+        w, b = weights or model.weights()
+        t = temperature(np.array(held).reshape(-1, classes), np.array(kinds, int))
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()]), pa.array([np.append(b, t).tobytes()])], names=["w", "b"])
 
-    sample = made.where("kind = 0").select("block", "h", "counts", "tf").coalesce(1)  # about ``sample_rows`` rows
+    sample = in_epochs(made.where("kind = 0"), epochs + 1, "h", "block", "counts", "tf").select("epoch", "block", "counts", "tf")
     got = sample.mapInArrow(train, "w binary, b binary").first()
     tail = np.frombuffer(got.b)
     return LanguageModel(languages, idf, np.frombuffer(got.w, "<f4").reshape(-1, classes), tail[:-1], float(tail[-1]))

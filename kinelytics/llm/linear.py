@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices
 
@@ -64,6 +65,14 @@ def summed(parts: DataFrame, sizes: dict[int, int], width: int = 4096) -> dict[i
     return out
 
 
+def in_epochs(sample: DataFrame, epochs: int, *order: str) -> DataFrame:
+    """The rows of a sample, of bounded number, ``epochs`` times in one partition: by ``epoch``, then by ``order``.
+
+    Spark's sort holds what does not fit in memory on disk, so that a task can learn a row at a time.
+    """
+    return sample.coalesce(1).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).sortWithinPartitions("epoch", *order)
+
+
 class Ftrl:
     """Multinomial logistic regression by per-coordinate FTRL-proximal with elastic-net penalties (L1 gives zeros)."""
 

@@ -3,26 +3,26 @@
 For every n-gram bucket, r = log of its smoothed share in toxic training texts over that in others, counted over *all*
 labelled training rows. A text's features are r at the buckets it has (presence, whole text); a logistic regression with
 FTRL and elastic-net penalties is fitted to them on a hash sample of about ``sample_rows`` rows of either class; where one
-class was sampled more thinly, the bias is shifted back to the classes' true odds. Up to ``BROADCAST_LABELS`` labels (two
-fields each) are counted and broadcast to the texts; more are joined by one shuffle of the training texts. Scoring shuffles
-nothing.
+class was sampled more thinly, the bias is shifted back to the classes' true odds. Texts meet their labels in one shuffled
+join at every size; a Bloom filter of the labels' ids, of bounded size, keeps texts without a label out of it. The sample is
+read in the order of its hashes, epoch after epoch, a row at a time. Scoring shuffles nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hidden, raw, slices
-from .linear import Ftrl, blocks_of, grams, pack, summed, unpack
+from .common import bloom, cut, hidden, holds, raw, slices
+from .linear import Ftrl, blocks_of, grams, in_epochs, pack, summed, unpack
 
 ORDERS, BITS = (4, 5), 18
 #: About so many rows of each class are fitted on, whatever the corpus.
 SAMPLE_ROWS = 3000
-#: Labels beyond this number are not broadcast.
-BROADCAST_LABELS = 2_000_000
 #: Elastic net.
 L1, L2 = 3.0, 1.0
 
@@ -49,13 +49,12 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(x, -500, 500))))
 
 
-def learn(data: list[tuple[int, int, np.ndarray]], ratio: np.ndarray, epochs: int) -> tuple[np.ndarray, float]:
-    """Weights, with the ratios multiplied in, and bias from rows ``(order, label, buckets)``."""
+def learn(rows: Iterable[tuple[int, np.ndarray]], ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights, with the ratios multiplied in, and bias from rows ``(label, buckets)`` in the order given."""
     model = Ftrl(len(ratio), 2, alpha=0.05, l1=L1, l2=L2)
-    for _ in range(epochs):
-        for _, y, idx in data:
-            if len(idx):
-                model.learn(idx, ratio[idx], y)
+    for y, idx in rows:
+        if len(idx):
+            model.learn(idx, ratio[idx], y)
     w, b = model.weights()
     return (w[:, 1] - w[:, 0]) * ratio, float(b[1] - b[0])
 
@@ -64,18 +63,24 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, text_col: str = "t
     """Learns from rows of ``docs`` where ``training`` holds and ``labels`` has a label (1 toxic, 0 not) for the id.
 
     An id with several labels counts as toxic if any says so; null ids and labels teach nothing; null texts are empty.
-    With no labelled row, or one class only, every text scores that class's smoothed share (0.5 with none).
+    With no labelled row, or one class only, every text scores that class's smoothed share (0.5 with none). Repeated rows
+    count each; other columns are not read.
     """
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y is not null")
     marks = marks.groupBy("_id").agg((F.max("y") > 0).cast("int").alias("y"))
+    marks = cut(marks)
     texts = docs.where(training).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.where("_id is not null")
-    if marks.count() <= BROADCAST_LABELS:
-        marks = F.broadcast(marks)
-    # class sizes come from the training rows alone, as everything else does
-    counts = {r.y: r.n for r in texts.select("_id").join(marks, "_id").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = texts.where("_id is not null").select("*", F.xxhash64(F.col("_id").cast("string"), F.lit(11)).alias("h"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(marks.select(F.xxhash64(F.col("_id").cast("string"), F.lit(11)))))
+
+    def labelled(batches):
+        for batch in slices(batches):
+            yield batch.filter(pa.array(holds(shared.value, batch.column(2).to_numpy(zero_copy_only=False))))
+
+    # one plan at every size: a join that Spark would broadcast below some size would be another one beyond it
+    rows = texts.mapInArrow(labelled, texts.schema).join(marks.hint("merge"), "_id").select("text", "y", "h")
+    counts = {r.y: r.n for r in texts.select("_id").join(marks.hint("merge"), "_id").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {y: min(1.0, sample_rows / n) for y, n in counts.items()}
-    rows = texts.join(marks, "_id").select("text", "y", F.xxhash64(F.col("_id").cast("string"), F.lit(11)).alias("h"))
 
     def featurize(batches):
         seen = np.zeros(1 << BITS, bool)
@@ -106,14 +111,15 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, text_col: str = "t
     ratio_b = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
 
     def train(batches):
-        ratio, data = ratio_b.value.astype(np.float64), []
-        for batch in slices(batches):
-            for y, h, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                data.append((h, y, unpack(packed)))
-        w, b = learn(sorted(data, key=lambda d: d[0]), ratio, epochs)
+        def rows():
+            for batch in slices(batches, 64):
+                for y, packed in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                    yield y, unpack(packed)
+
+        w, b = learn(rows(), ratio_b.value.astype(np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()]), pa.array([b])], names=["w", "b"])
 
-    sample = made.where("kind = 0").select("block", "h", "counts").coalesce(1)  # about twice ``sample_rows`` rows
+    sample = in_epochs(made.where("kind = 0"), epochs, "h", "block", "counts").select("block", "counts")
     got = sample.mapInArrow(train, "w binary, b double").first()
     odds = np.log(share[0] / share[1])  # the sample's odds differ from the corpus's by the classes' shares
     return ToxicityModel(np.frombuffer(got.w, "<f4"), got.b + odds)

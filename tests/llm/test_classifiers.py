@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -66,6 +68,117 @@ def test_language_held_out_accuracy(spark):
     assert abs(right - np.mean([r.lang == r.lang_pred for r in held])) < 0.1
 
 
+class PlainFtrl:
+    """FTRL-proximal coordinate by coordinate; bias coordinates have no L1 penalty."""
+
+    def __init__(self, classes, alpha, l1, l2, beta=1.0):
+        self.z, self.n = {}, {}
+        self.classes, self.alpha, self.l1, self.l2, self.beta = classes, alpha, l1, l2, beta
+
+    def weight(self, at):
+        z, l1 = self.z.get(at, 0.0), 0.0 if at[0] == "bias" else self.l1
+        if abs(z) <= l1:
+            return 0.0
+        return -(z - math.copysign(l1, z)) / ((self.beta + math.sqrt(self.n.get(at, 0.0))) / self.alpha + self.l2)
+
+    def logits(self, x):
+        return [self.weight(("bias", k)) + sum(v * self.weight((i, k)) for i, v in x.items()) for k in range(self.classes)]
+
+    def learn(self, x, label):
+        logits = self.logits(x)
+        e = [math.exp(v - max(logits)) for v in logits]
+        for k in range(self.classes):
+            error = e[k] / sum(e) - (k == label)
+            for at, v in [*(((i, k), v) for i, v in x.items()), (("bias", k), 1.0)]:
+                w, n, g = self.weight(at), self.n.get(at, 0.0), v * error
+                self.z[at] = self.z.get(at, 0.0) + g - (math.sqrt(n + g * g) - math.sqrt(n)) / self.alpha * w
+                self.n[at] = n + g * g
+
+
+def plain_grams(text, orders, bits):
+    """Bucket to count, gram by gram."""
+    out, text = Counter(), f" {text.lower()} "
+    for n in orders:
+        for i in range(len(text) - n + 1):
+            h = 0
+            for c in text[i : i + n]:
+                h = (h + ord(c)) * 0x9E3779B1 % 2**32
+            out[((h ^ h >> 15) * 0x85EBCA77 + n) % 2**32 >> 32 - bits] += 1
+    return out
+
+
+def hashed(spark, ids, seed):
+    df = spark.createDataFrame([(i,) for i in ids], "i long")
+    return {r.i: r.h for r in df.select("i", F.xxhash64(F.col("i").cast("string"), F.lit(seed)).alias("h")).collect()}
+
+
+def small_texts(n=40, seed=6):
+    r = random.Random(seed)
+    words = [["der", "Fluß", "über", "Nacht"], ["the", "river", "over", "night"], ["el", "río", "sobre", "noche"]]
+    return [(i, " ".join(r.choice(words[i % 3]) for _ in range(r.randint(1, 6))), "de" if i % 3 == 0 else "en" if i % 3 == 1 else "es") for i in range(n)]
+
+
+def test_language_by_the_definition(spark):
+    data = small_texts()
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    model = G.fit(docs, F.lit(True), epochs=2)
+    languages, order = sorted({x for _, _, x in data}), hashed(spark, [i for i, *_ in data], 7)
+    grams = {i: plain_grams(t, G.ORDERS, G.BITS) for i, t, _ in data}
+    df = Counter(b for g in grams.values() for b in g)
+
+    def features(counts):
+        v = {b: (1 + math.log(c)) * (math.log((1 + len(data)) / (1 + df[b])) + 1) for b, c in counts.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {b: x / norm for b, x in v.items()}
+
+    rows = sorted(data, key=lambda r: order[r[0]])
+    learner = PlainFtrl(3, 1.0, 0.02, 0.05)
+    for _ in range(2):
+        for place, (i, _, lang) in enumerate(rows):
+            if place % 5 != 4:
+                learner.learn(features(grams[i]), languages.index(lang))
+    held = [(learner.logits(features(grams[i])), languages.index(lang)) for place, (i, _, lang) in enumerate(rows) if place % 5 == 4]
+    loss = lambda t: sum(math.log(sum(math.exp((v - x[k]) / t) for v in x)) for x, k in held)
+    best = min((math.exp(math.log(0.05) + j * (math.log(20) - math.log(0.05)) / 4000) for j in range(4001)), key=loss)
+    assert loss(model.temperature) <= loss(best) + 1e-3
+    for r in G.identify(docs, model).collect():
+        logits = [v / model.temperature for v in learner.logits(features(grams[r.doc_id]))]
+        p = [math.exp(v - max(logits)) for v in logits]
+        k = p.index(max(p))
+        assert r.lang_pred == languages[k] and r.lang_score == pytest.approx(p[k] / sum(p), rel=1e-4)
+
+
+def test_toxicity_by_the_definition(spark):
+    data = [(i, t + (" you vile wretch" if i % 4 == 0 else "")) for i, t, _ in small_texts(36, 9)]
+    marks = [(i, int(i % 4 == 0)) for i, _ in data if i % 3] + [(1, 1), (99, 1), (None, 1), (5, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    model = X.fit(docs, spark.createDataFrame(marks, "doc_id int, toxic int"), F.col("doc_id") != 7, epochs=3)
+    label = {}
+    for i, y in marks:
+        if i is not None and y is not None:
+            label[i] = max(label.get(i, 0), y)
+    order = hashed(spark, [i for i, _ in data], 11)
+    grams = {i: set(plain_grams(t, X.ORDERS, X.BITS)) for i, t in data}
+    taught = sorted((i for i, _ in data if i in label and i != 7), key=lambda i: order[i])
+    classes = [[i for i in taught if label[i] == y] for y in (0, 1)]
+    share = lambda b, y: (sum(b in grams[i] for i in classes[y]) + 1) / (len(classes[y]) + 2)
+    ratio = {b: math.log(share(b, 1) / share(b, 0)) for b in set().union(*grams.values())}
+    learner = PlainFtrl(2, 0.05, X.L1, X.L2)
+    for _ in range(3):
+        for i in taught:
+            learner.learn({b: ratio[b] for b in grams[i]}, label[i])
+    for r in X.score(docs, model).collect():
+        a, b = learner.logits({b: ratio[b] for b in grams[r.doc_id]})
+        assert r.toxicity == pytest.approx(1 / (1 + math.exp(a - b)), rel=1e-3)
+
+
+def test_many_languages_are_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame(small_texts(9), "doc_id long, text string, lang string")
+    monkeypatch.setattr(G, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        G.fit(docs, F.lit(True))
+
+
 def test_toxicity_held_out_ranking(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     got = op4_toxicity(spark, SMALL)
