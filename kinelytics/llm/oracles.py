@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .urls import SECOND_LEVEL
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Words and hit words of ``{docs}`` (doc_id, text) against ``benchmark``; ends with the CTE ``judged``.
@@ -56,7 +58,11 @@ hosts AS (
   SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare, CAST(count(ruling) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE ruling = 'block') AS DOUBLE) AS k
   FROM outcomes GROUP BY host
 ),
-named AS (SELECT *, regexp_extract(bare, '([^.]*\.)?[^.]*$') AS dom, regexp_extract(bare, '[^.]*$') AS suf FROM hosts),
+named AS (
+  SELECT *, CASE WHEN regexp_matches(bare, '(^|\.)({"|".join(SECOND_LEVEL)})\.[a-z]{{2}}$') THEN regexp_extract(bare, '([^.]*\.)?[^.]*\.[^.]*$') ELSE regexp_extract(bare, '([^.]*\.)?[^.]*$') END AS dom,
+    CASE WHEN regexp_matches(bare, '(^|\.)({"|".join(SECOND_LEVEL)})\.[a-z]{{2}}$') THEN regexp_extract(bare, '[^.]*\.[^.]*$') ELSE regexp_extract(bare, '[^.]*$') END AS suf
+  FROM hosts
+),
 doms AS (SELECT suf, dom, sum(n) AS n, sum(k) AS k FROM named GROUP BY suf, dom),
 sufs AS (SELECT suf, sum(n) AS n, sum(k) AS k FROM doms GROUP BY suf),
 suf_m AS (SELECT *, (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) FROM sufs) AS m FROM sufs),

@@ -1,14 +1,15 @@
 """URL filters: rules first, then the reputation of the host by empirical Bayes, in DataFrame operations only.
 
-Pages that a rule decides are labelled outcomes (block = 1, allow = 0). Outcomes are counted by host, registered domain (the
-host's last two labels) and suffix (its last label). Each level's rate is shrunk towards its parent through a beta prior:
+Pages that a rule decides are labelled outcomes (block = 1, allow = 0). Outcomes are counted by host, registered domain and
+suffix: the suffix is the host's last label, or its last two where a country's label follows one of ``SECOND_LEVEL``; the
+domain has one label more. Each level's rate is shrunk towards its parent through a beta prior:
 parent mean m and strength s give a child with k of n blocked the posterior Beta(m s + k, (1 - m) s + n - k), whose mean is
 the child's own children's prior mean. A level's strength is estimated by moments from the spread of its units' rates
 (beta-binomial: the between-unit variance that is left after binomial noise). A page without a rule is blocked when the
 lower posterior bound of its host's block rate reaches the threshold.
 
-Everything is aggregated by host before any shuffle of pages; the one join of pages with host verdicts goes through
-``lookup``, which broadcasts the few hot hosts (proven bound) and shuffles the rest.
+Everything is aggregated by host before any shuffle of pages; the joins of domains with suffixes, of hosts with domains and
+of pages with host verdicts go through ``lookup``, which broadcasts the few hot keys (proven bound) and shuffles the rest.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ RULES = (
 )
 
 
+#: Labels under which countries register names.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gov", "gv", "mil", "ne", "net", "nom", "or", "org")
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
     return ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
@@ -68,13 +73,23 @@ def _labels(host: Column) -> Column:
     return F.split(F.regexp_replace(host, r"^.*@|:\d*$", ""), r"\.")
 
 
+def _last(host: Column, n: Column) -> Column:
+    """The last ``n`` labels, or all where there are fewer; user and port apart."""
+    labels = _labels(host)
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+
+
+def _suffix_labels(host: Column) -> Column:
+    return F.when(F.array_join(F.slice(_labels(host), -2, 2), ".").rlike(rf"^(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$"), 2).otherwise(1)
+
+
 def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels, user and port apart."""
-    return F.array_join(F.slice(F.reverse(_labels(host)), 1, 2), ".")
+    """Registered domain: the suffix and the label before it."""
+    return _last(host, _suffix_labels(host) + 1)
 
 
 def suffix_of(host: Column) -> Column:
-    return F.element_at(_labels(host), -1)
+    return _last(host, _suffix_labels(host))
 
 
 def reputation(hosts: DataFrame, least: float = 1.0, most: float = 1000.0) -> DataFrame:
@@ -106,9 +121,9 @@ def reputation(hosts: DataFrame, least: float = 1.0, most: float = 1000.0) -> Da
     suffixes = domains.groupBy("suffix").agg(*sums)
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()  # one row
     mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("m")
-    suffixes = step(suffixes.withColumn("m", F.lit(((total.k or 0) + 0.5) / ((total.n or 0) + 1.0))))
-    domains = step(domains.join(suffixes.select("suffix", mean), "suffix"))
-    return step(hosts.join(domains.select("domain", mean), "domain"))
+    suffixes = cut(step(suffixes.withColumn("m", F.lit(((total.k or 0) + 0.5) / ((total.n or 0) + 1.0)))))
+    domains = cut(step(lookup(domains, suffixes.select("suffix", mean), "suffix")))  # "com" may hold most domains
+    return step(lookup(hosts, domains.select("domain", mean), "domain"))  # and one domain most hosts
 
 
 def lower_bound(a: Column, b: Column, z: float) -> Column:

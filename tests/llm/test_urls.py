@@ -8,6 +8,7 @@ URLS = [
     None, "", "no scheme", "://", "http://", "https://org/", "http://a.org", "http://a.org/x", "http://A.ORG:80/x?q#f", "http://xorg/",
     "http://example.org/es/1", "http://www.example.org/es/", "http://notexample.org/es/", "http://example.org/en/123", "http://example.org/en/2",
     "http://u@b.com/fr/1", "http://b.com/de/1", "http://b.com?x=/de/", "http://b.com#/de/", "ftp://c.net/a?b://d.com/de/", "http://c.net/\n/x", "HTTP://É.com/de/É",
+    "http://x.co.uk/en/1", "http://www.shop.com.au/fr/2", "http://co.uk/", "http://com.de/de/1", "http://a.b.org.uk:80/de/3", "http://s.com/de/", "http://t.s.com/de/4",
 ]
 
 
@@ -38,7 +39,9 @@ def brute(urls, threshold=0.5, z=1.645):
         head, _, tail = bare.rpartition(":")
         bare = head if (head or ":" in bare) and (tail.isdigit() or not tail) and ":" in bare else bare
         labels = bare.split(".")
-        for level in (("h", host, ".".join(labels[-2:]), labels[-1]), ("d", ".".join(labels[-2:]), labels[-1]), ("s", labels[-1]), ("all",)):
+        wide = len(labels) > 1 and labels[-2] in U.SECOND_LEVEL and len(labels[-1]) == 2 and all("a" <= c <= "z" for c in labels[-1])
+        domain, suffix = (".".join(labels[-n - wide :]) for n in (2, 1))
+        for level in (("h", host, domain, suffix), ("d", domain, suffix), ("s", suffix), ("all",)):
             tree[level][0] += r is not None
             tree[level][1] += r is not None and r.verdict == "block"
 
