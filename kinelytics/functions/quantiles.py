@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to so many rows the built-in exact aggregate is used, which keeps a value-to-count map on one task.
 DIRECT_ROWS = 2_000_000
+#: Beyond, so many values of a bracket are sorted at most.
+HELD = 100_000
 
 
 def ranks_of(n: int, p: float) -> tuple[int, int, float]:
@@ -16,34 +20,58 @@ def ranks_of(n: int, p: float) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), at - low
 
 
-def select(df: DataFrame, column: str, rank: int, n: int, hold: int) -> float:
-    """The value of a 0-based rank: the bracket around it is narrowed by approximate quantiles until ``hold`` rows or fewer
-    lie in it, and only those are sorted. Each round reads the column once and shuffles nothing but sketches."""
-    lo = hi = None
-    below, inside = 0, n
-    v = F.col(column)
-    while inside > hold:
-        part = df if lo is None else df.where((v >= lo) & (v <= hi))
-        want = (rank - below + 0.5) / inside
-        edges = part.agg(F.percentile_approx(v, [max(want - 0.002, 0.0), min(want + 0.002, 1.0)], 10_000).alias("e")).first().e
-        a, b = edges
-        under, within = df.agg(F.count(F.when(v < a, 1)), F.count(F.when((v >= a) & (v <= b), 1))).first()
-        if not under <= rank < under + within:  # the sketch missed: keep the side that holds the rank
-            a, b = (lo if lo is not None else df.agg(F.min(v)).first()[0], a) if rank < under else (b, hi if hi is not None else df.agg(F.max(v)).first()[0])
-            under, within = df.agg(F.count(F.when(v < a, 1)), F.count(F.when((v >= a) & (v <= b), 1))).first()
-        if (a, b) == (lo, hi) or a == b:
-            lo, hi, below, inside = a, b, under, within
-            break
-        lo, hi, below, inside = a, b, under, within
-    if lo is not None and lo == hi:
-        return float(lo)
-    part = df if lo is None else df.where((v >= lo) & (v <= hi))
-    values = part.where(v.isNotNull()).groupBy(v.alias("v")).count().orderBy("v").toLocalIterator()
-    for r in values:
-        below += r["count"]
-        if rank < below:
-            return float(r.v)
-    raise ValueError("rank beyond the column")
+@dataclass
+class Bracket:
+    """Bounds that hold the values of two neighbouring ranks of a column, with the counts below them and within."""
+
+    column: str
+    first: int
+    second: int
+    low: float
+    high: float
+    below: int
+    inside: int
+    stuck: bool = False
+
+    def kept(self) -> Column:
+        v = F.col(self.column)
+        return F.when((v >= F.lit(self.low)) & (v <= F.lit(self.high)), v)
+
+    def open(self, most: int) -> bool:
+        return not self.stuck and self.low != self.high and self.inside > most
+
+    def narrowed(self, a: float, b: float, under_a: int, upto_a: int, under_b: int, upto_b: int) -> Bracket:
+        """The part of the bracket, cut at ``a`` and ``b``, that holds both ranks; the counts are of the whole column."""
+        starts = ((self.low, self.below), (a, under_a), (b, under_b))
+        ends = ((a, upto_a), (b, upto_b), (self.high, self.below + self.inside))
+        at = lambda rank: 0 if rank < under_a else 1 if rank < upto_b else 2
+        (low, below), (high, upto) = starts[at(self.first)], ends[at(self.second)]
+        return Bracket(self.column, self.first, self.second, low, high, below, upto - below, (low, high) == (self.low, self.high))
+
+
+def search(df: DataFrame, brackets: list[Bracket], most: int) -> list[tuple[float, float]]:
+    """The values of the brackets' two ranks. All brackets are narrowed together by mergeable sketches, two passes a round, until
+    each holds ``most`` values or fewer, and what they hold is sorted in one more pass: about eight passes at any size."""
+    while any(x.open(most) for x in brackets):
+        going = [i for i, x in enumerate(brackets) if x.open(most)]
+        sketches = []
+        for i in going:
+            x = brackets[i]
+            shares = [max((x.first - x.below + 0.5) / x.inside - 0.002, 0.0), min((x.second - x.below + 0.5) / x.inside + 0.002, 1.0)]
+            sketches.append(F.percentile_approx(x.kept(), shares, 10_000).alias(f"e{i}"))
+        edges = df.agg(*sketches).first()
+        counts = []
+        for i in going:
+            v, (a, b) = F.col(brackets[i].column), edges[f"e{i}"]
+            counts += [F.count_if(c).alias(f"{k}{i}") for k, c in (("w", v < a), ("x", v <= a), ("y", v < b), ("z", v <= b))]
+        found = df.agg(*counts).first()
+        for i in going:
+            brackets[i] = brackets[i].narrowed(*edges[f"e{i}"], *(found[f"{k}{i}"] for k in "wxyz"))
+    rest = [i for i, x in enumerate(brackets) if x.low != x.high]
+    held = df.agg(*[F.sort_array(F.collect_list(brackets[i].kept())).alias(f"v{i}") for i in rest]).select(
+        *[F.array(*[F.element_at(f"v{i}", r - brackets[i].below + 1) for r in (brackets[i].first, brackets[i].second)]).alias(f"v{i}") for i in rest]
+    ).first() if rest else None
+    return [(float(held[f"v{i}"][0]), float(held[f"v{i}"][1])) if i in rest else (float(x.low), float(x.low)) for i, x in enumerate(brackets)]
 
 
 def direct(column: str, ps: list[float]) -> Column:
@@ -61,15 +89,9 @@ def quantiles(df: DataFrame, wanted: dict[str, list[float]], direct_rows: int =
     if rows <= direct_rows:
         row = df.agg(*[direct(c, ps) for c, ps in wanted.items()]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(ps) for c, ps in wanted.items()}
-    out: dict[str, list[float | None]] = {}
-    for c, ps in wanted.items():
-        n, out[c] = counts[c], []
-        for p in ps:
-            if not n:
-                out[c].append(None)
-                continue
-            low, high, w = ranks_of(n, p)
-            a = select(df, c, low, n, direct_rows)
-            b = select(df, c, high, n, direct_rows) if w else a
-            out[c].append(a + (b - a) * w)
-    return out
+    names = [c for c in wanted if counts[c]]
+    ends = df.agg(*[f(c).alias(f"{k}{c}") for c in names for k, f in (("l", F.min), ("h", F.max))]).first() if names else {}
+    places = [(c, p, *ranks_of(counts[c], p)) for c in names for p in wanted[c]]
+    found = search(df, [Bracket(c, low, high, ends[f"l{c}"], ends[f"h{c}"], 0, counts[c]) for c, _, low, high, _ in places], min(direct_rows, HELD))
+    value = {(c, p): a + (b - a) * w for (c, p, _, _, w), (a, b) in zip(places, found)}
+    return {c: [value.get((c, p)) for p in ps] for c, ps in wanted.items()}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinelytics.functions.running import running_before
+
 #: Bar, comparison, threshold.
 BARS = (
     ("auroc", ">=", 0.95),
@@ -27,12 +29,11 @@ def auroc(df: DataFrame, score: str, positive: str, by: list[str] | None = None)
     """``n_pos, n_neg, auroc`` by group: chance that a positive outranks a negative, ties counting half.
 
     Rows are first counted by score, so the one running sum goes over distinct scores and equal scores cost nothing; no pair
-    is ever formed. Null where a class is empty; infinite scores rank highest.
+    is ever formed, and ranges of scores are summed apart. Null where a class is empty; infinite scores rank highest.
     """
     by = by or []
     counts = df.groupBy(*by, score).agg(F.count_if(positive).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    below = running_before(counts, by, score, "neg", "below")
     rows = below.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"))
     return rows.select(*by, "n_pos", "n_neg", F.try_divide(F.col("wins"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auroc"))
 

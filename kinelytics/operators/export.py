@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def prefix(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Sum of ``value`` over rows with a smaller ``key`` (unique), without one task seeing all rows.
-
-    Rows are dealt out by key range; sums within a range are windows, and the ranges' totals (one a partition) are added
-    as a small broadcast.
-    """
-    parts = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()).persist()
-    w = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sorted((r["_part"], r["s"]) for r in parts.groupBy("_part").agg(F.sum(value).alias("s")).collect())  # one a partition
-    before, at = [], 0
-    for part, s in sums:
-        before.append((part, at))
-        at += s
-    offsets = df.sparkSession.createDataFrame(before, "_part int, _before long")
-    inner = F.coalesce(F.sum(value).over(w), F.lit(0))
-    return parts.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + inner).cast("long")).drop("_part", "_before")
+from kinelytics.functions.running import running_before
 
 
 def renumbered(episodes: DataFrame) -> DataFrame:
     """``episode`` (source index) with its new contiguous index ``new_index``, in source order."""
-    return prefix(episodes.select("episode").withColumn("_one", F.lit(1)), "episode", "_one", "new_index").drop("_one")
+    return running_before(episodes.select("episode", F.lit(1).cast("long").alias("_one")), [], "episode", "_one", "new_index").drop("_one")
 
 
 def offsets(lengths: DataFrame) -> DataFrame:
     """``episode, n`` with the frame offsets ``from_index`` and ``to_index`` of each episode."""
-    return prefix(lengths, "episode", "n", "from_index").withColumn("to_index", F.col("from_index") + F.col("n"))
+    return running_before(lengths, [], "episode", "n", "from_index").withColumn("to_index", F.col("from_index") + F.col("n"))
 
 
 def component_stats(frames: DataFrame, columns: list[str], by: list[str]) -> DataFrame:

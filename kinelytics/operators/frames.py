@@ -76,8 +76,8 @@ def prepared(frames: Frames) -> Frames:
     return frames.with_df(df)
 
 
-def from_arrays(df: DataFrame, fps: float, width: int, action_width: int) -> Frames:
-    """Frames from ``episode, frame, t, state[], action[], success`` rows."""
+def from_arrays(df: DataFrame, fps: float, width: int, action_width: int, extra: list[str] = ()) -> Frames:
+    """Frames from ``episode, frame, t, state[], action[], success`` rows; ``extra`` columns ride along."""
     cols = [F.element_at("state", i + 1).cast("double").alias(f"s_{i}") for i in range(width)]
     cols += [F.element_at("action", j + 1).cast("double").alias(f"a_{j}") for j in range(action_width)]
-    return Frames(df.select("episode", "frame", "t", *cols, "success"), width, action_width, fps)
+    return Frames(df.select("episode", "frame", "t", *cols, "success", *extra), width, action_width, fps)

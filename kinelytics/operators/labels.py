@@ -29,6 +29,10 @@ class Edit:
             raise ValueError(f"label must be one of {', '.join(LABELS)}")
         if self.label is not None and self.clear_label or self.notes is not None and self.clear_notes:
             raise ValueError("a field cannot be set and cleared at once")
+        if not (self.label or self.notes is not None or self.clear_label or self.clear_notes or self.add_flags or self.remove_flags):
+            raise ValueError("an edit changes something")
+        if any(not f.strip() for f in (*self.add_flags, *self.remove_flags)):
+            raise ValueError("a flag has a name")
         if set(self.add_flags) & set(self.remove_flags):
             raise ValueError("a flag cannot be added and removed at once")
 
@@ -56,6 +60,11 @@ def edited(episodes: DataFrame, edit: Edit, indices: list[int] | None = None) ->
     return episodes.select(*[F.when(here, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in episodes.columns])
 
 
+def absent(episodes: DataFrame, indices: list[int]) -> list[int]:
+    """Those of ``indices`` that no row has."""
+    return sorted(set(indices) - {r.episode for r in episodes.where(F.col("episode").isin(indices)).select("episode").collect()})
+
+
 def parse_indices(text: str, total: int) -> list[int]:
     """``3``, ``1,4`` and ``2-5``, in any mix: sorted, each once; an error names what is out of range."""
     out: set[int] = set()

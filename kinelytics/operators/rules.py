@@ -68,6 +68,17 @@ def rule(block: DataFrame, comparison: DataFrame | None = None, linked_full: boo
     return rows.withColumn("rule", found).withColumn("add_on", F.when(F.col("outcome_known") == 0, "R6"))
 
 
+def unmet(row: dict, linked_full: bool) -> list[str]:
+    """What keeps a clear difference from being read as R5, from one row of :func:`rule`."""
+    tests = (
+        (row["flagged_frac"] >= FLAGGED_R5, f"{100 * row['flagged_frac']:.1f}% of episodes are flagged (less than {100 * FLAGGED_R5:.0f}% is needed)"),
+        (row["outcome_known"] < row["episodes"], f"the outcome of {row['episodes'] - row['outcome_known']} of {row['episodes']} episodes is unknown"),
+        ((row["failed_frac"] or 0.0) >= FAILED_R5, f"{100 * (row['failed_frac'] or 0.0):.1f}% of known outcomes are failures (less than {100 * FAILED_R5:.0f}% is needed)"),
+        (not linked_full, "it is not known that both policies learned from all of the scored data"),
+    )
+    return [text for holds, text in tests if holds]
+
+
 @dataclass(frozen=True)
 class Policy:
     """What a report knows of a compared policy: its kind, the data it learned from, and which episodes it kept."""
@@ -95,6 +106,25 @@ def subset_block(episodes: DataFrame, policy: Policy) -> DataFrame | None:
     return data_block(episodes.join(kept, "episode", "left_semi"))
 
 
+def subset_note(found: dict, block: dict | None, measure: str = "failed") -> str:
+    """What one linked policy learned from; ``found`` is of :func:`link`, ``block`` a row of :func:`subset_block`."""
+    if found["full"]:
+        return f"{found['spec']} learned from all episodes."
+    if block is None:
+        return f"{found['spec']} learned from a filtered part of the data ({found['why']})."
+    share = block["failed_frac"] if measure == "failed" else block["motion_flagged_frac"]
+    shown = "an unknown share" if share is None else f"{100 * share:.1f}%"
+    return f"{found['spec']} learned from {block['episodes']} episodes ({found['why']}), of which {shown} {'failed' if measure == 'failed' else 'are flagged'}."
+
+
+def seeds_warning(evals: list[dict]) -> list[str]:
+    """A doubt where evaluations (``policy, eval_seed, n``) did not use the same seeds, or too few of them back a claim."""
+    out = []
+    if len({(e["eval_seed"], e["n"]) for e in evals}) > 1:
+        out.append("evaluations used different seeds or numbers of runs: their rates are not comparable")
+    return out
+
+
 def input_warnings(eval_policy: str | None, eval_seed: int | None, eval_n: int | None, compare: dict | None) -> list[str]:
     """Doubts about inputs that do not belong together."""
     out = []
@@ -122,7 +152,11 @@ LIMITS = (
 )
 
 
-def rendered(row: dict) -> list[str]:
-    """Lines of a report from one row of :func:`rule`."""
+def rendered(row: dict, missing: list[str] = (), train_seeds: int | None = None) -> list[str]:
+    """Lines of a report from one row of :func:`rule`; ``missing`` is what an undecided report lacks."""
     lines = [f"{r}: {TEXT[r].format(**row)}" for r in (row["rule"], row["add_on"]) if r]
+    if row["rule"] == "INCONCLUSIVE":
+        lines += [f"Missing or unmet: {x}." for x in missing]
+    if row["rule"] == "R5" and train_seeds is not None and train_seeds < SEEDS:
+        lines.append(f"A claim about the recipe needs {SEEDS} or more training seeds a side that agree; this report has {train_seeds}.")
     return [*lines, *LIMITS]

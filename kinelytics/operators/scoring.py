@@ -162,18 +162,22 @@ def idle_fraction(eps: float, config: ScoreConfig) -> Column:
     return F.when(F.col("net_p95") < eps, F.lit(1.0)).otherwise(still / F.size("nets"))
 
 
-def signals(feature_rows: DataFrame, frames: Frames, config: ScoreConfig, episodes: int | None = None) -> DataFrame:
-    """``episode, n`` and one column a signal (raw values). ``feature_rows`` should be cached: it is read twice."""
+#: Columns of :func:`features` that a signal needs; a signal that is not here is a column itself.
+NEEDS = {"sparc_state": ("speeds",), "action_tv_ratio": ("path", "net_shift", "split_shift"), "idle_frac": ("nets", "net_p10", "net_p95")}
+
+
+def signals(feature_rows: DataFrame, frames: Frames, config: ScoreConfig, episodes: int | None = None, only: tuple[str, ...] = SIGNALS) -> DataFrame:
+    """``episode, n`` and one column a signal (raw values). ``feature_rows`` should be cached: it is read twice where a
+    signal has a dataset-wide floor (those that have none need no cache, and no column that they do not use)."""
     shift = "split_shift" if config.tv_mode == "split" else "net_shift"
-    got = quantiles(feature_rows, {"net_p10": [0.25], shift: [0.5]}, rows=episodes)
-    eps = max(0.02, config.idle_eps_mult * (got["net_p10"][0] or 0.0))
-    floor = max(config.tv_den_frac * (got[shift][0] or 0.0), 1e-6)
-    columns = {
-        "sparc_state": sparc(F.col("speeds"), frames.fps),
-        "action_tv_ratio": F.col("path") / F.greatest(F.col(shift), F.lit(floor)),
-        "idle_frac": idle_fraction(eps, config),
-    }
-    return feature_rows.select("episode", "n", *[columns.get(s, F.col(s)).alias(s) for s in SIGNALS])
+    floors = {"idle_frac": ("net_p10", 0.25), "action_tv_ratio": (shift, 0.5)}
+    got = quantiles(feature_rows, {floors[s][0]: [floors[s][1]] for s in only if s in floors}, rows=episodes)
+    columns = {"sparc_state": sparc(F.col("speeds"), frames.fps)} if "sparc_state" in only else {}
+    if "idle_frac" in only:
+        columns["idle_frac"] = idle_fraction(max(0.02, config.idle_eps_mult * (got["net_p10"][0] or 0.0)), config)
+    if "action_tv_ratio" in only:
+        columns["action_tv_ratio"] = F.col("path") / F.greatest(F.col(shift), F.lit(max(config.tv_den_frac * (got[shift][0] or 0.0), 1e-6)))
+    return feature_rows.select("episode", "n", *[columns.get(s, F.col(s)).alias(s) for s in only])
 
 
 def robust(df: DataFrame, columns: dict[str, str], config: ScoreConfig, rows: int | None = None) -> dict[str, tuple[float | None, float]]:
@@ -375,9 +379,11 @@ def summary(scores: Scores) -> DataFrame:
 
 
 def top_reasons(scores: Scores, most: int = 5) -> DataFrame:
-    """Hard-flag kinds and signals above the reason threshold among episodes that are not ok, by count."""
+    """Hard-flag kinds and signals above the reason threshold among episodes that are not ok, by count; equal counts by where
+    they occur first (episode, then defects before signals in their fixed order)."""
     kinds = F.transform("hard_flags", lambda x: F.coalesce(*[F.when(x.startswith(v.split(" (")[0].split(":")[0].split(" in ")[0]), F.lit(k)) for k, v in HARD.items()]))
     place = {k: i for i, k in enumerate([*HARD, *SIGNALS])}
-    rows = scores.episodes.where("quality <> 'ok'").select(F.explode(F.concat(kinds, "reason_signals")).alias("reason"))
+    rows = scores.episodes.where("quality <> 'ok'").select("episode", F.explode(F.concat(kinds, "reason_signals")).alias("reason"))
     order = F.coalesce(*[F.when(F.col("reason") == k, F.lit(i)) for k, i in place.items()])
-    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), order).limit(most)
+    counts = rows.groupBy("reason").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("episode", order.alias("place"))).alias("first"))
+    return counts.orderBy(F.desc("count"), "first").limit(most).select("reason", "count")

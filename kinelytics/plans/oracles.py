@@ -292,10 +292,11 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (WHERE disagree) AS disagreements, {_r("CAST(count(*) FILTER (WHERE quality <> 'ok') AS DOUBLE) / count(*)")} AS flagged_frac,
             CAST(count(*) FILTER (WHERE quality <> 'ok') AS DOUBLE) / count(*) > 0.5 AS mostly_flagged, count(*) < 10 AS few_episodes FROM eo""",
         "q22_top_reasons": f"""{episodes(True)}, rs AS (
-              SELECT 'nonfinite' AS reason, 0 AS place FROM eo WHERE NOT fin UNION ALL SELECT 'short', 1 FROM eo WHERE h_short
-              UNION ALL SELECT 'frozen', 2 FROM (SELECT unnest(range(h_frozen)) FROM eo) UNION ALL SELECT 'gap', 3 FROM eo WHERE h_gap UNION ALL SELECT 'saturation', 4 FROM eo WHERE h_sat
-              UNION ALL SELECT signal, 5 + zz.place FROM zz JOIN eo ON zz.episode = eo.episode WHERE quality <> 'ok' AND z > 3.0)
-            SELECT reason, count(*) AS count FROM rs GROUP BY reason, place ORDER BY count(*) DESC, place LIMIT 5""",
+              SELECT 'nonfinite' AS reason, episode, 0 AS place FROM eo WHERE NOT fin UNION ALL SELECT 'short', episode, 1 FROM eo WHERE h_short
+              UNION ALL SELECT 'frozen', episode, 2 FROM (SELECT episode, unnest(range(h_frozen)) FROM eo) UNION ALL SELECT 'gap', episode, 3 FROM eo WHERE h_gap
+              UNION ALL SELECT 'saturation', episode, 4 FROM eo WHERE h_sat
+              UNION ALL SELECT signal, zz.episode, 5 + zz.place FROM zz JOIN eo ON zz.episode = eo.episode WHERE quality <> 'ok' AND z > 3.0)
+            SELECT reason, count(*) AS count FROM rs GROUP BY reason ORDER BY count(*) DESC, min(episode * 100 + place) LIMIT 5""",
         "q23_wilson": f"""WITH g AS (SELECT o_orderpriority AS grp, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS k FROM orders GROUP BY o_orderpriority)
             SELECT grp, n, k, {_r("CAST(k AS DOUBLE) / n")} AS rate, {_r(wilson("k", "n", "lo"))} AS lo, {_r(wilson("k", "n", "hi"))} AS hi FROM g""",
         "q25_mcnemar": f"WITH {OUT}, {PAIRS}, {mcnemar('pr')} SELECT kind, grp, n_both, n_a_only, n_b_only, n_neither, {_r('p')} AS p FROM mc",
@@ -379,6 +380,17 @@ def oracle_sql() -> dict[str, str]:
           FROM g JOIN r ON r.m <= g.n GROUP BY id, gain
         )
         SELECT lang, outcome, (SELECT min(gain) FROM pw WHERE pw.id = i.id AND power >= 0.8) AS least_effect FROM i"""
+    out["q47_paired_runs"] = f"""WITH {COMPARE}, i AS (
+          SELECT *, CASE WHEN n_both + n_a_only = 0 THEN 0.5 ELSE CAST(n_both + n_a_only AS DOUBLE) / n END AS p_a, CAST(n_a_only AS DOUBLE) / nullif(n_both + n_a_only, 0) AS seen,
+            CASE WHEN n_both + n_a_only = 0 THEN 0.1 ELSE greatest(CAST(n_a_only AS DOUBLE) / (n_both + n_a_only), 0.1) END AS lose FROM cmp
+        ),
+        g AS (SELECT n, lose * p_a AS lost, gain, gain + 2 * lost AS apart, (gain + lost) / (gain + 2 * lost) AS share FROM i, (SELECT round(CAST(0.01 + 0.005 * unnest(range(200)) AS DOUBLE), 3) AS gain) WHERE gain < 1 - p_a AND gain + lose * p_a <= 1 - p_a),
+        m AS (SELECT CAST(unnest(range(1, (SELECT max(n) FROM i) + 1)) AS BIGINT) AS m),
+        c AS (SELECT m, c, sum(exp(lgamma(m + 1) - lgamma(c + 1) - lgamma(m - c + 1) - m * ln(2.0))) OVER (PARTITION BY m ORDER BY c) AS tail FROM (SELECT m, CAST(unnest(range(m // 2 + 1)) AS BIGINT) AS c FROM m)),
+        r AS (SELECT m, c FROM c JOIN (SELECT m, max(c) AS edge FROM c WHERE 2 * tail < 0.05 GROUP BY m) e USING (m) WHERE c <= edge),
+        chance AS (SELECT gain, sum(CASE WHEN apart >= 1 THEN CAST(m = n AS DOUBLE) ELSE {_binomial('m', 'n', 'apart')} END * ({_binomial('c', 'm', 'share')} + {_binomial('c', 'm', '(1 - share)')})) AS power FROM g JOIN r ON r.m <= g.n GROUP BY gain)
+        SELECT n, {_r('p')} AS p, {_r('delta')} AS delta, {_r('lo')} AS lo, {_r('hi')} AS hi, significant, {_r('p_a')} AS p_a, {_r('seen')} AS lose_observed, {_r('lose')} AS lose, coalesce(seen < lose, true) AS floored,
+          (SELECT min(gain) FROM chance WHERE power >= 0.8) AS least_effect FROM i"""
     spoken = " ".join(f"WHEN '{s}' THEN {_spoken(*WORDED[s])}" for s in WORDED)
     out["q42_reasons"] = f"""{episodes(True)}, te AS (
           SELECT zz.episode, string_agg(CASE signal {spoken} END || ' (z=' || printf('%.1f', least(z, 10.0)) || ')' || CASE WHEN combined <= 3.5 THEN ' [below the flag threshold]' ELSE '' END, ' | ' ORDER BY z DESC, place) AS said

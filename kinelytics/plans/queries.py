@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinelytics.config import SIGNALS, ScoreConfig
 from kinelytics.functions.quantiles import quantiles
-from kinelytics.operators import bars, benchmark, export, labels, rules, scoring, stats
+from kinelytics.operators import bars, benchmark, export, labels, rules, runs, scoring, stats
 from kinelytics.operators.frames import Frames, prepared
 from kinelytics.sources import views
 
@@ -37,17 +37,21 @@ def over(names: str, make: Callable[[Frames], DataFrame]) -> Query:
     return run
 
 
-def _features(frames: Frames) -> tuple[Frames, DataFrame]:
+def _features(frames: Frames, *columns: str) -> tuple[Frames, int, DataFrame]:
+    """Scorable frames, how many, and these columns of their episodes (what a query does not ask for is not computed)."""
     good = scoring.scorable(prepared(frames), CONFIG)
     good = good.with_df(good.df.persist())
-    scale = scoring.scale_of(good, good.df.count())
-    return good, scoring.features(scoring.normalized(good, scale), scale, CONFIG).persist()
+    n = good.df.count()
+    scale = scoring.scale_of(good, n)
+    return good, n, scoring.features(scoring.normalized(good, scale), scale, CONFIG).select("episode", "n", *columns)
 
 
 def _signal(name: str, column: str, config: ScoreConfig = CONFIG) -> Callable[[Frames], DataFrame]:
     def make(frames: Frames) -> DataFrame:
-        good, rows = _features(frames)
-        return scoring.signals(rows, good, config).select("episode", r6(name).alias(column))
+        good, n, rows = _features(frames, *scoring.NEEDS.get(name, (name,)))
+        if name in ("idle_frac", "action_tv_ratio"):
+            rows = rows.persist()
+        return scoring.signals(rows, good, config, n, (name,)).select("episode", r6(name).alias(column))
 
     return make
 
@@ -67,9 +71,9 @@ def _scores(spark: SparkSession, sf_dir: str, frames: Frames | None = None) -> s
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothness of commands by episode, and its robust z."""
-    good, rows = _features(views.events(spark, sf_dir))
-    rows = rows.select("episode", "n", "action_hf_energy")
-    z = scoring.z_of("action_hf_energy", scoring.robust(rows, {"action_hf_energy": "action_hf_energy"}, CONFIG)["action_hf_energy"])
+    _, n, rows = _features(views.events(spark, sf_dir), "action_hf_energy")
+    rows = rows.persist()
+    z = scoring.z_of("action_hf_energy", scoring.robust(rows, {"action_hf_energy": "action_hf_energy"}, CONFIG, n)["action_hf_energy"])
     return rows.select("episode", F.col("n").alias("n_frames"), r6("action_hf_energy").alias("action_hf_energy"), r6(z).alias("z"), (z > CONFIG.flag_z).alias("flagged"))
 
 
@@ -86,15 +90,22 @@ def _joint_rows(spark_frames: Frames, values: list[tuple]) -> DataFrame:
     return spark_frames.df.sparkSession.createDataFrame(values, "joint int, x double, y double, z double")
 
 
+def _scale(ready: Frames) -> scoring.Scale:
+    good = scoring.scorable(ready, CONFIG)
+    return scoring.scale_of(good, good.df.count())
+
+
 def _quantiles(frames: Frames) -> DataFrame:
-    s = scoring.scale_of(scoring.scorable(prepared(frames), CONFIG))
+    ready = prepared(frames)
+    s = _scale(ready.with_df(ready.df.persist()))
     rows = _joint_rows(frames, [(j, *v) for j, v in enumerate(zip(s.p01, s.p99, s.state))])
     return rows.select("joint", r6("x").alias("p01"), r6("y").alias("p99"), r6("z").alias("scale"))
 
 
 def _ranges(frames: Frames) -> DataFrame:
     ready = prepared(frames)
-    s, ptp = scoring.scale_of(scoring.scorable(ready, CONFIG)), scoring.dataset_ranges(ready)
+    ready = ready.with_df(ready.df.persist())
+    s, ptp = _scale(ready), scoring.dataset_ranges(ready)
     rows = _joint_rows(frames, [(j, lo, hi, ptp[f"a_{j}"]) for j, (lo, hi) in enumerate(zip(s.low, s.high))])
     return rows.select("joint", r6("x").alias("lo"), r6("y").alias("hi"), r6("z").alias("ptp"))
 
@@ -119,16 +130,17 @@ def q07_frozen_joint(spark, sf_dir):
 
 
 def _net(frames: Frames) -> DataFrame:
-    return _features(frames)[1].select("episode", r6("net_p10").alias("p10"), r6("net_p95").alias("p95"))
+    return _features(frames, "net_p10", "net_p95")[2].select("episode", r6("net_p10").alias("p10"), r6("net_p95").alias("p95"))
 
 
 def _tv(mode: str) -> Callable[[Frames], DataFrame]:
     config = ScoreConfig(tv_mode=mode)
 
     def make(frames: Frames) -> DataFrame:
-        good, rows = _features(frames)
+        good, n, rows = _features(frames, *scoring.NEEDS["action_tv_ratio"])
+        rows = rows.persist()
         den = rows.select("episode", r6(f"{mode}_shift").alias("den"))
-        return scoring.signals(rows, good, config).select("episode", r6("action_tv_ratio").alias("ratio")).join(den, "episode")
+        return scoring.signals(rows, good, config, n, ("action_tv_ratio",)).select("episode", r6("action_tv_ratio").alias("ratio")).join(den, "episode")
 
     return make
 
@@ -362,6 +374,15 @@ def q46_any_and_last_success(spark, sf_dir):
     return rows.select("episode", "any_success", F.col("outcome_sim").alias("last_success"))
 
 
+def q47_paired_runs(spark, sf_dir):
+    """Two policies on the same seeds, with labelled documents as seeds: paired by seed, tested, and the test's power."""
+    rows = views.outcomes(spark, sf_dir)
+    run = lambda side: rows.select(F.lit(7).alias("eval_seed"), F.col("doc_id").alias("episode"), F.col(side).alias("success"), F.lit(90).alias("max_steps"))
+    found = runs.compared(runs.paired(run("a"), run("b")))
+    numbers = [r6(c).alias(c) for c in ("p", "delta", "lo", "hi", "p_a", "lose_observed", "lose")]
+    return found.select("n", "significant", "floored", *numbers, "least_effect")
+
+
 def queries() -> dict[str, Query]:
     return {
         "q00_entry": entry,
@@ -414,4 +435,5 @@ def queries() -> dict[str, Query]:
         "q44_content_hash": q44_content_hash,
         "q45_truth_counts": q45_truth_counts,
         "q46_any_and_last_success": q46_any_and_last_success,
+        "q47_paired_runs": q47_paired_runs,
     }

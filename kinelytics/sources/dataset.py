@@ -6,6 +6,8 @@ Paths may lie in any store that Spark reads: listing and JSON go through Spark a
 from __future__ import annotations
 
 import json
+import os
+import posixpath
 import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -20,6 +22,8 @@ from kinelytics.operators.frames import Frames
 STATE, ACTION, SUCCESS = "observation.state", "action", "next.success"
 KEYS = ("episode_index", "frame_index", "timestamp")
 TAGS = "meta/episode_tags.json"
+#: Columns that frames may have besides, their names in a dataset and their types.
+EXTRA = {"environment": ("observation.environment_state", "array<float>"), "reward": ("next.reward", "float")}
 
 
 class DatasetError(Exception):
@@ -160,14 +164,14 @@ def read_tags(spark: SparkSession, root: str, info: dict) -> tuple[DataFrame | N
     return spark.createDataFrame(rows, "episode long, label string, notes string"), []
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """Writes a small file whole or not at all: a temporary name first, then a rename."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}._part")
     fs = target.getFileSystem(conf)
     stream = fs.create(temp, True)
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(content))
     finally:
         stream.close()
     fs.delete(target, False)
@@ -175,6 +179,25 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise DatasetError(f"cannot write {path}")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def inside(spark: SparkSession, path: str, folder: str) -> bool:
+    """Whether ``path`` lies in ``folder``, both resolved (relative parts, ``..`` and links) as their file system does."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def resolved(text: str):
+        p = jvm.org.apache.hadoop.fs.Path(text)
+        fs = p.getFileSystem(conf)
+        whole = fs.makeQualified(p)
+        if whole.toUri().getScheme() == "file":
+            return "file:" + os.path.realpath(whole.toUri().getPath())
+        return posixpath.normpath(whole.toString())
+
+    return resolved(path) == resolved(folder) or resolved(path).startswith(resolved(folder).rstrip("/") + "/")
+
+
 def write_json(spark: SparkSession, path: str, value) -> None:
     """Strict JSON: NaN and infinities are refused."""
     write_text(spark, path, json.dumps(value, allow_nan=False, indent=1) + "\n")
@@ -194,6 +217,7 @@ def write_dataset(spark: SparkSession, frames: Frames, root: str, version: str =
     places = offsets(lengths).persist()
     total = places.agg(F.count(F.lit(1)).alias("e"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     single = version.startswith("v2")
+    extra = {c: EXTRA[c][1] for c in EXTRA if c in df.columns}
     rows = df.join(places.select("episode", "from_index"), "episode").select(
         F.array(*frames.states).cast("array<float>").alias(STATE),
         F.array(*frames.actions).cast("array<float>").alias(ACTION),
@@ -203,6 +227,7 @@ def write_dataset(spark: SparkSession, frames: Frames, root: str, version: str =
         (F.col("from_index") + F.col("frame")).alias("index"),
         F.lit(0).cast("long").alias("task_index"),
         F.col("success").alias(SUCCESS),
+        *[F.col(c).cast(kind).alias(EXTRA[c][0]) for c, kind in extra.items()],
         (F.col("episode") if single else F.floor(F.col("episode") / episodes_per_file)).cast("long").alias("_file"),
     )
     staging = f"{root}/_staging"
@@ -213,7 +238,9 @@ def write_dataset(spark: SparkSession, frames: Frames, root: str, version: str =
     fs.mkdirs(path(f"{root}/data/chunk-000"))
     for part in listed(spark, f"{staging}/_file=*/*.parquet"):
         k = int(re.search(r"_file=(\d+)", part)[1])
-        fs.rename(path(part), path(f"{root}/data/chunk-000/" + (f"episode_{k:06d}.parquet" if single else f"file-{k:03d}.parquet")))
+        target = f"{root}/data/chunk-000/" + (f"episode_{k:06d}.parquet" if single else f"file-{k:03d}.parquet")
+        if not fs.rename(path(part), path(target)):
+            raise DatasetError(f"cannot put {target} in place; its frames are in {part}")
     fs.delete(path(staging), True)
     places.select("episode", F.col("n").alias("length"), "from_index", "to_index").write.parquet(f"{root}/meta/episodes")
     component_stats(df, [*frames.states, *frames.actions], ["episode"]).write.parquet(f"{root}/meta/episode_stats")
@@ -225,6 +252,9 @@ def write_dataset(spark: SparkSession, frames: Frames, root: str, version: str =
         "total_frames": total.n,
         "features": {STATE: shape(frames.width, frames.state_names), ACTION: shape(frames.action_width, frames.action_names)},
     }
+    for c in extra:
+        width = df.agg(F.max(F.size(c))).first()[0] if EXTRA[c][1].startswith("array") else 1
+        info["features"][EXTRA[c][0]] = shape(width, None)
     if tags is not None:
         kept = {str(r.episode): {"label": r.label} for r in tags.join(places, "episode", "left_semi").toLocalIterator()}
         write_json(spark, f"{root}/{TAGS}", {"dataset": {k: info[k] for k in ("codebase_version", "total_episodes", "total_frames")}, "episodes": kept})

@@ -159,6 +159,64 @@ def test_export_list_and_tag(spark, tmp_path, capsys):
     assert cli.main(["list", root]) == 0 and cli.main(["tag", root, "5", "--label", "fail"]) == 1
 
 
+FEATURES = {
+    "observation.state": {"dtype": "float32", "shape": [2], "names": None},
+    "observation.environment_state": {"dtype": "float32", "shape": [3], "names": None},
+    "action": {"dtype": "float32", "shape": [2], "names": None},
+    "next.reward": {"dtype": "float32", "shape": [1], "names": None},
+    "next.success": {"dtype": "bool", "shape": [1], "names": None},
+}
+
+
+def recorded(i, n=12):
+    shapes = {k: (n, *f["shape"]) for k, f in FEATURES.items()}
+    return {k: np.full(shapes[k], i % 2 if f["dtype"] == "bool" else i, f["dtype"]) for k, f in FEATURES.items()}
+
+
+def test_create_append_export(spark, tmp_path, capsys):
+    root, header = str(tmp_path / "rec"), {"env_id": "e", "fps": 30, "max_steps": 12, "features": FEATURES}
+    with pytest.raises(D.DatasetError, match="features"):
+        sessions.create_session(spark, root, {"env_id": "e", "fps": 30})
+    sessions.create_session(spark, root, header)
+    with pytest.raises(D.DatasetError, match="not empty"):
+        sessions.create_session(spark, root, header)
+    assert sessions.read_session(spark, root)[1].count() == 0
+    metas = [{**META, "episode_index": i, "label": "success" if i else "fail"} for i in range(3)]
+    sessions.append_episodes(spark, root, header, metas[:2], [recorded(0), recorded(1)])
+    wrong = {
+        "go on from 2": (header, [metas[0]], [recorded(0)]),
+        "fps": ({**header, "fps": 25}, [metas[2]], [recorded(2)]),
+        "is missing": (header, [metas[2]], [{k: v for k, v in recorded(2).items() if k != "action"}]),
+        "not float32": (header, [metas[2]], [{**recorded(2), "action": np.ones((12, 2))}]),
+        "the shape": (header, [metas[2]], [{**recorded(2), "action": np.ones((12, 3), np.float32)}]),
+        "frame counts": (header, [metas[2]], [recorded(2, 11)]),
+        "NaN": (header, [{**metas[2], "duration_s": float("nan")}], [recorded(2)]),
+    }
+    for why, args in wrong.items():
+        with pytest.raises(D.DatasetError, match=why):
+            sessions.append_episodes(spark, root, *args)
+    assert sessions.archives(spark, root) == [0, 1]
+    sessions.append_episodes(spark, root, header, metas[2:], [recorded(2)])
+    rows = sessions.read_arrays(spark, root).where("frame = 3").orderBy("episode").collect()
+    assert [(r.state, r.environment, r.reward, r.success, r.t) for r in rows] == [([i] * 2, [i] * 3, i, bool(i % 2), None) for i in (0.0, 1.0, 2.0)]
+    assert cli.main(["export", root, f"{root}/inside"]) == 1 and cli.main(["export", root, str(tmp_path / "ds"), "--exclude", "fail"]) == 0
+    assert "2 episodes, 24 frames" in capsys.readouterr().out
+    info, data = D.read_json(spark, str(tmp_path / "ds/meta/info.json")), D.read_dataset(spark, str(tmp_path / "ds"))
+    assert info["features"]["observation.environment_state"]["shape"] == [3] and info["features"]["next.reward"]["shape"] == [1]
+    written = spark.read.parquet(*D.listed(spark, f"{tmp_path}/ds/data/*/*.parquet")).where("frame_index = 5").orderBy("episode_index").collect()
+    assert [(r["observation.environment_state"], r["next.reward"], r["next.success"]) for r in written] == [([1.0] * 3, 1.0, True), ([2.0] * 3, 2.0, False)]
+    assert data.frames.df.where("t between 0.16 and 0.17").count() == 2
+
+
+def test_paths_inside(spark, tmp_path):
+    root = str(tmp_path / "set")
+    (tmp_path / "set").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "set")
+    for path in (f"{root}/r.json", f"{tmp_path}/other/../set/r.json", f"{tmp_path}/link/r.json", f"file:{root}/x/r.json", root):
+        assert D.inside(spark, path, root) and D.inside(spark, path, root + "/")
+    assert not D.inside(spark, f"{root}2/r.json", root) and not D.inside(spark, str(tmp_path / "r.json"), root)
+
+
 def test_training_rows(spark, frames, tmp_path):
     third = pa.FixedSizeListArray.from_arrays(pa.array(np.zeros(60, np.float32)), 3)
     root = write(tmp_path / "tr", [{training.ENVIRONMENT: third}, {training.ENVIRONMENT: third}])

@@ -179,6 +179,19 @@ def test_quantiles_are_numpy_s(spark, direct):
     assert got["x"] == pytest.approx(list(np.quantile(x, ps))) and got["y"] == pytest.approx(list(np.quantile(y, ps))) and got["z"] == [None]
 
 
+def test_quantiles_of_many_columns_share_their_passes(spark):
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([tuple(map(float, r.normal(size=4))) for _ in range(3000)], "a double, b double, c double, d double").repartition(4).persist()
+    df.count()
+    context, jobs = spark.sparkContext, {}
+    for name, wanted in (("one", {"a": [0.5]}), ("many", {c: [0.01, 0.5, 0.99] for c in "abcd"})):
+        context.setJobGroup(name, name)
+        quantiles(df, wanted, direct_rows=300)
+        jobs[name] = len(context.statusTracker().getJobIdsForGroup(name))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs["many"] <= jobs["one"] + 4 and jobs["many"] < 20, jobs
+
+
 def test_one_exchange_by_episode(spark):
     """Windows over whole episodes, windows along frames and the episode aggregate share one exchange."""
     spark.catalog.clearCache()

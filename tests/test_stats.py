@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinelytics.functions import beta
+from kinelytics.functions import beta, running
 from kinelytics.operators import bars, export, labels, rules, stats
 
 
@@ -88,6 +88,20 @@ def test_auroc(spark):
     assert bars.auroc(df.where("y"), "s", "y").first().auroc is None
 
 
+def test_auroc_over_many_ranges_of_scores(spark):
+    """Groups with every pair compared; scores are spread over partitions, and no window lacks a key."""
+    r = np.random.default_rng(5)
+    rows = [(g, float(np.round(r.normal() + y, 1)), bool(y)) for g in ("x", None) for y in r.integers(0, 2, 300)]
+    df = spark.createDataFrame(rows, "g string, s double, y boolean").repartition(7)
+    plain = lambda own: np.mean([(b > a) + 0.5 * (b == a) for _, b, y in own if y for _, a, z in own if not z])
+    got = {r.g: r.auroc for r in bars.auroc(df, "s", "y", ["g"]).collect()}
+    assert got == {g: pytest.approx(plain([x for x in rows if x[0] == g])) for g in ("x", None)}
+    whole = bars.auroc(df, "s", "y")
+    assert whole.first().auroc == pytest.approx(plain(rows))
+    below = running.running_before(df.groupBy("s").count(), [], "s", "count", "below")
+    assert "SinglePartition" not in below._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bars(spark):
     sizes = {"clean": ("clean", 20), "noise010": ("motion_junk", 10), "noise025": ("motion_junk", 10), "random": ("motion_junk", 10), "hesitation": ("motion_junk", 10), "nearmiss": ("outcome_only", 10), "return_home": ("clean_variant", 10)}
     truth, scores, e = [], [], 0
@@ -159,7 +173,7 @@ def test_label_edits(spark):
     assert (got[0].label, got[0].notes, got[0].flags) == ("fail", "new", ["x", "y"]) and got[1].notes == "old; new" and got[2].label == "unlabeled"
     cleared = labels.edited(rows, labels.Edit(clear_label=True, clear_notes=True, remove_flags=("x",))).first()
     assert (cleared.label, cleared.notes, cleared.flags) == ("unlabeled", "", [])
-    for bad in ({"label": "great"}, {"label": "fail", "clear_label": True}, {"add_flags": ("a",), "remove_flags": ("a",)}):
+    for bad in ({"label": "great"}, {"label": "fail", "clear_label": True}, {"add_flags": ("a",), "remove_flags": ("a",)}, {}, {"append": True}, {"add_flags": (" ",)}):
         with pytest.raises(ValueError):
             labels.Edit(**bad)
     done = labels.labels_from_sim(rows)
@@ -172,6 +186,10 @@ def test_label_edits(spark):
         labels.without(rows, ["great"])
 
 
+def test_absent_indices(spark):
+    assert labels.absent(spark.createDataFrame([(0,), (2,)], "episode long"), [0, 1, 2, 3]) == [1, 3]
+
+
 def test_keep_modes(spark):
     rows = spark.createDataFrame([(0, "ok", "success"), (1, "FLAG", "success"), (2, "ok", "fail")], "episode long, quality string, outcome string")
     keep = lambda m: sorted(r.episode for r in labels.kept(rows, m).collect())
