@@ -6,6 +6,8 @@ import pytest
 
 from kinelytics.llm import pii as P
 
+from . import plain_pii as plain
+
 R = random.Random(8)
 
 
@@ -128,3 +130,39 @@ def test_long_domain_keeps_its_length(spark):
     text = "to someone@" + "mail." * 150 + "example.org, end"
     row = run(spark, [text])[0]
     assert len(row.text) == len(text) and row.text.endswith(".example.org, end") and row.pii[0].end == len(text) - 5
+
+
+def mixtures(n=150):
+    """Values of all kinds, some broken, joined by what may confuse a detector."""
+    r = random.Random(21)
+    pool = [v for values in VALUES.values() for v in values] + [x[0] for x in HIDDEN]
+    glue = [" ", "", "-", ".", ",", "+", " x ", "\n", "@", "12 ", " 3", ": ", "/", "É", "٣"]
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(r.randint(1, 6)):
+            v = r.choice(pool)
+            if r.random() < 0.3:
+                at = r.randrange(len(v))
+                v = v[:at] + r.choice(["", "0", "9", "A", " ", "-"]) + v[at + 1 :]
+            parts += [v, r.choice(glue)]
+        out.append("".join(parts))
+    return out
+
+
+def test_mixtures_against_a_plain_detector_and_network(spark):
+    texts = mixtures()
+    for text, row in zip(texts, run(spark, texts, "k9")):
+        want, found = plain.replaced(text, "k9")
+        assert ([tuple(p) for p in row.pii], row.text) == (found, want), text
+
+
+def test_documents_against_a_plain_detector_and_network(spark):
+    from kinelytics.llm.queries import PII_KEY, op3_pii
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = op3_pii(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(docs) and sum(r.n_pii > 0 for r in got) > 20
+    for r in got:
+        want, found = plain.replaced(docs[r.doc_id] or "", PII_KEY)
+        assert (r.spans, r.text or "") == (",".join(f"{k}:{a}:{b}" for k, a, b in found), want), r.doc_id
