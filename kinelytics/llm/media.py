@@ -215,7 +215,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``(<id>, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)`` read back from a store.
 
     Null texts are empty ones (64 zero bytes). Repeated rows and ids stay as they are and get equal values for equal texts.
-    Other columns of ``docs`` are not read. An empty table gives no rows.
+    Texts of any length are read whole. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     manifests, shared = store(docs, id_col, text_col)
     names = [c.split()[0] for c in FOUND.split(", ")]

@@ -315,9 +315,11 @@ def replaced(match: Column, found: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The columns of ``docs``, the text with PII replaced, and ``pii``, an array of ``(kind, start, end)``.
 
-    Positions are code points, end exclusive; no pseudonym is longer or shorter than its value, so they hold in both texts. Equal values with an equal key give equal pseudonyms wherever they stand.
-    Null texts stay null and empty ones empty, with no ``pii``; a column ``pii`` of ``docs`` gives way. Rows are treated
-    one by one, without a shuffle; texts without a match only pay one pattern scan.
+    Positions are code points, end exclusive; no pseudonym is longer or shorter than its value, so they hold in both texts.
+    Equal values with an equal key give equal pseudonyms wherever they stand.
+    Where patterns match at one place, the first kind of ``PATTERNS`` wins, and of one kind the longest valid card. Null
+    texts stay null and empty ones empty, with no ``pii``; a column ``pii`` of ``docs`` gives way. Rows, repeated ones too,
+    are treated one by one, without a shuffle; texts of any length are read whole, those without a match by one pattern.
     """
     columns = docs.columns
     docs = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # no name can clash below

@@ -159,7 +159,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     """``(<id>, base_spans, random_spans)``: one row a document, spans as ``(start, rank, end)`` with ``rank`` into ``KINDS``.
 
     Base spans are sorted by start, then kind. Random spans are tokens beyond their band's cut that touch no base span.
-    Null texts are empty ones and have no spans; repeated rows are scanned one by one; an empty table gives no rows.
+    Null texts are empty ones and have no spans; long texts are read whole; repeated rows are scanned one by one; other columns
+    are not read, so none can clash; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))

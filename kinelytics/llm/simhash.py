@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint 0 and link like others. Repeated rows and ids stay as they are, each a row of
     the result. A null id takes part; a component of null ids alone has a null ``component_id``. An empty table gives an
-    empty result. Other columns of ``docs`` are not read.
+    empty result. Other columns of ``docs`` are not read, so none can clash. Texts of any length are read whole.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle_words))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))

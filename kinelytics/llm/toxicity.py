@@ -128,8 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, text_col: str = "t
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "toxicity") -> DataFrame:
     """The columns of ``docs`` with the probability ``name`` that the whole text is toxic.
 
-    Null texts score as empty ones. A column of ``docs`` with this name gives way. Each row is scored by itself; an empty
-    table gives no rows.
+    Null texts score as empty ones, long ones are read whole. A column of ``docs`` with this name gives way. Each row is
+    scored by itself; an empty table gives no rows.
     """
     docs = hidden(docs, name)
     shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns

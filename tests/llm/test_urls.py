@@ -90,6 +90,18 @@ def test_hot_host_and_learned_verdicts(spark):
     assert ("hot.com", "block") in free and any(v == "allow" for _, v in free)
 
 
+def test_repeated_ids_and_long_urls(spark):
+    """Repeated pages are judged one by one; a url of a million characters is read whole."""
+    long = "http://long.com/de/" + "x" * 1_000_000
+    rows = [(1, "http://a.com/de/1", "x"), (1, "http://a.com/de/1", "x"), (1, "http://b.org/", "y"), (None, long, "z"), (None, None, "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    got = U.judge(pages)
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict", "block_bound"]
+    assert sorted((str(r.page_id), r.host, len(r.path), r.verdict) for r in got.collect()) == sorted(
+        [("1", "a.com", 5, "block")] * 2 + [("1", "b.org", 1, "allow"), ("None", "long.com", 1_000_004, "block"), ("None", "", 0, brute([r[1] for r in rows])[4][4])]
+    )
+
+
 def test_no_outcomes_and_empty(spark):
     assert {g[4] for g in run(spark, ["http://a.net/x", None, "http://b.net/y"])} == {"allow"}
     pages = spark.createDataFrame([], "page_id long, url string")
