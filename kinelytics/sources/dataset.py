@@ -203,11 +203,12 @@ def write_json(spark: SparkSession, path: str, value) -> None:
     write_text(spark, path, json.dumps(value, allow_nan=False, indent=1) + "\n")
 
 
-def write_dataset(spark: SparkSession, frames: Frames, root: str, version: str = "v3.0", tags: DataFrame | None = None, episodes_per_file: int = 500) -> dict:
+def write_dataset(spark: SparkSession, frames: Frames, root: str, version: str = "v3.0", tags: DataFrame | None = None, episodes_per_file: int = 500, declared: dict | None = None) -> dict:
     """Writes frames as a dataset of either layout; an existing one is never overwritten. Returns its ``info``.
 
     Layout 3 holds many episodes a file, in order; layout 2 one file an episode. Each goes out by the executors in one
     write; only file names are put in place afterwards. Lengths, offsets and per-episode statistics go to ``meta``.
+    ``declared`` are features that ``info`` names though their data lie elsewhere (video). Columns of ``EXTRA`` go along.
     """
     layout_for(version)
     if listed(spark, f"{root}/meta/info.json"):
@@ -252,6 +253,7 @@ def write_dataset(spark: SparkSession, frames: Frames, root: str, version: str =
         "total_frames": total.n,
         "features": {STATE: shape(frames.width, frames.state_names), ACTION: shape(frames.action_width, frames.action_names)},
     }
+    info["features"] |= declared or {}
     for c in extra:
         width = df.agg(F.max(F.size(c))).first()[0] if EXTRA[c][1].startswith("array") else 1
         info["features"][EXTRA[c][0]] = shape(width, None)
