@@ -307,6 +307,18 @@ class Scores:
             df.unpersist()
 
 
+#: Frames of up to so many bytes (by Spark's estimate) are cached between the passes; larger ones are scanned again, which a
+#: lost executor does not undo.
+CACHED_BYTES = 1 << 36
+#: Estimates beyond are Spark's way to say that it knows no size.
+UNKNOWN_BYTES = 1 << 60
+
+
+def cached_where_small(df: DataFrame) -> DataFrame:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if CACHED_BYTES < size < UNKNOWN_BYTES else df.persist()
+
+
 def score(frames: Frames, config: ScoreConfig = ScoreConfig(), tags: DataFrame | None = None) -> Scores:
     """Scores every episode. ``tags(episode, label)`` gives outcome labels where known.
 
@@ -314,7 +326,7 @@ def score(frames: Frames, config: ScoreConfig = ScoreConfig(), tags: DataFrame |
     all scores are null and a note says so.
     """
     ready = prepared(frames)
-    ready = ready.with_df(ready.df.persist())
+    ready = ready.with_df(cached_where_small(ready.df))
     checks = integrity(ready, config).persist()
     ranges, n_episodes, n_frames = overview(checks, ready, config)
     good = scorable(ready, config)

@@ -9,7 +9,6 @@ import json
 import os
 import posixpath
 import re
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,22 +87,34 @@ def vector(kind: T.DataType, name: str) -> Column:
 
 
 def checked_schema(spark: SparkSession, files: list[str], needed: list[str]) -> T.StructType:
-    """The schema that all files share in the needed columns; an error names the file that differs."""
-    with ThreadPoolExecutor(8) as pool:
-        schemas = list(pool.map(lambda f: spark.read.parquet(f).schema, files))
-    first = schemas[0]
-    for file, schema in zip(files, schemas):
-        if missing := [c for c in needed if c not in schema.names]:
-            raise DatasetError(f"{file} has no column {', '.join(missing)}")
-        for c in needed:
-            if schema[c].dataType != first[c].dataType:
-                raise DatasetError(f"{file}: column {c} is {schema[c].dataType.simpleString()}, elsewhere {first[c].dataType.simpleString()}")
-    everywhere = all(SUCCESS in s.names and s[SUCCESS].dataType == first[SUCCESS].dataType for s in schemas) if SUCCESS in first.names else False
-    some = any(SUCCESS in s.names for s in schemas)
-    fields = [first[c] for c in needed] + ([first[SUCCESS]] if everywhere else [])
-    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    out.partial_success = some and not everywhere  # type: ignore[attr-defined]
-    return out
+    """The schema of all files in the needed columns and the success column, where any has it: one job over all footers.
+
+    Types that differ are an error that names the file (footers are then read one by one). A file that lacks a column reads
+    as nulls; the scan that checks the vectors finds it.
+    """
+    try:
+        merged = spark.read.option("mergeSchema", "true").parquet(*files).schema
+    except Exception as e:
+        if "MERGE" not in str(e):
+            raise
+        first: dict[str, T.DataType] = {}
+        for file in files:
+            for f in spark.read.parquet(file).schema:
+                if f.name in needed and first.setdefault(f.name, f.dataType) != f.dataType:
+                    raise DatasetError(f"{file}: column {f.name} is {f.dataType.simpleString()}, elsewhere {first[f.name].simpleString()}") from e
+        return T.StructType([T.StructField(c, first[c], True) for c in needed if c in first])  # only other columns differ
+    if missing := [c for c in needed if c not in merged.names]:
+        raise DatasetError(f"{files[0]} has no column {', '.join(missing)}")
+    return T.StructType([T.StructField(c, merged[c].dataType, True) for c in [*needed, *([SUCCESS] if SUCCESS in merged.names else [])]])
+
+
+def refuse_absent(rows: DataFrame, names: dict[str, str]) -> None:
+    """An error that names the first file whose rows have no value in one of the columns ``names`` (with the names to show)."""
+    by_file = rows.select("*", F.input_file_name().alias("file")).groupBy("file").agg(*[F.count(c).alias(c) for c in names])
+    first = by_file.agg(*[F.min(F.when(F.col(c) == 0, F.col("file"))).alias(c) for c in names]).first()
+    for c, name in names.items():
+        if first[c]:
+            raise DatasetError(f"{first[c]} has no column {name}")
 
 
 def read_dataset(spark: SparkSession, root: str, state_key: str = STATE, action_key: str = ACTION) -> Dataset:
@@ -117,7 +128,7 @@ def read_dataset(spark: SparkSession, root: str, state_key: str = STATE, action_
     if odd := [k for k in (state_key, action_key) if k not in features]:
         raise DatasetError(f"no feature {', '.join(odd)}; vectors are: {', '.join(vector_keys(info))}")
     schema = checked_schema(spark, files, [state_key, action_key, *KEYS])
-    notes = [f"{SUCCESS} is missing in some files and was ignored"] if schema.partial_success else []
+    notes: list[str] = []
     df = spark.read.schema(schema).parquet(*files)
     has_success = SUCCESS in schema.names
     success = F.col(f"`{SUCCESS}`") if has_success else F.lit(None).cast("boolean")
@@ -133,9 +144,24 @@ def read_dataset(spark: SparkSession, root: str, state_key: str = STATE, action_
         vector(schema[action_key].dataType, action_key).alias("action"),
         success.alias("success"),
     )
-    size = rows.agg(F.min(F.size("state")).alias("s0"), F.max(F.size("state")).alias("s1"), F.min(F.size("action")).alias("a0"), F.max(F.size("action")).alias("a1"), F.count_if(F.col("state").isNull() | F.col("action").isNull()).alias("nulls")).first()
+    # one scan checks vectors and columns file by file; what comes back is one row
+    names = {"state": state_key, "action": action_key, "episode": KEYS[0], "frame": KEYS[1], "t": KEYS[2]}
+    sizes = [f(F.size(c)).alias(f"{c[0]}{i}") for c in ("state", "action") for i, f in enumerate((F.min, F.max))]
+    by_file = rows.select("*", F.input_file_name().alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"), *sizes, *[F.count(c).alias(f"n_{c}") for c in (*names, "success")])
+    lacks = [F.min(F.when(F.col(f"n_{c}") == 0, F.col("file"))).alias(f"no_{c}") for c in names]
+    size = by_file.agg(
+        F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.min("a0").alias("a0"), F.max("a1").alias("a1"), *lacks,
+        F.count_if((F.col("n_state") < F.col("n")) | (F.col("n_action") < F.col("n"))).alias("nulls"), F.count_if(F.col("n_success") == 0).alias("silent"), F.count(F.lit(1)).alias("files"),
+    ).first()
+    for c, name in names.items():
+        if size[f"no_{c}"]:
+            raise DatasetError(f"{size[f'no_{c}']} has no column {name}")
     if size.nulls or size.s0 != size.s1 or size.a0 != size.a1:
         raise DatasetError("state or action vectors differ in width")
+    if has_success and size.silent:
+        if size.silent < size.files:
+            notes.append(f"{SUCCESS} is missing in some files and was ignored")
+        rows = rows.withColumn("success", F.lit(None).cast("boolean"))
     for key, width in ((state_key, size.s0), (action_key, size.a0)):
         declared = 1
         for d in features[key].get("shape", [width]):

@@ -13,7 +13,7 @@ from kinelytics.operators.frames import Frames
 from kinelytics.operators.labels import kept
 from kinelytics.operators.scoring import Scores
 
-from .dataset import ACTION, STATE, DatasetError, checked_schema, layout_for, listed, read_json
+from .dataset import ACTION, STATE, DatasetError, checked_schema, layout_for, listed, read_json, refuse_absent
 
 ENVIRONMENT = "observation.environment_state"
 
@@ -35,6 +35,7 @@ def read_training(spark: SparkSession, root: str) -> Training:
     schema = checked_schema(spark, files, needed)
     floats = [F.col(f"`{k}`").cast(T.ArrayType(T.FloatType())).alias(n) for k, n in ((STATE, "state"), (ENVIRONMENT, "environment"), (ACTION, "action"))]
     df = spark.read.schema(schema).parquet(*files).select(F.col("episode_index").alias("episode"), F.col("frame_index").alias("frame"), *floats)
+    refuse_absent(df, {"state": STATE, "environment": ENVIRONMENT, "action": ACTION})
     return Training(df, (root.rstrip("/"), str(info["codebase_version"]), float(info["fps"]), int(info["total_episodes"]), int(info["total_frames"])))
 
 

@@ -86,6 +86,7 @@ def test_reader_refuses(spark, tmp_path):
         ([{}], {"codebase_version": "v1.0"}, "unknown dataset version"),
         ([{}, {D.STATE: wide}], None, "file-001"),
         ([{"timestamp": None}], None, "no column timestamp"),
+        ([{}, {D.ACTION: None}], None, "file-001.* has no column action"),
         ([{D.STATE: ragged}], None, "differ in width"),
         ([{}], {"features": {D.STATE: {"shape": [3], "dtype": "float32"}, D.ACTION: {"shape": [2]}}}, "declared with 3"),
         ([{}], {"features": {"other": {"dtype": "float32"}}}, "vectors are: other"),
@@ -220,6 +221,8 @@ def test_paths_inside(spark, tmp_path):
 def test_training_rows(spark, frames, tmp_path):
     third = pa.FixedSizeListArray.from_arrays(pa.array(np.zeros(60, np.float32)), 3)
     root = write(tmp_path / "tr", [{training.ENVIRONMENT: third}, {training.ENVIRONMENT: third}])
+    with pytest.raises(D.DatasetError, match="file-001.* has no column observation.environment_state"):
+        training.read_training(spark, write(tmp_path / "lacks", [{training.ENVIRONMENT: third}, {}]))
     got = training.read_training(spark, root)
     assert got.fingerprint[1:] == ("v3.0", 30.0, 2, 40) and got.rows.schema["state"].dataType.simpleString() == "array<float>"
     scores = scoring.score(D.read_dataset(spark, root).frames)
