@@ -24,7 +24,7 @@ import base64
 import hashlib
 from array import array
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import groupby
 
 import numpy as np
@@ -219,8 +219,12 @@ class Layout:
 
 #: The bias of what never occurs (leaves that fill up a tree), and what masks a position.
 LEAST_LOG, MASKED = np.float32(-60), np.float32(-1e4)
+#: Logits of at most this size need no shift before exp in single precision: no sum of 1,000 overflows or loses its terms.
+SMALL = 75.0
 #: Position i of the scored ones sees inputs up to its own place.
 UNSEEN = np.where(np.arange(SPAN)[:, None] <= CONTEXT + np.arange(SCORED)[None, :], np.float32(0), MASKED)
+#: Places before the scored ones.
+BEFORE = np.arange(SPAN) < CONTEXT
 
 
 def by_class(kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,11 +233,64 @@ def by_class(kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(kind[order], np.arange(n + 1))
 
 
+def shares(a: np.ndarray) -> np.ndarray:
+    """Attention weights before normalization, in place: exp of the logits ``(n, SPAN, SCORED)`` of what is seen. Columns are
+    shifted by their maximum unless none can overflow and each has its own place's term, which is never small."""
+    own = a.diagonal(-CONTEXT, 1, 2)
+    small = a.max() < SMALL and own.min(where=own > MASKED / 2, initial=0) > -SMALL
+    a += UNSEEN
+    if not small:
+        a -= a.max(axis=1, keepdims=True)
+    return np.exp(a, out=a)
+
+
+def longest(x: np.ndarray) -> float:
+    """The largest length of a row."""
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
+
+
+class Levels:
+    """Both levels of the first tree for rows ``h`` in the order of their classes, whose bounds are ``bounds``: the logits of all
+    classes, then of the members of each row's class, one column a row. Products go class by class, all else at once."""
+
+    def __init__(self, p: dict[str, np.ndarray], h: np.ndarray, leaf: np.ndarray, bounds: np.ndarray):
+        self.p, self.h, n = p, h, len(h)
+        self.slices = [(c, slice(bounds[c], bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds))]
+        self.chosen = np.stack((leaf // MEMBERS, leaf % MEMBERS)), np.arange(n)
+        self.z = np.empty((2, MEMBERS, n + 16), h.dtype)[:, :, :n]  # rows a power of two apart would share cache lines
+        np.matmul(p["classes"].T, h.T, out=self.z[0])
+        for c, own in self.slices:
+            np.matmul(p["members"][c].T, h[own].T, out=self.z[1, :, own])
+        length = max(longest(p["classes"][:-1].T), longest(p["members"][:, :-1].transpose(0, 2, 1).reshape(-1, WIDTH)))
+        if not longest(h) * length + max(np.abs(p[name][..., -1, :]).max() for name in ("classes", "members")) < SMALL:
+            self.z -= self.z.max(axis=1, keepdims=True)
+        np.exp(self.z, out=self.z)
+        self.sums = np.add.reduce(self.z, axis=1)
+
+    def places(self) -> tuple[np.ndarray, ...]:
+        return np.arange(2)[:, None], *self.chosen
+
+    def logs(self) -> np.ndarray:
+        """Log probability of each row's leaf."""
+        return np.log(np.maximum(self.z[self.places()] / self.sums, self.h.dtype.type(1e-35))).sum(axis=0)
+
+    def gradients(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the weighted loss by the rows, ``classes`` and ``members``; after :meth:`logs`, as it overwrites the logits."""
+        z, p = self.z, self.p
+        z *= (weight / self.sums)[:, None]
+        z[self.places()] -= weight
+        dh, members = z[0].T @ p["classes"].T, np.zeros_like(p["members"])
+        for c, own in self.slices:
+            dh[own] += z[1, :, own].T @ p["members"][c].T
+            members[c] = (z[1, :, own] @ self.h[own]).T
+        return dh, (z[0] @ self.h).T, members
+
+
 def normalize(x: np.ndarray) -> np.ndarray:
-    """Softmax along the last axis but one, in place (sums over a last axis of few elements are slow)."""
-    x -= x.max(axis=-2, keepdims=True)
+    """Softmax along the first axis, in place."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=-2, keepdims=True)
+    x /= x.sum(axis=0)
     return x
 
 
@@ -266,28 +323,21 @@ class Scorer:
         g = self.table.take(inputs, axis=0)
         g += self.place
         a = np.matmul(g[:, :, 2 * w + 1 : 3 * w + 2], g[:, CONTEXT:, w : 2 * w + 1].transpose(0, 2, 1))
-        a += UNSEEN
-        a -= a.max(axis=1, keepdims=True)
-        np.exp(a, out=a)
+        shares(a)
         o = np.matmul(a.transpose(0, 2, 1), g[:, :, 3 * w + 2 :]).reshape(-1, w + 1)
         h = np.ones((len(o), w + 1), np.float32)
-        h[:, :w] = (o[:, :w] / o[:, w:]) @ self.p["out"]
+        o[:, :w] /= np.maximum(o[:, w:], np.float32(1e-37))  # a place of padding sees nothing
+        np.matmul(o[:, :w], self.p["out"], out=h[:, :w])
         h[:, :w] += g[:, CONTEXT:, :w].reshape(-1, w)
         return h
 
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target slot, flat."""
-        h, targets = self.hidden(inputs), targets.ravel()
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, block: int = 64) -> np.ndarray:
+        """Natural log probability of each target slot, flat; attention runs over ``block`` windows at a time, for the caches."""
+        h, targets = np.concatenate([self.hidden(inputs[at : at + block]) for at in range(0, len(inputs), block)]), targets.ravel()
         leaf = np.where(targets < HEAD, targets, Vocabulary.DOOR)
         order, bounds = by_class((leaf // MEMBERS).astype(np.uint8), CLASSES)
-        sorted_h, sorted_leaf = h[order], leaf[order]
-        out = chosen_log(self.p["classes"].T @ sorted_h.T, sorted_leaf // MEMBERS)
-        for k in range(CLASSES):
-            a, b = bounds[k], bounds[k + 1]
-            if a < b:
-                out[a:b] += chosen_log(self.p["members"][k].T @ sorted_h[a:b].T, sorted_leaf[a:b] % MEMBERS)
-        flat = np.empty_like(out)
-        flat[order] = out
+        flat = np.empty(len(h), np.float32)
+        flat[order] = Levels(self.p, h.take(order, axis=0), leaf[order], bounds).logs()
         rest = np.flatnonzero(targets >= HEAD)
         if len(rest):
             group, place = np.divmod(targets[rest] - HEAD, self.layout.side)
@@ -299,37 +349,41 @@ class Scorer:
         return flat
 
 
-def gradient(layout: Layout, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray):
+def gradient(layout: Layout, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, block: int = 64):
     """Weighted mean loss over the scored positions, the gradient of the small weights by name, and ``(rows, gradient)`` of the
-    rows that the batch touches of ``embed`` and ``leaves``."""
+    rows that the batch touches of ``embed`` and ``leaves``. Attention runs over ``block`` windows at a time, for the caches."""
     w, kind = WIDTH, p["query"].dtype
     scale = kind.type(1 / np.sqrt(w))
-    place_of = np.zeros(layout.pad + 1, np.int64)
-    place_of[inputs] = 1
-    used = np.flatnonzero(place_of)
-    place_of[used] = np.arange(len(used))
-    at = place_of[inputs]
-    x = p["embed"][used].take(at, axis=0)
+    x = p["embed"].take(inputs, axis=0)
     x += p["place"]
-    flat_x, xs = x.reshape(-1, w), np.ascontiguousarray(x[:, CONTEXT:])
-    flat_xs = xs.reshape(-1, w)
-    q, k, v = ((f @ p[n]).reshape(len(x), -1, w) for f, n in ((flat_xs, "query"), (flat_x, "key"), (flat_x, "value")))
-    q *= scale
-    a = np.matmul(k, q.transpose(0, 2, 1))
-    a += UNSEEN
+    flat_x, flat_xs = x.reshape(-1, w), np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, w)
+    q = (flat_xs @ (p["query"] * scale)).reshape(len(x), SCORED, w)
+    k = (flat_x @ p["key"]).reshape(len(x), SPAN, w)
+    # a one after the values, so that their weighted sum carries the sum of weights along
+    v = (flat_x @ np.concatenate((p["value"], np.zeros((w, 1), kind)), axis=1)).reshape(len(x), SPAN, w + 1)
+    v[:, :, w] = 1
     begins = np.flatnonzero(inputs[:, 0] == layout.pad)  # padding after a text is seen by nothing that counts
-    a[begins] += np.where(inputs[begins] == layout.pad, MASKED, np.float32(0))[:, :, None]
-    normalize(a)
-    o = np.matmul(a.transpose(0, 2, 1), v)
-    flat_o = o.reshape(-1, w)
+    parts = [slice(b, b + block) for b in range(0, len(x), block)]
+    e, o = np.empty((len(x), SPAN, SCORED), kind), np.empty((len(x), SCORED, w + 1), kind)
+    for own in parts:
+        a = np.matmul(k[own], q[own].transpose(0, 2, 1), out=e[own])
+        first = begins[(begins >= own.start) & (begins < own.stop)]
+        e[first] += np.where((inputs[first] == layout.pad) & BEFORE, MASKED, np.float32(0))[:, :, None]
+        shares(a)
+        np.matmul(a.transpose(0, 2, 1), v[own], out=o[own])
+    o = o.reshape(-1, w + 1)
+    inverse = 1 / o[:, w:]
+    flat_o = o[:, :w] * inverse
     # rows in the order of their targets' classes, so that every class is a slice
     flat = targets.ravel()
     leaf = np.where(flat < HEAD, flat, Vocabulary.DOOR)
     order, bounds = by_class((leaf // MEMBERS).astype(np.uint8), CLASSES)
     flat, leaf, wt = flat[order], leaf[order], (weight / weight.sum()).ravel().astype(kind)[order]
     h = np.ones((len(flat), w + 1), kind)
-    h[:, :w] = (flat_o @ p["out"] + flat_xs)[order]
-    loss, g, dh = 0.0, {}, np.empty_like(h)
+    np.matmul(flat_o, p["out"], out=h[:, :w])
+    h[:, :w] += flat_xs
+    h = h.take(order, axis=0)
+    loss, g = 0.0, {}
 
     def level(own: np.ndarray, own_wt: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Adds one softmax's share of the loss; returns the gradients of its inputs and of ``weights``."""
@@ -341,13 +395,9 @@ def gradient(layout: Layout, p: dict[str, np.ndarray], inputs: np.ndarray, targe
         d *= own_wt
         return d.T @ weights.T, (d @ own).T
 
-    dh, g["classes"] = level(h, wt, p["classes"], leaf // MEMBERS)
-    g["members"], member = np.zeros_like(p["members"]), leaf % MEMBERS
-    for c in range(CLASSES):
-        own = slice(bounds[c], bounds[c + 1])
-        if own.start < own.stop:
-            change, g["members"][c] = level(h[own], wt[own], p["members"][c], member[own])
-            dh[own] += change
+    head = Levels(p, h, leaf, bounds)
+    loss -= float(head.logs() @ wt)
+    dh, g["classes"], g["members"] = head.gradients(wt)
     rest, opened, leaves = np.flatnonzero(flat >= HEAD), np.zeros(0, np.int64), []
     if len(rest):
         group, place = np.divmod(flat[rest] - HEAD, layout.side)
@@ -360,23 +410,35 @@ def gradient(layout: Layout, p: dict[str, np.ndarray], inputs: np.ndarray, targe
             change, found = level(h[rest[own]], wt[rest[own]], p["leaves"][c], place[own])
             dh[rest[own]] += change
             leaves.append(found)
-    back = np.empty((len(flat), w), kind)
-    back[order] = dh[:, :w]
+    place_of = np.empty_like(order)
+    place_of[order] = np.arange(len(order))
+    back = dh.take(place_of, axis=0)[:, :w]
     g["out"] = flat_o.T @ back
-    flat_do = back @ p["out"].T
-    do = flat_do.reshape(o.shape)
-    dv = np.matmul(a, do).reshape(-1, w)
-    ds = np.matmul(v, do.transpose(0, 2, 1))
-    ds -= ((flat_do * flat_o) @ np.ones(w, kind)).reshape(len(x), 1, SCORED)
-    ds *= a
-    dq, dk = np.matmul(ds.transpose(0, 2, 1), k).reshape(-1, w), np.matmul(ds, q).reshape(-1, w)
-    dq *= scale
-    g["query"], g["key"], g["value"] = flat_xs.T @ dq, flat_x.T @ dk, flat_x.T @ dv
-    dx = (dk @ p["key"].T + dv @ p["value"].T).reshape(x.shape)
-    dx[:, CONTEXT:] += (back + dq @ p["query"].T).reshape(xs.shape)
+    # with the weights before normalization in ``e``: their sums divide the gradient of ``o``, whose last column takes the mean off
+    do = np.empty((len(flat), w + 1), kind)
+    np.matmul(back, p["out"].T, out=do[:, :w])
+    do[:, :w] *= inverse
+    do[:, w] = -np.einsum("ij,ij->i", do[:, :w], flat_o)
+    do = do.reshape(len(x), SCORED, w + 1)
+    dq, dk, dv = np.empty_like(q), np.empty_like(k), np.empty_like(k)
+    for own in parts:
+        np.matmul(e[own], do[own, :, :w], out=dv[own])
+        ds = np.matmul(v[own], do[own].transpose(0, 2, 1))
+        ds *= e[own]
+        np.matmul(ds.transpose(0, 2, 1), k[own], out=dq[own])
+        np.matmul(ds, q[own], out=dk[own])
+    dq, dk, dv = dq.reshape(-1, w), dk.reshape(-1, w), dv.reshape(-1, w)
+    g["query"], g["key"], g["value"] = (flat_xs.T @ dq) * scale, flat_x.T @ dk, flat_x.T @ dv
+    dx = dk @ p["key"].T
+    dx += dv @ p["value"].T
+    dx = dx.reshape(x.shape)
+    dx[:, CONTEXT:] += (dq @ (p["query"].T * scale) + back).reshape(len(x), SCORED, w)
     g["place"] = dx.sum(axis=0)
-    flat_at, columns = at.ravel(), np.ascontiguousarray(dx.reshape(-1, w).T, float)
-    de = np.stack([np.bincount(flat_at, c, len(used)) for c in columns], axis=1).astype(kind)
+    flat_at = inputs.ravel().astype(np.uint16 if layout.pad < 1 << 16 else np.uint32)
+    order = np.argsort(flat_at, kind="stable")
+    flat_at = flat_at[order]
+    first = np.flatnonzero(np.append(True, flat_at[1:] != flat_at[:-1]))
+    used, de = flat_at[first], np.add.reduceat(dx.reshape(-1, w).take(order, axis=0), first, axis=0)
     return loss, g, {"embed": (used, de), "leaves": (opened, np.array(leaves, kind).reshape(-1, w + 1, layout.side))}
 
 
@@ -394,10 +456,20 @@ class Adam:
         rate = self.rate * (max(0.0, 1 - (self.step - 1) / self.steps) + 0.1) / (1 - 0.9**self.step)
         for name, g, own in [*((k, g, slice(None)) for k, g in dense.items()), *((k, g, own) for k, (own, g) in rows.items() if len(own))]:
             m, v = self.m[name][own], self.v[name][own]
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.01) * (g * g - v)
+            change = g - m
+            change *= np.float32(0.1)
+            m += change
+            np.multiply(g, g, out=change)
+            change -= v
+            change *= np.float32(0.01)
+            v += change
             self.m[name][own], self.v[name][own] = m, v
-            self.p[name][own] -= np.float32(rate) * m / (np.sqrt(v / np.float32(1 - 0.99**self.step)) + np.float32(1e-8))
+            np.divide(v, np.float32(1 - 0.99**self.step), out=change)
+            np.sqrt(change, out=change)
+            change += np.float32(1e-8)
+            np.divide(m, change, out=change)
+            change *= np.float32(rate)
+            self.p[name][own] -= change
         return loss
 
 
@@ -413,7 +485,7 @@ def train_windows(layout: Layout, vector: np.ndarray, texts, steps: int, batch:
         order = r.permutation(len(inputs))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            adam.learn(inputs[own], targets[own], weight[own])
+            adam.learn(inputs.take(own, axis=0), targets.take(own, axis=0), weight.take(own, axis=0))
 
     for text in texts:
         tokens += len(text)
@@ -437,7 +509,7 @@ def windows(layout: Layout, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     padded = np.full(CONTEXT + n * SCORED, layout.pad, np.int64)
     padded[CONTEXT] = layout.start
     padded[CONTEXT + 1 : CONTEXT + len(tokens)] = tokens[:-1]
-    inputs = np.lib.stride_tricks.sliding_window_view(padded, SPAN)[::SCORED]
+    inputs = np.ndarray((n, SPAN), np.int64, padded, strides=(SCORED * 8, 8))  # overlapping views
     targets = np.zeros(n * SCORED, np.int64)
     targets[: len(tokens)] = tokens
     weight = np.zeros(n * SCORED, np.float32)
@@ -494,25 +566,21 @@ def head_threshold(counts: DataFrame, most: int) -> int:
     return 1 << level
 
 
-def train(docs: DataFrame, ranks, vocabulary: Vocabulary, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> np.ndarray:
-    """Weights from all of ``docs(id, text)``. Without rounds they are the initial ones: subword unigrams."""
-    layout = vocabulary.layout
+def slot_type(vocabulary: Vocabulary) -> type:
+    return np.uint16 if vocabulary.layout.pad < 1 << 16 else np.uint32
+
+
+def order_hash(text: str, id: str) -> Column:
+    """What deals texts to rounds and replicas and orders them there; copies of a text are spread by their ids."""
+    return F.xxhash64(text, F.col(id).cast("string"))
+
+
+def train(sample: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> np.ndarray:
+    """Weights from all of ``sample(h, slots)``, a table. Without rounds they are the initial ones: subword unigrams."""
+    layout, kind, spark = vocabulary.layout, slot_type(vocabulary), sample.sparkSession
     vector = layout.initial(vocabulary.counts)
     if not rounds:
         return vector
-    spark = docs.sparkSession
-    words = spark.sparkContext.broadcast(vocabulary)
-    kind = np.uint16 if layout.pad < 1 << 16 else np.uint32
-    place = F.xxhash64("text", F.col("id").cast("string"))  # copies of a text are spread by their ids
-
-    def encode(batches):
-        lexicon = lexicon_of(ranks.value, words.value)
-        for batch in slices(batches):
-            lexicon.room()
-            found = [lexicon.slots(lexicon.numbers(words_of(t))).astype(kind).tobytes() for t in raw(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["h", "slots"])
-
-    sample = cut(docs.select("text", place.alias("h")).mapInArrow(encode, "h long, slots binary"))
     tokens = (sample.agg(F.sum(F.length("slots"))).first()[0] or 0) / kind().itemsize
     if not tokens:
         return vector
@@ -560,76 +628,115 @@ class Model:
     ranks: bytes
 
 
-def fit(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text", id_col: str = "doc_id", **options) -> Model:
-    """Learns from the rows of ``docs`` where ``training`` holds; null texts are empty ones. Repeated rows count each."""
-    taught = docs.where(F.coalesce(training, F.lit(False))).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def count(taught: DataFrame, ranks) -> Model:
+    """The counts of ``taught(id, text)``, without weights."""
     counts = cut(word_counts(taught))
     ends = taught.count()
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    ranks_b = docs.sparkSession.sparkContext.broadcast(ranks)
-    vocabulary = Vocabulary.of(subword_counts(counts, ranks_b, Subwords(ranks).size), ends)
-    return Model(counts, ends, (total.n or 0) + ends, total.v + (ends > 0), vocabulary, train(taught, ranks_b, vocabulary, **options), ranks)
+    vocabulary = Vocabulary.of(subword_counts(counts, ranks, Subwords(ranks.value).size), ends)
+    return Model(counts, ends, (total.n or 0) + ends, total.v + (ends > 0), vocabulary, np.zeros(0, np.float32), ranks.value)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", head_words: int = HEAD_WORDS) -> DataFrame:
-    """``(<id>, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``; other columns are left out.
+def plain(docs: DataFrame, text_col: str, id_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
-    Tokens are the words of the text, A-Z lower-cased, and one end. ``base_score`` is the add-one unigram log10 probability
-    over tokens, ``score`` the model's log10 probability of the text's subwords and end. Null texts are empty ones (the end
-    alone), texts have any length. Repeated rows and ids are scored and counted one by one. With no training row counts are 0
-    and the biases uniform; an empty table gives no rows.
-    """
-    spark, counts, ends = docs.sparkSession, model.counts, model.ends
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    unit = float(np.log10(model.n_train + model.distinct + 1.0))
-    end_value = float(np.log10(ends + 1.0))
-    least = head_threshold(counts, head_words)
-    head = {bytes(r.word): float(np.log10(r.c + 1.0)) for r in counts.where(F.col("c") >= least).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((model.ranks, model.vocabulary, model.vector, head))
+
+def fit(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text", id_col: str = "doc_id", **options) -> Model:
+    """Learns from the rows of ``docs`` where ``training`` holds; null texts are empty ones. Repeated rows count each."""
+    taught = plain(docs.where(F.coalesce(training, F.lit(False))), text_col, id_col)
+    model = count(taught, docs.sparkSession.sparkContext.broadcast(ranks))
+    sample = cut(encode(taught.withColumn("h", order_hash("text", "id")), model).select("h", "slots")) if options.get("rounds", ROUNDS) else taught
+    return replace(model, vector=train(sample, model.vocabulary, **options))
+
+
+def encode(rows: DataFrame, model: Model, head_words: int = HEAD_WORDS) -> DataFrame:
+    """``rows(id, text, ...)`` as they are but for ``text``, in whose place are ``row`` (a number of its own), ``n_tokens``,
+    what the most frequent words add to the base score, the other words, and ``slots``."""
+    least, kind = head_threshold(model.counts, head_words), slot_type(model.vocabulary)
+    head = {bytes(r.word): float(np.log10(r.c + 1.0)) for r in model.counts.where(F.col("c") >= least).toLocalIterator()}
+    shared = rows.sparkSession.sparkContext.broadcast((model.ranks, model.vocabulary, head))
+    kept, at = [c for c in rows.columns if c != "text"], rows.columns.index("text")
 
     def run(batches):
-        ranks, vocabulary, vector, head = shared.value
-        lexicon, scorer = lexicon_of(ranks, vocabulary), Scorer(vocabulary.layout, vector)
+        ranks, vocabulary, head = shared.value
+        lexicon = lexicon_of(ranks, vocabulary)
         lexicon.use(head)
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 128):
-            found, texts = [], []
+            found, rare = [], []
             lexicon.room()
-            split = [words_of(t) for t in raw(batch.column(1))]
+            split = [words_of(t) for t in raw(batch.column(at))]
             numbered = [lexicon.numbers(w) for w in split]
             value = np.frombuffer(lexicon.head_value)
             for w, numbers in zip(split, numbered):
                 values = value[numbers]
                 seen = values >= 0
-                rare = Counter(w[i] for i in np.flatnonzero(~seen).tolist())
-                found.append((row, len(w) + 1, int(seen.sum()), float(values[seen].sum()), list(rare.items())))
-                texts.append(lexicon.slots(numbers))
+                rare.append(Counter([w[i] for i in np.flatnonzero(~seen).tolist()]))
+                found.append((row, len(w) + 1, int(seen.sum()), float(values[seen].sum()), lexicon.slots(numbers).astype(kind).tobytes()))
                 row += 1
             del value  # the array can only grow while nothing looks at it
-            rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+            row_of, n_tokens, known, total, slots = zip(*found)
+            words = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int64())], names=["word", "n"])
+            rare_of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), words)
             cols = [
-                pa.array([f[0] for f in found], pa.int64()),
-                batch.column(0),
-                pa.array([f[1] for f in found], pa.int64()),
-                pa.array([f[2] for f in found], pa.int64()),
-                pa.array([f[3] for f in found], pa.float64()),
-                pa.array([[{"word": a, "n": b} for a, b in f[4]] for f in found], rare_type),
-                pa.array(np.array(text_scores(scorer, texts)) / np.log(10.0), pa.float64()),
+                *(c for i, c in enumerate(batch.columns) if i != at),
+                *(pa.array(x, pa.int64()) for x in (row_of, n_tokens, known)),
+                pa.array(total, pa.float64()),
+                rare_of,
+                pa.array(slots, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "n_tokens", "head_known", "head_sum", "rare", "score"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "row", "n_tokens", "head_known", "head_sum", "rare", "slots"])
+
+    more = "row long, n_tokens long, head_known long, head_sum double, rare array<struct<word:binary,n:bigint>>, slots binary"
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), more]))
+
+
+def scored(table: DataFrame, model: Model, id_col: str, head_words: int) -> DataFrame:
+    """The result of :func:`score` for a table of what :func:`encode` gives."""
+    counts, ends, own = model.counts, model.ends, ["row", "id", "n_tokens", "head_known", "head_sum"]
+    unit = float(np.log10(model.n_train + model.distinct + 1.0))
+    end_value = float(np.log10(ends + 1.0))
+    least, kind = head_threshold(counts, head_words), slot_type(model.vocabulary)
+    shared = table.sparkSession.sparkContext.broadcast((model.vocabulary, model.vector))
+
+    def run(batches):
+        vocabulary, vector = shared.value
+        scorer = Scorer(vocabulary.layout, vector)
+        for batch in slices(batches, 128):
+            texts = [np.frombuffer(t, kind).astype(np.int64) for t in batch.column(len(own)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(text_scores(scorer, texts)) / np.log(10.0), pa.float64())], names=[*own, "score"])
 
-    schema = f"row long, id {kind}, n_tokens long, head_known long, head_sum double, rare array<struct<word:binary,n:bigint>>, score double"
-    scored = cut(rows.mapInArrow(run, schema))
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    schema = f"row long, id {table.schema['id'].dataType.simpleString()}, n_tokens long, head_known long, head_sum double, score double"
+    whole = cut(table.select(*own, "slots").mapInArrow(run, schema))
+    rare = table.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     rare = rare.join(counts.where(F.col("c") < least), "word")  # words without a count add log10(1) = 0
     rare = rare.groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_sum"))
-    whole = scored.drop("rare").join(rare, "row", "left")
+    whole = whole.join(rare, "row", "left")
     known = F.col("head_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))
     base = F.col("head_sum") + F.coalesce("rare_sum", F.lit(0.0)) + F.lit(end_value) - F.col("n_tokens") * F.lit(unit)
     return whole.select(F.col("id").alias(id_col), "n_tokens", known.alias("n_known"), F.lit(model.n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
+def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", head_words: int = HEAD_WORDS) -> DataFrame:
+    """``(<id>, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``; other columns are left out.
+
+    Tokens are the words of the text, A-Z lower-cased, and one end. ``base_score`` is the add-one unigram log10 probability
+    over tokens, ``score`` the model's log10 probability of the text's subwords and end. Null texts are empty ones (the end
+    alone), texts have any length. Repeated rows and ids are scored and counted one by one. With no training row counts are 0
+    and the biases uniform; an empty table gives no rows.
+    """
+    return scored(cut(encode(plain(docs, text_col, id_col), model, head_words)), model, id_col, head_words)
+
+
+def fit_score(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text", id_col: str = "doc_id", head_words: int = HEAD_WORDS, **options) -> DataFrame:
+    """The same as ``score(docs, fit(docs, training, ranks))``; every text is cut into subwords once, for training and scoring."""
+    rows = plain(docs, text_col, id_col, F.coalesce(training, F.lit(False)).alias("taught"))
+    model = count(rows.where("taught").drop("taught"), docs.sparkSession.sparkContext.broadcast(ranks))
+    table = cut(encode(rows.withColumn("h", order_hash("text", "id")), model, head_words))
+    model = replace(model, vector=train(table.where("taught").select("h", "slots"), model.vocabulary, **options))
+    return scored(table, model, id_col, head_words)
+
+
 def text_scores(scorer: Scorer, texts: list[np.ndarray], block: int = 512) -> list[float]:
     """Natural log probability of each text's slots; the texts' windows run as one batch after another."""
     parts = [windows(scorer.layout, t) for t in texts]

@@ -102,11 +102,11 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op9_attention(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
-    from .attention import fit, read_ranks, score
+    from .attention import fit_score, read_ranks
     from .common import id_hash
 
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), id_hash("doc_id", 7) == 2
-    found = score(docs, fit(docs, ~held, read_ranks(ranks)))
+    found = fit_score(docs, ~held, read_ranks(ranks))
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

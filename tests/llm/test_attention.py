@@ -204,3 +204,31 @@ def test_edge_cases(spark, ranks, head_words):
     untaught = A.fit(docs, F.lit(False), ranks)
     assert {x.train_tokens for x in A.score(docs, untaught).collect()} == {0}
     assert A.score(docs.limit(0), untaught).count() == 0 and A.fit(docs.limit(0), F.lit(True), ranks).n_train == 0
+
+
+@pytest.mark.parametrize("scale", [0.2, 4.0])
+def test_small_and_large_logits(scale):
+    """Unshifted exps where logits are small, shifted ones elsewhere, in scores and gradients; blocks change neither."""
+    layout = A.Layout(A.HEAD + 40)
+    vector, r = some_vector(layout, 8, 0.15), np.random.default_rng(9)
+    p = layout.parts(vector)
+    for name in ("query", "classes", "members"):
+        p[name] *= scale * 10
+    texts = [np.append(r.choice(layout.slots - 2, n) + 2, 0) for n in (1, 24, 60)]
+    want = [plain_score(layout, vector, t.tolist()) for t in texts]
+    assert A.text_scores(A.Scorer(layout, vector), texts) == pytest.approx(want, rel=1e-3)
+    inputs, targets, weight = (np.concatenate(x) for x in zip(*(A.windows(layout, t) for t in texts)))
+    loss, dense, rows = A.gradient(layout, p, inputs, targets, weight)
+    assert loss * weight.sum() == pytest.approx(-sum(want), rel=1e-6)
+    other = A.gradient(layout, p, inputs, targets, weight, block=2)
+    assert all(np.allclose(dense[k], other[1][k]) for k in dense) and np.allclose(rows["embed"][1], other[2]["embed"][1])
+
+
+def test_texts_cut_once_give_the_same(spark, ranks):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").where("length(text) < 2000").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(None, "null id"), (10**9, None), (10**9, None)], docs.schema)).persist()
+    teach, options = F.col("doc_id") % 3 != 0, {"rounds": 2, "replica_tokens": 4000}
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), r.score)
+    whole = A.score(docs, A.fit(docs, teach, ranks, **options), head_words=40).collect()
+    once = A.fit_score(docs, teach, ranks, head_words=40, **options).collect()
+    assert len(once) == docs.count() and sorted(map(key, once)) == sorted(map(key, whole))
