@@ -51,14 +51,16 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, share: int = 200) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, share: int = 200, counted: DataFrame | None = None) -> DataFrame:
     """``rows`` left-joined to ``table``, whose ``key`` is unique, when one key may hold a third of all rows.
 
     A key is hot when it holds more than 1/``share`` of the rows, so there are fewer than ``share`` hot keys whatever the
     input: that slice of ``table`` is broadcast with a proven bound and the hot rows are never shuffled. The other rows
-    take the ordinary shuffled join. ``rows`` is read three times: pass a table that has been :func:`cut`.
+    take the ordinary shuffled join. ``rows`` is read three times: pass a table that has been :func:`cut`, or as ``counted``
+    one that has each key as often; then ``rows`` is read once, or twice where keys are hot.
     """
-    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * share > rows.count())
+    counted = rows if counted is None else counted
+    hot = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * share > counted.count())
     keys = [r[0] for r in hot.collect()]  # fewer than ``share`` values
     is_hot = F.col(key).isin(keys) if keys else F.lit(False)
     cold = rows.where(~F.coalesce(is_hot, F.lit(False))).join(table, key, "left")
