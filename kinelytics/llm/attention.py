@@ -23,17 +23,18 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, replace
-from itertools import groupby
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, raw, slices
+from .common import LOWER, cut, slices
 from .linear import blocks_of, summed
 
 WIDTH, CLASSES, MEMBERS = 16, 32, 32
@@ -58,6 +59,21 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of ``texts``, the place in them of every word of the texts, and the bounds of each text's words there:
+    what :func:`words_of` gives text by text, with one Python object a distinct word."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    at, bounds = coded.indices.to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    if empty >= 0:  # beside white space at a text's ends
+        kept = at != empty
+        bounds, at = np.append(0, np.cumsum(kept))[bounds], at[kept]
+        at = at - (at > empty)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.binary())), b" ")
+    return joined[0].as_py().split(), at, bounds
+
+
 # --- subwords ---------------------------------------------------------------------------------------------------------
 
 
@@ -75,9 +91,12 @@ class Subwords:
 
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.coder = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={})
+        self.piece = self.coder._core_bpe.encode_single_piece  # the same for a whole piece, without the pattern
         self.size = max(table.values()) + 1
 
     def ids(self, word: bytes) -> list[int]:
+        if len(word) < LONGEST:
+            return self.piece(b" " + word)
         text = " " + word.decode("utf-8", "replace")
         if len(text) <= LONGEST:
             return self.coder.encode_ordinary(text)
@@ -87,19 +106,19 @@ class Subwords:
 class Lexicon(dict):
     """Word to its number, given at first sight, with what scoring needs of each word in flat arrays by number.
 
-    One lookup a word then serves the base score and the subword slots. At most ``most`` words are remembered; call
-    :meth:`room` between batches, as numbers change when the lexicon is emptied.
+    One lookup a word then serves the base score and the subword slots. About ``most`` words are remembered; call
+    :meth:`room` between batches, as numbers change when room is made. Frequent words stay then, unless they alone fill it.
     """
 
     def __init__(self, subwords: Subwords, vocabulary: Vocabulary, most: int = 700_000):
         self.subwords, self.most = subwords, most
-        self.slot_of = vocabulary.slots.tolist()  # a list: words are short
+        self.slot_of, self.kind = vocabulary.slots.tolist(), slot_type(vocabulary)  # a list: words are short
         self.head: dict[bytes, float] = {}
         self._empty()
 
     def _empty(self) -> None:
         self.clear()
-        self.head_value, self.flat, self.starts = array("d"), array("I"), array("q", [0])
+        self.head_value, self.flat, self.starts = array("d"), array(np.dtype(self.kind).char), array("q", [0])
 
     def use(self, head: dict[bytes, float]) -> None:
         """Takes the values of frequent words; other words get -1 in ``head_value``."""
@@ -108,8 +127,22 @@ class Lexicon(dict):
             self.head_value = array("d", (head.get(w, -1.0) for w in self))  # words are in the order of their numbers
 
     def room(self) -> None:
-        if len(self) >= self.most:
-            self._empty()
+        if len(self) < self.most:
+            return
+        numbers = np.flatnonzero(np.frombuffer(self.head_value) >= 0)
+        if 4 * len(numbers) > 3 * self.most:
+            return self._empty()
+        words, starts = [w for w, v in zip(self, self.head_value) if v >= 0], np.frombuffer(self.starts, np.int64)
+        first, size = starts[numbers], starts[numbers + 1] - starts[numbers]
+        ends = np.cumsum(size)
+        flat = np.frombuffer(self.flat, self.kind)[np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))]
+        value = np.frombuffer(self.head_value)[numbers]
+        del starts
+        self._empty()
+        self.update(zip(words, range(len(words))))
+        self.head_value.frombytes(value.tobytes())
+        self.flat.frombytes(flat.tobytes())
+        self.starts.frombytes(ends.astype(np.int64).tobytes())
 
     def __missing__(self, word: bytes) -> int:
         self.head_value.append(self.head.get(word, -1.0))
@@ -127,8 +160,13 @@ class Lexicon(dict):
         starts = np.frombuffer(self.starts, np.int64)
         first = starts[numbers]
         size = starts[numbers + 1] - first
-        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.append(np.frombuffer(self.flat, np.uint32)[at] if len(at) else np.zeros(0, np.uint32), np.uint32(Vocabulary.END)).astype(np.int64)
+        ends = np.cumsum(size)
+        out = np.full((int(ends[-1]) if len(ends) else 0) + 1, Vocabulary.END, self.kind)
+        if len(ends):
+            at = np.repeat((first - (ends - size)).astype(np.int32), size)
+            at += np.arange(len(at), dtype=np.int32)
+            out[:-1] = np.frombuffer(self.flat, self.kind)[at]
+        return out
 
 
 _remembered: dict[bytes, Lexicon] = {}
@@ -223,8 +261,6 @@ LEAST_LOG, MASKED = np.float32(-60), np.float32(-1e4)
 SMALL = 75.0
 #: Position i of the scored ones sees inputs up to its own place.
 UNSEEN = np.where(np.arange(SPAN)[:, None] <= CONTEXT + np.arange(SCORED)[None, :], np.float32(0), MASKED)
-#: Places before the scored ones.
-BEFORE = np.arange(SPAN) < CONTEXT
 
 
 def by_class(kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,17 +269,24 @@ def by_class(kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(kind[order], np.arange(n + 1))
 
 
-def shares(a: np.ndarray) -> np.ndarray:
-    """Attention weights before normalization, in place: exp of the logits ``(n, SPAN, SCORED)`` of what is seen. Columns are
-    shifted by their maximum unless none can overflow and each has its own place's term, which is never small."""
-    own = a.diagonal(-CONTEXT, 1, 2)
-    small = a.max() < SMALL and own.min(where=own > MASKED / 2, initial=0) > -SMALL
+def attend(x: np.ndarray, queries: np.ndarray, begins: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Attention weights before normalization ``(n, SPAN, SCORED)``, into ``out``: exp of the logits of what is seen. ``begins``
+    are the windows that begin a text, whose places before the scored ones are padding. Columns are shifted by their maximum
+    unless none can overflow and each has its own place's term, which is never small."""
+    a = np.matmul(x, queries.transpose(0, 2, 1), out=out)
+    small = a.max(initial=0) < SMALL and a.diagonal(-CONTEXT, 1, 2).min(initial=0) > -SMALL
     a += UNSEEN
+    a[begins, :CONTEXT] = MASKED
     if not small:
         a -= a.max(axis=1, keepdims=True)
     return np.exp(a, out=a)
 
 
+def begins_of(layout: Layout, inputs: np.ndarray) -> np.ndarray:
+    """Windows with padding before the scored places; padding after a text is seen by nothing that counts."""
+    return np.flatnonzero(inputs[:, 0] == layout.pad)
+
+
 def longest(x: np.ndarray) -> float:
     """The largest length of a row."""
     return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
@@ -255,34 +298,36 @@ class Levels:
 
     def __init__(self, p: dict[str, np.ndarray], h: np.ndarray, leaf: np.ndarray, bounds: np.ndarray):
         self.p, self.h, n = p, h, len(h)
-        self.slices = [(c, slice(bounds[c], bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds))]
-        self.chosen = np.stack((leaf // MEMBERS, leaf % MEMBERS)), np.arange(n)
-        self.z = np.empty((2, MEMBERS, n + 16), h.dtype)[:, :, :n]  # rows a power of two apart would share cache lines
+        stride = n + 16  # rows a power of two apart would share cache lines
+        self.flat = np.empty(2 * MEMBERS * stride, h.dtype)
+        self.z = self.flat.reshape(2, MEMBERS, stride)[:, :, :n]
+        self.chosen = np.stack((leaf // MEMBERS, leaf % MEMBERS + MEMBERS)) * stride + np.arange(n)  # places in ``flat``
+        at = bounds.tolist()
+        self.slices = [(c, self.z[1, :, at[c] : at[c + 1]], h[at[c] : at[c + 1]], slice(at[c], at[c + 1])) for c in np.flatnonzero(np.diff(bounds)).tolist()]
         np.matmul(p["classes"].T, h.T, out=self.z[0])
-        for c, own in self.slices:
-            np.matmul(p["members"][c].T, h[own].T, out=self.z[1, :, own])
+        for c, z, own, _ in self.slices:
+            np.matmul(p["members"][c].T, own.T, out=z)
         length = max(longest(p["classes"][:-1].T), longest(p["members"][:, :-1].transpose(0, 2, 1).reshape(-1, WIDTH)))
         if not longest(h) * length + max(np.abs(p[name][..., -1, :]).max() for name in ("classes", "members")) < SMALL:
             self.z -= self.z.max(axis=1, keepdims=True)
         np.exp(self.z, out=self.z)
         self.sums = np.add.reduce(self.z, axis=1)
-
-    def places(self) -> tuple[np.ndarray, ...]:
-        return np.arange(2)[:, None], *self.chosen
+        self.shares = self.flat.take(self.chosen) / self.sums
 
     def logs(self) -> np.ndarray:
         """Log probability of each row's leaf."""
-        return np.log(np.maximum(self.z[self.places()] / self.sums, self.h.dtype.type(1e-35))).sum(axis=0)
+        return np.log(np.maximum(self.shares, self.h.dtype.type(1e-35))).sum(axis=0)
 
     def gradients(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the weighted loss by the rows, ``classes`` and ``members``; after :meth:`logs`, as it overwrites the logits."""
+        """Of the weighted loss by the rows (less their ones), ``classes`` and ``members``; overwrites the logits."""
         z, p = self.z, self.p
         z *= (weight / self.sums)[:, None]
-        z[self.places()] -= weight
-        dh, members = z[0].T @ p["classes"].T, np.zeros_like(p["members"])
-        for c, own in self.slices:
-            dh[own] += z[1, :, own].T @ p["members"][c].T
-            members[c] = (z[1, :, own] @ self.h[own]).T
+        self.flat[self.chosen] = (self.shares - 1) * weight
+        dh, below, members = z[0].T @ p["classes"][:-1].T, np.empty((len(self.h), WIDTH), z.dtype), np.zeros_like(p["members"])
+        for c, own_z, own_h, own in self.slices:
+            np.matmul(own_z.T, p["members"][c, :-1].T, out=below[own])
+            np.matmul(own_h.T, own_z.T, out=members[c])
+        dh += below
         return dh, (z[0] @ self.h).T, members
 
 
@@ -308,27 +353,24 @@ class Scorer:
     def __init__(self, layout: Layout, vector: np.ndarray):
         self.layout = layout
         self.p = p = {k: v.astype(np.float32) for k, v in layout.parts(vector).items()}
-        w, scale = WIDTH, np.float32(1 / np.sqrt(WIDTH))
-        # queries, keys and values are linear in embedding and place, so one table lookup gives them. A key's last column masks
-        # padding (a query's is one), a value's is one, so that the weighted sum of values carries the sum of weights along
-        empty = np.zeros((w, 1), np.float32)
-        mix = np.concatenate((np.eye(w, dtype=np.float32), p["query"] * scale, empty, p["key"], empty, p["value"], empty), axis=1)
-        self.table, self.place = p["embed"] @ mix, p["place"] @ mix
-        self.table[layout.pad, 3 * w + 1] = MASKED
-        self.place[:, 2 * w] = self.place[:, -1] = 1
+        # a query meets keys through one matrix and values reach the output through one, so that inputs themselves serve as keys
+        # and values; queries are linear in embedding and place, so one table lookup gives them
+        joint = p["query"] @ p["key"].T * np.float32(1 / np.sqrt(WIDTH))
+        # a last column of ones, so that the weighted sum of inputs carries the sum of weights along
+        mix = np.concatenate((joint, np.eye(WIDTH, WIDTH + 1, dtype=np.float32)), axis=1)
+        self.through, self.table, self.place = p["value"] @ p["out"], p["embed"] @ mix, p["place"] @ mix
+        self.place[:, -1] = 1
 
     def hidden(self, inputs: np.ndarray) -> np.ndarray:
         """``(n * SCORED, WIDTH + 1)``, the last column one (for the biases)."""
         w = WIDTH
         g = self.table.take(inputs, axis=0)
         g += self.place
-        a = np.matmul(g[:, :, 2 * w + 1 : 3 * w + 2], g[:, CONTEXT:, w : 2 * w + 1].transpose(0, 2, 1))
-        shares(a)
-        o = np.matmul(a.transpose(0, 2, 1), g[:, :, 3 * w + 2 :]).reshape(-1, w + 1)
-        h = np.ones((len(o), w + 1), np.float32)
-        o[:, :w] /= np.maximum(o[:, w:], np.float32(1e-37))  # a place of padding sees nothing
-        np.matmul(o[:, :w], self.p["out"], out=h[:, :w])
-        h[:, :w] += g[:, CONTEXT:, :w].reshape(-1, w)
+        x = g[:, :, w:]
+        a = attend(x[:, :, :w], g[:, CONTEXT:, :w], begins_of(self.layout, inputs), np.empty((len(inputs), SPAN, SCORED), np.float32))
+        o = np.matmul(a.transpose(0, 2, 1), x).reshape(-1, w + 1)
+        h = x[:, CONTEXT:].reshape(-1, w + 1)
+        h[:, :w] += (o[:, :w] / o[:, w:]) @ self.through
         return h
 
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, block: int = 64) -> np.ndarray:
@@ -354,23 +396,20 @@ def gradient(layout: Layout, p: dict[str, np.ndarray], inputs: np.ndarray, targe
     rows that the batch touches of ``embed`` and ``leaves``. Attention runs over ``block`` windows at a time, for the caches."""
     w, kind = WIDTH, p["query"].dtype
     scale = kind.type(1 / np.sqrt(w))
-    x = p["embed"].take(inputs, axis=0)
-    x += p["place"]
-    flat_x, flat_xs = x.reshape(-1, w), np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, w)
-    q = (flat_xs @ (p["query"] * scale)).reshape(len(x), SCORED, w)
-    k = (flat_x @ p["key"]).reshape(len(x), SPAN, w)
-    # a one after the values, so that their weighted sum carries the sum of weights along
-    v = (flat_x @ np.concatenate((p["value"], np.zeros((w, 1), kind)), axis=1)).reshape(len(x), SPAN, w + 1)
-    v[:, :, w] = 1
-    begins = np.flatnonzero(inputs[:, 0] == layout.pad)  # padding after a text is seen by nothing that counts
+    # as in the scorer: the products of query and key and of value and output, through which their gradients pass too
+    joint, through = p["query"] @ p["key"].T * scale, p["value"] @ p["out"]
+    # a one after the inputs, so that their weighted sum carries the sum of weights along
+    x = np.ones((len(inputs), SPAN, w + 1), kind)
+    keys = x[:, :, :w]
+    np.add(p["embed"].take(inputs, axis=0), p["place"], out=keys)
+    flat_xs = keys[:, CONTEXT:].reshape(-1, w)
+    q = (flat_xs @ joint).reshape(len(x), SCORED, w)
+    begins = begins_of(layout, inputs)
     parts = [slice(b, b + block) for b in range(0, len(x), block)]
     e, o = np.empty((len(x), SPAN, SCORED), kind), np.empty((len(x), SCORED, w + 1), kind)
     for own in parts:
-        a = np.matmul(k[own], q[own].transpose(0, 2, 1), out=e[own])
-        first = begins[(begins >= own.start) & (begins < own.stop)]
-        e[first] += np.where((inputs[first] == layout.pad) & BEFORE, MASKED, np.float32(0))[:, :, None]
-        shares(a)
-        np.matmul(a.transpose(0, 2, 1), v[own], out=o[own])
+        a = attend(keys[own], q[own], begins[(begins >= own.start) & (begins < own.stop)] - own.start, e[own])
+        np.matmul(a.transpose(0, 2, 1), x[own], out=o[own])
     o = o.reshape(-1, w + 1)
     inverse = 1 / o[:, w:]
     flat_o = o[:, :w] * inverse
@@ -380,66 +419,63 @@ def gradient(layout: Layout, p: dict[str, np.ndarray], inputs: np.ndarray, targe
     order, bounds = by_class((leaf // MEMBERS).astype(np.uint8), CLASSES)
     flat, leaf, wt = flat[order], leaf[order], (weight / weight.sum()).ravel().astype(kind)[order]
     h = np.ones((len(flat), w + 1), kind)
-    np.matmul(flat_o, p["out"], out=h[:, :w])
-    h[:, :w] += flat_xs
-    h = h.take(order, axis=0)
+    h[:, :w] = (flat_o @ through + flat_xs).take(order, axis=0)
     loss, g = 0.0, {}
 
     def level(own: np.ndarray, own_wt: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Adds one softmax's share of the loss; returns the gradients of its inputs and of ``weights``."""
+        """Adds one softmax's share of the loss; returns the gradients of its inputs (less their ones) and of ``weights``."""
         nonlocal loss
         d, rows = normalize(weights.T @ own.T), np.arange(len(chosen))
         right = d[chosen, rows]
         loss -= float(own_wt @ np.log(np.maximum(right, kind.type(1e-30))))
         d[chosen, rows] = right - 1
         d *= own_wt
-        return d.T @ weights.T, (d @ own).T
+        return d.T @ weights[:-1].T, (d @ own).T
 
     head = Levels(p, h, leaf, bounds)
     loss -= float(head.logs() @ wt)
     dh, g["classes"], g["members"] = head.gradients(wt)
-    rest, opened, leaves = np.flatnonzero(flat >= HEAD), np.zeros(0, np.int64), []
+    rest, opened, leaves = np.flatnonzero(flat >= HEAD), np.zeros(0, np.int64), np.zeros((0, w + 1, layout.side), kind)
     if len(rest):
         group, place = np.divmod(flat[rest] - HEAD, layout.side)
-        change, g["groups"] = level(h[rest], wt[rest], p["groups"], group)
-        dh[rest] += change
         inner, edges = by_class(group, layout.side)
-        opened = np.flatnonzero(np.diff(edges))
-        for c in opened:
-            own = inner[edges[c] : edges[c + 1]]
-            change, found = level(h[rest[own]], wt[rest[own]], p["leaves"][c], place[own])
-            dh[rest[own]] += change
-            leaves.append(found)
+        rest, group, place, opened = rest[inner], group[inner], place[inner], np.flatnonzero(np.diff(edges))
+        rest_h, rest_wt, leaves = h[rest], wt[rest], np.empty((len(opened), w + 1, layout.side), kind)
+        change, g["groups"] = level(rest_h, rest_wt, p["groups"], group)
+        for i, c in enumerate(opened.tolist()):
+            own = slice(edges[c], edges[c + 1])
+            more, leaves[i] = level(rest_h[own], rest_wt[own], p["leaves"][c], place[own])
+            change[own] += more
+        dh[rest] += change
     place_of = np.empty_like(order)
     place_of[order] = np.arange(len(order))
-    back = dh.take(place_of, axis=0)[:, :w]
-    g["out"] = flat_o.T @ back
+    back = dh.take(place_of, axis=0)
+    met = flat_o.T @ back
+    g["value"], g["out"] = met @ p["out"].T, p["value"].T @ met
     # with the weights before normalization in ``e``: their sums divide the gradient of ``o``, whose last column takes the mean off
     do = np.empty((len(flat), w + 1), kind)
-    np.matmul(back, p["out"].T, out=do[:, :w])
-    do[:, :w] *= inverse
+    np.multiply(back @ through.T, inverse, out=do[:, :w])
     do[:, w] = -np.einsum("ij,ij->i", do[:, :w], flat_o)
     do = do.reshape(len(x), SCORED, w + 1)
-    dq, dk, dv = np.empty_like(q), np.empty_like(k), np.empty_like(k)
+    dq, dx = np.empty_like(q), np.empty((len(x), SPAN, w), kind)
     for own in parts:
-        np.matmul(e[own], do[own, :, :w], out=dv[own])
-        ds = np.matmul(v[own], do[own].transpose(0, 2, 1))
+        np.matmul(e[own], do[own, :, :w], out=dx[own])
+        ds = np.matmul(x[own], do[own].transpose(0, 2, 1))
         ds *= e[own]
-        np.matmul(ds.transpose(0, 2, 1), k[own], out=dq[own])
-        np.matmul(ds, q[own], out=dk[own])
-    dq, dk, dv = dq.reshape(-1, w), dk.reshape(-1, w), dv.reshape(-1, w)
-    g["query"], g["key"], g["value"] = (flat_xs.T @ dq) * scale, flat_x.T @ dk, flat_x.T @ dv
-    dx = dk @ p["key"].T
-    dx += dv @ p["value"].T
-    dx = dx.reshape(x.shape)
-    dx[:, CONTEXT:] += (dq @ (p["query"].T * scale) + back).reshape(len(x), SCORED, w)
+        np.matmul(ds.transpose(0, 2, 1), keys[own], out=dq[own])
+        dx[own] += np.matmul(ds, q[own])
+    dq = dq.reshape(-1, w)
+    met = flat_xs.T @ dq * scale
+    g["query"], g["key"] = met @ p["key"], met.T @ p["query"]
+    back += dq @ joint.T
+    dx[:, CONTEXT:] += back.reshape(len(x), SCORED, w)
     g["place"] = dx.sum(axis=0)
     flat_at = inputs.ravel().astype(np.uint16 if layout.pad < 1 << 16 else np.uint32)
     order = np.argsort(flat_at, kind="stable")
     flat_at = flat_at[order]
     first = np.flatnonzero(np.append(True, flat_at[1:] != flat_at[:-1]))
     used, de = flat_at[first], np.add.reduceat(dx.reshape(-1, w).take(order, axis=0), first, axis=0)
-    return loss, g, {"embed": (used, de), "leaves": (opened, np.array(leaves, kind).reshape(-1, w + 1, layout.side))}
+    return loss, g, {"embed": (used, de), "leaves": (opened, leaves)}
 
 
 class Adam:
@@ -447,15 +483,17 @@ class Adam:
 
     def __init__(self, layout: Layout, vector: np.ndarray, steps: int, rate: float = 0.02):
         self.layout, self.steps, self.rate, self.step = layout, max(steps, 1), rate, 0
-        self.p = layout.parts(vector)
-        self.m, self.v = layout.parts(np.zeros_like(vector)), layout.parts(np.zeros_like(vector))
+        self.all = vector, np.zeros_like(vector), np.zeros_like(vector)  # the weights, and the means of gradients and of squares
+        self.p, self.m, self.v = map(layout.parts, self.all)
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> float:
         loss, dense, rows = gradient(self.layout, self.p, inputs, targets, weight)
         self.step += 1
         rate = self.rate * (max(0.0, 1 - (self.step - 1) / self.steps) + 0.1) / (1 - 0.9**self.step)
-        for name, g, own in [*((k, g, slice(None)) for k, g in dense.items()), *((k, g, own) for k, (own, g) in rows.items() if len(own))]:
-            m, v = self.m[name][own], self.v[name][own]
+        dense = np.concatenate([dense[k].ravel() for k in self.layout.shapes if k in dense])  # these come first in the vector
+        steps = [(*(x[: len(dense)] for x in self.all), dense, slice(None))]
+        for p, mean, square, g, own in steps + [(self.p[k], self.m[k], self.v[k], g, own) for k, (own, g) in rows.items() if len(own)]:
+            m, v = mean[own], square[own]
             change = g - m
             change *= np.float32(0.1)
             m += change
@@ -463,13 +501,13 @@ class Adam:
             change -= v
             change *= np.float32(0.01)
             v += change
-            self.m[name][own], self.v[name][own] = m, v
+            mean[own], square[own] = m, v
             np.divide(v, np.float32(1 - 0.99**self.step), out=change)
             np.sqrt(change, out=change)
             change += np.float32(1e-8)
             np.divide(m, change, out=change)
             change *= np.float32(rate)
-            self.p[name][own] -= change
+            p[own] -= change
         return loss
 
 
@@ -524,16 +562,17 @@ def word_counts(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``(word, c)`` over the column ``text``, ends not included."""
 
     def run(batches):
-        seen: Counter = Counter()
+        seen: defaultdict[bytes, int] = defaultdict(int)
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
             seen.clear()
             return out
 
-        for batch in slices(batches):
-            for text in raw(batch.column(0)):
-                seen.update(words_of(text))
+        for batch in slices(batches, 1024):
+            words, at, _ = coded_words(batch.column(0))
+            for word, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
+                seen[word] += n
             if len(seen) > most:
                 yield flush()
         yield flush()
@@ -581,20 +620,20 @@ def train(sample: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, repli
     vector = layout.initial(vocabulary.counts)
     if not rounds:
         return vector
-    tokens = (sample.agg(F.sum(F.length("slots"))).first()[0] or 0) / kind().itemsize
+    deal = F.pmod(F.shiftrightunsigned("h", 40), F.lit(rounds)).alias("round")
+    in_round = {r["round"]: r.n // kind().itemsize for r in sample.groupBy(deal).agg(F.sum(F.length("slots")).alias("n")).collect()}
+    tokens = sum(in_round.values())
     if not tokens:
         return vector
     replicas = max(1, round(tokens / rounds / replica_tokens))
     passes = min(10, max(1, round(LEAST_TOKENS * rounds / tokens)))
     steps = round(tokens * passes / rounds / replicas / SCORED / BATCH)
-    dealt = sample.select("h", "slots", F.pmod(F.shiftrightunsigned("h", 40), F.lit(rounds)).alias("round"), F.pmod("h", F.lit(replicas)).alias("replica"))
+    dealt = sample.select("h", "slots", deal, F.pmod("h", F.lit(replicas)).alias("replica"))
     for k in range(rounds):
         now = spark.sparkContext.broadcast(vector)
-        own = dealt.where(F.col("round") == k)
-        total = own.agg(F.sum(F.length("slots"))).first()[0]
+        own, total = dealt.where(F.col("round") == k), in_round.get(k, 0) * passes
         if not total:
             continue
-        total = total / kind().itemsize * passes
         own = own.repartition(replicas, "replica").withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
         own = own.sortWithinPartitions("replica", "pass", "h", "slots").select("replica", "slots")
 
@@ -652,7 +691,7 @@ def fit(docs: DataFrame, training: Column, ranks: bytes, text_col: str = "text",
 def encode(rows: DataFrame, model: Model, head_words: int = HEAD_WORDS) -> DataFrame:
     """``rows(id, text, ...)`` as they are but for ``text``, in whose place are ``row`` (a number of its own), ``n_tokens``,
     what the most frequent words add to the base score, the other words, and ``slots``."""
-    least, kind = head_threshold(model.counts, head_words), slot_type(model.vocabulary)
+    least = head_threshold(model.counts, head_words)
     head = {bytes(r.word): float(np.log10(r.c + 1.0)) for r in model.counts.where(F.col("c") >= least).toLocalIterator()}
     shared = rows.sparkSession.sparkContext.broadcast((model.ranks, model.vocabulary, head))
     kept, at = [c for c in rows.columns if c != "text"], rows.columns.index("text")
@@ -662,22 +701,22 @@ def encode(rows: DataFrame, model: Model, head_words: int = HEAD_WORDS) -> DataF
         lexicon = lexicon_of(ranks, vocabulary)
         lexicon.use(head)
         row = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, 128):
+        for batch in slices(batches):
             found, rare = [], []
             lexicon.room()
-            split = [words_of(t) for t in raw(batch.column(at))]
-            numbered = [lexicon.numbers(w) for w in split]
-            value = np.frombuffer(lexicon.head_value)
-            for w, numbers in zip(split, numbered):
-                values = value[numbers]
+            words, at_word, bounds = coded_words(batch.column(at))
+            number_of = lexicon.numbers(words)
+            value = np.frombuffer(lexicon.head_value)[number_of]
+            for start, end in pairwise(bounds.tolist()):
+                own = at_word[start:end]
+                values = value[own]
                 seen = values >= 0
-                rare.append(Counter([w[i] for i in np.flatnonzero(~seen).tolist()]))
-                found.append((row, len(w) + 1, int(seen.sum()), float(values[seen].sum()), lexicon.slots(numbers).astype(kind).tobytes()))
+                rare.append(Counter([words[i] for i in own[~seen].tolist()]))
+                found.append((row, len(own) + 1, int(seen.sum()), float(values[seen].sum()), lexicon.slots(number_of[own]).tobytes()))
                 row += 1
-            del value  # the array can only grow while nothing looks at it
             row_of, n_tokens, known, total, slots = zip(*found)
-            words = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int64())], names=["word", "n"])
-            rare_of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), words)
+            entries = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int64())], names=["word", "n"])
+            rare_of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), entries)
             cols = [
                 *(c for i, c in enumerate(batch.columns) if i != at),
                 *(pa.array(x, pa.int64()) for x in (row_of, n_tokens, known)),

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,34 @@ def test_texts_cut_once_give_the_same(spark, ranks):
     whole = A.score(docs, A.fit(docs, teach, ranks, **options), head_words=40).collect()
     once = A.fit_score(docs, teach, ranks, head_words=40, **options).collect()
     assert len(once) == docs.count() and sorted(map(key, once)) == sorted(map(key, whole))
+
+
+def test_words_coded_together_are_those_of_each_text():
+    texts = ["", " ", "  a  b a", None, "\x0b\x0c\x1c\x1d x\x85y\u2003z  Q", "É İ ß ÀB\tC\nD\r\n", "\x00 A\x00 b", "x" * 500, "a"]
+    for some in (texts, texts[5:], texts[:2], [], ["a b"]):
+        words, at, bounds = A.coded_words(pa.array(some, pa.string()))
+        assert [[words[i] for i in at[a:b]] for a, b in zip(bounds[:-1], bounds[1:])] == [fold(t) for t in some]
+        assert len(set(words)) == len(words) and b"" not in words
+
+
+def test_frequent_words_are_cut_once(ranks):
+    """Room in the lexicon is made by rare words only; slots and values stay right."""
+    subwords, counts = A.Subwords(ranks), np.arange(60_000)[::-1]
+    vocabulary, cuts, plain = A.Vocabulary.of(counts[: subwords.size], 5), Counter(), subwords.ids
+
+    def ids(word):
+        cuts[word] += 1
+        return plain(word)
+
+    subwords.ids = ids
+    head = {f"häufig{i}".encode(): i / 2 for i in range(20)}
+    lexicon = A.Lexicon(subwords, vocabulary, most=50)
+    lexicon.use(head)
+    for k in range(6):
+        lexicon.room()
+        words = [w for i, h in enumerate(head) for w in (f"rare{k}x{i}".encode(), h, f"other{k}x{i}".encode() * (1 + 10 * i))]
+        numbers = lexicon.numbers(words)
+        want = [vocabulary.slots[i] for w in words for i in plain(w)]
+        assert lexicon.slots(numbers).tolist() == [*want, A.Vocabulary.END]
+        assert [lexicon.head_value[n] for n in numbers] == [head.get(w, -1.0) for w in words]
+    assert {cuts[h] for h in head} == {1} and len(lexicon) < 120
